@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.operators import rules
+from pyspark.sql import types as T
+
+from revguard.operators import features, marts, rules
 from revguard.sources.billing import billing_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,26 @@ def register(name: str):
     return deco
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Comparable projection: decimals -> double, dates/timestamps -> text."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.DecimalType):
+            out.append(F.col(f.name).cast("double").alias(f.name))
+        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            out.append(F.col(f.name).cast("string").alias(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            continue
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def _b(fn, **kw) -> Query:
+    """Query over the billing views: ``fn(billing) -> DataFrame``, flattened."""
+    return lambda spark, sf_dir: flat(fn(billing_views(spark, sf_dir), **kw))
+
+
 def _rule(fn, **kw) -> Query:
     return lambda spark, sf_dir: rules.flat(fn(billing_views(spark, sf_dir), **kw))
 
@@ -47,3 +69,44 @@ QUERIES.update({
 def _r8_summary(spark, sf_dir):
     s = rules.rule_summary(rules.run_rules(billing_views(spark, sf_dir)))
     return s.withColumn("leakage", F.col("leakage").cast("double"))
+
+
+QUERIES.update({
+    "a1_payments_by_invoice": _b(lambda b: marts.payments_by_invoice(b.payments)),
+    "a2_refunds_by_invoice": _b(lambda b: marts.refunds_by_invoice(b.refunds)),
+    "a3_subscriptions_by_customer": _b(lambda b: marts.subscriptions_by_customer(b.subscriptions)),
+    "a4_invoices_by_customer": _b(lambda b: marts.invoices_by_customer(b.invoices)),
+    "a5_payments_by_customer": _b(lambda b: marts.payments_by_customer(b.payments)),
+    "a6_refunds_by_customer": _b(lambda b: marts.refunds_by_customer(b.refunds)),
+    "m1_invoice_mart": _b(marts.invoice_mart),
+    "m2_customer_mart": _b(marts.customer_mart),
+    "m3_monthly_revenue": _b(marts.monthly_revenue),
+    "m3_monthly_revenue_by_segment": _b(marts.monthly_revenue, by=["segment"]),
+})
+
+
+def invoice_features(b):
+    """M1 -> M4 (the engineered invoice table every model reads)."""
+    return features.invoice_features(marts.invoice_mart(b), b.as_of)
+
+
+def customer_features(b):
+    return features.customer_features(marts.customer_mart(b))
+
+
+_M4_OUT = (["invoice_id", "customer_id"] + features._INVOICE_NUMERIC +
+           ["billed_vs_expected_ratio", "paid_vs_billed_ratio", "refund_ratio", "discount_ratio",
+            "outstanding_ratio", "tax_ratio", "contract_gap", "overdue_days",
+            "payment_delay_ratio", "failed_payment_rate", "retry_rate"] + features.INVOICE_FLAGS +
+           ["leakage_label", "issue_month", "issue_quarter", "issue_year", "period_length_days",
+            "is_annual_billing", "mrr_log"])
+
+QUERIES.update({
+    "m4_invoice_features": _b(lambda b: invoice_features(b).select(*_M4_OUT)),
+    "m5_customer_features": _b(lambda b: customer_features(b)),
+    "m6_time_series_features": _b(
+        lambda b: features.time_series_features(marts.monthly_revenue(b))),
+    "m6_time_series_features_by_segment": _b(
+        lambda b: features.time_series_features(marts.monthly_revenue(b, by=["segment"]),
+                                                 keys=["segment"])),
+})

@@ -99,3 +99,262 @@ ORACLE: dict[str, str] = {
     "r8_all_alerts": _q(ALL_ALERTS),
     "r8_rule_summary": _q(R8_SUMMARY),
 }
+
+
+# ---------------------------------------------------------------------------
+# Aggregates A1-A7 and marts M1-M6
+# ---------------------------------------------------------------------------
+
+A1 = """
+SELECT invoice_id,
+       SUM(CASE WHEN status = 'succeeded' THEN amount ELSE 0 END) AS total_paid,
+       COUNT(*) AS payment_count,
+       CAST(SUM(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed_payment_count,
+       MAX(days_late) AS max_days_late,
+       AVG(days_late) AS avg_days_late,
+       CAST(SUM(attempt_count) AS BIGINT) AS total_attempts
+FROM payments GROUP BY invoice_id"""
+
+A2 = """
+SELECT invoice_id, COUNT(*) AS refund_count, SUM(amount) AS refund_amount,
+       CAST(SUM(CASE WHEN is_duplicate THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_refund_count
+FROM refunds GROUP BY invoice_id"""
+
+A3 = """
+SELECT customer_id,
+       CAST(SUM(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS BIGINT) AS active_subscriptions,
+       COUNT(*) AS total_subscriptions,
+       CAST(SUM(mrr) AS DOUBLE) / COUNT(mrr) AS avg_mrr,
+       SUM(arr) AS total_arr,
+       CAST(SUM(discount_pct) AS DOUBLE) / COUNT(discount_pct) AS avg_discount_pct
+FROM subscriptions WHERE NOT is_deleted GROUP BY customer_id"""
+
+A4 = """
+SELECT customer_id, COUNT(*) AS invoice_count, SUM(total_amount) AS total_invoiced,
+       SUM(outstanding_amount) AS total_outstanding,
+       CAST(SUM(CASE WHEN status = 'overdue' THEN 1 ELSE 0 END) AS BIGINT) AS overdue_invoice_count
+FROM invoices WHERE NOT is_deleted GROUP BY customer_id"""
+
+A5 = """
+SELECT customer_id, COUNT(*) AS payment_count,
+       CAST(SUM(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed_payment_count,
+       SUM(CASE WHEN status = 'succeeded' THEN amount ELSE 0 END) AS total_paid,
+       AVG(days_late) AS avg_days_late
+FROM payments WHERE NOT is_deleted GROUP BY customer_id"""
+
+A6 = """
+SELECT customer_id, COUNT(*) AS refund_count, SUM(amount) AS total_refunded,
+       CAST(SUM(CASE WHEN is_duplicate THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_refund_count
+FROM refunds WHERE NOT is_deleted GROUP BY customer_id"""
+
+
+M1_RAW = f"""
+SELECT i.invoice_id, i.customer_id, i.subscription_id, i.invoice_number,
+       i.status AS invoice_status, i.issue_date, i.due_date, i.period_start, i.period_end,
+       i.subtotal, i.tax_amount, i.discount_amount, i.total_amount, i.paid_amount,
+       i.outstanding_amount,
+       COALESCE(p.total_paid, 0) AS total_paid,
+       COALESCE(p.payment_count, 0) AS payment_count,
+       COALESCE(p.failed_payment_count, 0) AS failed_payment_count,
+       COALESCE(p.max_days_late, 0) AS max_days_late,
+       COALESCE(p.avg_days_late, 0) AS avg_days_late,
+       COALESCE(p.total_attempts, 0) AS total_attempts,
+       COALESCE(r.refund_count, 0) AS refund_count,
+       COALESCE(r.refund_amount, 0) AS refund_amount,
+       COALESCE(r.duplicate_refund_count, 0) AS duplicate_refund_count,
+       s.billing_cycle, s.mrr, s.discount_pct AS sub_discount_pct, s.quantity,
+       c.contracted_value, c.payment_terms_days, c.discount_pct AS contract_discount_pct
+FROM invoices i
+LEFT JOIN ({A1}) p ON p.invoice_id = i.invoice_id
+LEFT JOIN ({A2}) r ON r.invoice_id = i.invoice_id
+LEFT JOIN subscriptions s ON s.subscription_id = i.subscription_id
+LEFT JOIN contracts c ON c.contract_id = i.contract_id
+WHERE NOT i.is_deleted"""
+
+M1_MONEY = ["subtotal", "tax_amount", "discount_amount", "total_amount", "paid_amount",
+            "outstanding_amount", "total_paid", "refund_amount", "mrr", "sub_discount_pct",
+            "contracted_value", "contract_discount_pct"]
+M1_DATES = ["issue_date", "due_date", "period_start", "period_end"]
+
+
+def _flat(body: str, money: list[str], dates: list[str] = ()) -> str:
+    ex = list(money) + list(dates)
+    parts = [f"CAST(t.{c} AS DOUBLE) AS {c}" for c in money]
+    parts += [f"CAST(t.{c} AS VARCHAR) AS {c}" for c in dates]
+    return f"SELECT t.* EXCLUDE ({', '.join(ex)}), {', '.join(parts)} FROM ({body}) t"
+
+
+M2_RAW = f"""
+SELECT c.customer_id, c.segment, c.status AS customer_status, c.acquisition_date, c.churn_date,
+       c.risk_tier, c.nation_key,
+       CAST(date_diff('day', c.acquisition_date, {AS_OF_SQL}) AS INTEGER) AS tenure_days,
+       COALESCE(s.active_subscriptions, 0) AS active_subscriptions,
+       COALESCE(s.total_subscriptions, 0) AS total_subscriptions,
+       COALESCE(s.avg_mrr, 0) AS avg_mrr, COALESCE(s.total_arr, 0) AS total_arr,
+       COALESCE(s.avg_discount_pct, 0) AS avg_discount_pct,
+       COALESCE(i.invoice_count, 0) AS invoice_count,
+       COALESCE(i.total_invoiced, 0) AS total_invoiced,
+       COALESCE(i.total_outstanding, 0) AS total_outstanding,
+       COALESCE(i.overdue_invoice_count, 0) AS overdue_invoice_count,
+       COALESCE(p.payment_count, 0) AS payment_count,
+       COALESCE(p.failed_payment_count, 0) AS failed_payment_count,
+       COALESCE(p.total_paid, 0) AS total_paid,
+       COALESCE(p.avg_days_late, 0) AS avg_days_late,
+       COALESCE(r.refund_count, 0) AS refund_count,
+       COALESCE(r.total_refunded, 0) AS total_refunded,
+       COALESCE(r.duplicate_refund_count, 0) AS duplicate_refund_count
+FROM customers c
+LEFT JOIN ({A3}) s ON s.customer_id = c.customer_id
+LEFT JOIN ({A4}) i ON i.customer_id = c.customer_id
+LEFT JOIN ({A5}) p ON p.customer_id = c.customer_id
+LEFT JOIN ({A6}) r ON r.customer_id = c.customer_id
+WHERE NOT c.is_deleted"""
+
+M2_MONEY = ["total_arr", "total_invoiced", "total_outstanding", "total_paid", "total_refunded"]
+
+
+def _m3(by: list[str]) -> str:
+    k = "".join(f"c.{x}, " for x in by)
+    g = "".join(f"c.{x}, " for x in by)
+    join = "LEFT JOIN customers c ON c.customer_id = i.customer_id" if by else ""
+    return f"""
+SELECT {k}strftime(i.issue_date, '%Y-%m') AS period_month,
+       SUM(i.total_amount) AS total_invoiced, SUM(i.paid_amount) AS total_collected,
+       COUNT(*) AS invoice_count, SUM(i.discount_amount) AS total_discounted,
+       SUM(i.tax_amount) AS total_tax, SUM(i.outstanding_amount) AS total_outstanding,
+       SUM(CASE WHEN i.status = 'overdue' THEN i.outstanding_amount ELSE 0 END) AS overdue_amount
+FROM invoices i {join}
+WHERE NOT i.is_deleted
+GROUP BY {g}strftime(i.issue_date, '%Y-%m')"""
+
+
+M3_MONEY = ["total_invoiced", "total_collected", "total_discounted", "total_tax",
+            "total_outstanding", "overdue_amount"]
+
+_INV_NUM = ["subtotal", "tax_amount", "discount_amount", "total_amount", "paid_amount",
+            "outstanding_amount", "total_paid", "payment_count", "failed_payment_count",
+            "max_days_late", "avg_days_late", "total_attempts", "refund_count",
+            "refund_amount", "duplicate_refund_count", "mrr", "sub_discount_pct",
+            "quantity", "contracted_value", "payment_terms_days", "contract_discount_pct"]
+
+M4 = f"""
+SELECT invoice_id, customer_id, {", ".join(_INV_NUM)},
+  bve AS billed_vs_expected_ratio,
+  total_paid / (total_amount + 1e-6) AS paid_vs_billed_ratio,
+  refund_amount / (total_paid + 1e-6) AS refund_ratio,
+  dr AS discount_ratio,
+  outstanding_amount / (total_amount + 1e-6) AS outstanding_ratio,
+  tax_amount / (total_amount + 1e-6) AS tax_ratio,
+  contracted_value / 12 - total_amount AS contract_gap,
+  CAST(CASE WHEN invoice_status = 'overdue'
+            THEN GREATEST(date_diff('day', due_date, {AS_OF_SQL}), 0) ELSE 0 END AS DOUBLE) AS overdue_days,
+  max_days_late / (COALESCE(terms_raw, 30.0) + 1e-6) AS payment_delay_ratio,
+  failed_payment_count / (payment_count + 1e-6) AS failed_payment_rate,
+  total_attempts / (payment_count + 1e-6) AS retry_rate,
+  CASE WHEN invoice_status IN ('overdue', 'issued') AND total_paid = 0
+            AND due_date < {AS_OF_SQL} THEN 1 ELSE 0 END AS flag_missing_payment,
+  CASE WHEN bve < 0.85 THEN 1 ELSE 0 END AS flag_underbilling,
+  CASE WHEN duplicate_refund_count > 0 THEN 1 ELSE 0 END AS flag_duplicate_refund,
+  CASE WHEN dr > 0.30 THEN 1 ELSE 0 END AS flag_abnormal_discount,
+  CASE WHEN max_days_late > 30 THEN 1 ELSE 0 END AS flag_payment_delay,
+  GREATEST(CASE WHEN invoice_status IN ('overdue', 'issued') AND total_paid = 0
+                     AND due_date < {AS_OF_SQL} THEN 1 ELSE 0 END,
+           CASE WHEN bve < 0.85 THEN 1 ELSE 0 END,
+           CASE WHEN duplicate_refund_count > 0 THEN 1 ELSE 0 END,
+           CASE WHEN dr > 0.30 THEN 1 ELSE 0 END,
+           CASE WHEN max_days_late > 30 THEN 1 ELSE 0 END) AS leakage_label,
+  CAST(month(issue_date) AS DOUBLE) AS issue_month,
+  CAST(quarter(issue_date) AS DOUBLE) AS issue_quarter,
+  CAST(year(issue_date) AS INTEGER) AS issue_year,
+  CAST(date_diff('day', period_start, period_end) AS INTEGER) AS period_length_days,
+  CAST(CASE WHEN billing_cycle = 'annual' THEN 1 ELSE 0 END AS DOUBLE) AS is_annual_billing,
+  ln(1 + GREATEST(mrr, 0.0)) AS mrr_log
+FROM (
+  SELECT invoice_id, customer_id, invoice_status, due_date, issue_date, period_start, period_end,
+         billing_cycle, payment_terms_days AS terms_raw,
+         {", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _INV_NUM)},
+         COALESCE(CAST(total_amount AS DOUBLE), 0.0)
+           / (COALESCE(CAST(contracted_value AS DOUBLE), 0.0) / 12 + 1e-6) AS bve,
+         COALESCE(CAST(discount_amount AS DOUBLE), 0.0)
+           / (COALESCE(CAST(subtotal AS DOUBLE), 0.0) + 1e-6) AS dr
+  FROM ({M1_RAW}) m
+) d"""
+
+_CUST_NUM = ["tenure_days", "active_subscriptions", "total_subscriptions", "avg_mrr",
+             "total_arr", "avg_discount_pct", "invoice_count", "total_invoiced",
+             "total_outstanding", "overdue_invoice_count", "payment_count",
+             "failed_payment_count", "total_paid", "avg_days_late", "refund_count",
+             "total_refunded", "duplicate_refund_count"]
+
+M5 = f"""
+SELECT customer_id, segment, nation_key, {", ".join(_CUST_NUM)},
+  collection_rate, overdue_rate, failed_payment_rate, refund_rate, duplicate_refund_rate,
+  outstanding_ratio, mrr_log, tenure_years, segment_code, risk_tier_code, churn_flag,
+  CASE WHEN failed_payment_rate > 0.15 OR overdue_rate > 0.10 OR duplicate_refund_count > 0
+            OR avg_discount_pct > 30 OR outstanding_ratio > 0.20 THEN 1 ELSE 0 END AS leakage_label
+FROM (
+  SELECT *,
+    total_paid / (total_invoiced + 1e-6) AS collection_rate,
+    overdue_invoice_count / (invoice_count + 1e-6) AS overdue_rate,
+    failed_payment_count / (payment_count + 1e-6) AS failed_payment_rate,
+    refund_count / (invoice_count + 1e-6) AS refund_rate,
+    duplicate_refund_count / (refund_count + 1e-6) AS duplicate_refund_rate,
+    total_outstanding / (total_invoiced + 1e-6) AS outstanding_ratio,
+    ln(1 + GREATEST(avg_mrr, 0.0)) AS mrr_log,
+    tenure_days / 365.25 AS tenure_years,
+    CAST(CASE segment WHEN 'enterprise' THEN 3 WHEN 'mid_market' THEN 2 WHEN 'smb' THEN 1
+                      WHEN 'startup' THEN 0 ELSE 1 END AS INTEGER) AS segment_code,
+    CAST(CASE risk_tier WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0
+                        ELSE 1 END AS INTEGER) AS risk_tier_code,
+    CASE WHEN customer_status = 'churned' THEN 1 ELSE 0 END AS churn_flag
+  FROM (SELECT customer_id, segment, nation_key, customer_status, risk_tier,
+               {", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _CUST_NUM)}
+        FROM ({M2_RAW}) m) d
+) e"""
+
+
+def _m6(by: list[str]) -> str:
+    part = f"PARTITION BY {', '.join(by)} " if by else ""
+    w = f"(w ROWS BETWEEN {{n}} PRECEDING AND CURRENT ROW)"
+    mas = ",\n  ".join(
+        f"AVG(total_invoiced) OVER {w.format(n=n - 1)} AS invoiced_ma{n}, "
+        f"AVG(total_collected) OVER {w.format(n=n - 1)} AS collected_ma{n}" for n in (3, 6, 12))
+    keys = "".join(f"{x}, " for x in by)
+    return f"""
+SELECT {keys}period_month, total_invoiced, total_collected, invoice_count, total_outstanding,
+  overdue_amount, total_discounted, total_tax,
+  total_collected / (total_invoiced + 1e-6) AS collection_rate,
+  {mas},
+  COALESCE(total_invoiced / NULLIF(LAG(total_invoiced) OVER w, 0) - 1, 0) AS invoiced_mom_pct,
+  COALESCE(total_collected / NULLIF(LAG(total_collected) OVER w, 0) - 1, 0) AS collected_mom_pct,
+  COALESCE(total_invoiced / NULLIF(LAG(total_invoiced, 12) OVER w, 0) - 1, 0) AS invoiced_yoy_pct,
+  CAST(CAST(period_month || '-01' AS DATE) AS VARCHAR) AS period_dt,
+  CAST(month(CAST(period_month || '-01' AS DATE)) AS INTEGER) AS month_num,
+  CAST(quarter(CAST(period_month || '-01' AS DATE)) AS INTEGER) AS quarter
+FROM (SELECT {keys}period_month, invoice_count,
+             COALESCE(CAST(total_invoiced AS DOUBLE), 0.0) AS total_invoiced,
+             COALESCE(CAST(total_collected AS DOUBLE), 0.0) AS total_collected,
+             COALESCE(CAST(total_outstanding AS DOUBLE), 0.0) AS total_outstanding,
+             COALESCE(CAST(overdue_amount AS DOUBLE), 0.0) AS overdue_amount,
+             CAST(total_discounted AS DOUBLE) AS total_discounted,
+             CAST(total_tax AS DOUBLE) AS total_tax
+      FROM ({_m3(by)}) m) t
+WINDOW w AS ({part}ORDER BY period_month)"""
+
+
+ORACLE.update({
+    "a1_payments_by_invoice": _q(_flat(A1, ["total_paid"])),
+    "a2_refunds_by_invoice": _q(_flat(A2, ["refund_amount"])),
+    "a3_subscriptions_by_customer": _q(_flat(A3, ["total_arr"])),
+    "a4_invoices_by_customer": _q(_flat(A4, ["total_invoiced", "total_outstanding"])),
+    "a5_payments_by_customer": _q(_flat(A5, ["total_paid"])),
+    "a6_refunds_by_customer": _q(_flat(A6, ["total_refunded"])),
+    "m1_invoice_mart": _q(_flat(M1_RAW, M1_MONEY, M1_DATES)),
+    "m2_customer_mart": _q(_flat(M2_RAW, M2_MONEY, ["acquisition_date", "churn_date"])),
+    "m3_monthly_revenue": _q(_flat(_m3([]), M3_MONEY)),
+    "m3_monthly_revenue_by_segment": _q(_flat(_m3(["segment"]), M3_MONEY)),
+    "m4_invoice_features": _q(M4),
+    "m5_customer_features": _q(M5),
+    "m6_time_series_features": _q(_m6([])),
+    "m6_time_series_features_by_segment": _q(_m6(["segment"])),
+})
