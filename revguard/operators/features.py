@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
@@ -178,3 +178,31 @@ def feature_matrix(df: DataFrame, cols: list[str], label: str | None = "leakage_
     if label and label in df.columns:
         out.append(F.col(label).cast("double").alias("label"))
     return df.select(*out)
+
+
+def rule_score(feat: DataFrame) -> Column:
+    """Deterministic stand-in probability: mean of the five flags and the clipped
+    outstanding ratio.  Used where a score is needed but no model is trained
+    (serving queries, metric checks), so results stay reproducible in SQL.
+    """
+    orr = F.least(F.greatest(F.col("outstanding_ratio"), F.lit(0.0)), F.lit(1.0))
+    s = sum((F.col(f).cast("double") for f in INVOICE_FLAGS), orr)
+    return s / 6.0
+
+
+def clipped(col: str) -> Column:
+    return F.least(F.greatest(F.col(col).cast("double"), F.lit(0.0)), F.lit(1.0))
+
+
+# Deterministic score columns evaluated side by side (long-form, one row per model).
+def stand_in_scores(feat: DataFrame) -> DataFrame:
+    """Long-form ``(invoice_id, model_name, label, score)`` of deterministic scores."""
+    models = {
+        "rule_blend": rule_score(feat),
+        "outstanding_ratio": clipped("outstanding_ratio"),
+        "failed_payment_rate": clipped("failed_payment_rate"),
+        "discount_ratio": clipped("discount_ratio"),
+    }
+    arr = F.array(*[F.struct(F.lit(k).alias("model_name"), v.alias("score")) for k, v in models.items()])
+    return feat.select("invoice_id", F.col("leakage_label").alias("label"),
+                       F.explode(arr).alias("m")).select("invoice_id", "m.model_name", "label", "m.score")

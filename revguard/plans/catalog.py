@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from revguard.operators import features, marts, rules
+from revguard.operators import features, marts, metrics, rank, rules
 from revguard.sources.billing import billing_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,7 +94,7 @@ def customer_features(b):
     return features.customer_features(marts.customer_mart(b))
 
 
-_M4_OUT = (["invoice_id", "customer_id"] + features._INVOICE_NUMERIC +
+_M4_OUT = (["invoice_id", "customer_id", "issue_date"] + features._INVOICE_NUMERIC +
            ["billed_vs_expected_ratio", "paid_vs_billed_ratio", "refund_ratio", "discount_ratio",
             "outstanding_ratio", "tax_ratio", "contract_gap", "overdue_days",
             "payment_delay_ratio", "failed_payment_rate", "retry_rate"] + features.INVOICE_FLAGS +
@@ -110,3 +110,36 @@ QUERIES.update({
         lambda b: features.time_series_features(marts.monthly_revenue(b, by=["segment"]),
                                                  keys=["segment"])),
 })
+
+
+TRAIN, VAL = 0.70, 0.15
+
+
+def test_scores(b):
+    """Stand-in scores of the test split (last 15 % by (issue_date, invoice_id))."""
+    feat = rank.time_split(invoice_features(b), "issue_date", "invoice_id", train=TRAIN, val=VAL)
+    return features.stand_in_scores(feat.filter(F.col("split") == "test"))
+
+
+QUERIES.update({
+    "w6_time_split_summary": _b(lambda b: rank.split_summary(
+        rank.time_split(invoice_features(b), "issue_date", "invoice_id", train=TRAIN, val=VAL),
+        "issue_date")),
+    "w1_percent_rank": _b(lambda b: rank.percent_rank(
+        invoice_features(b).select("invoice_id", features.rule_score(invoice_features(b)).alias("score")),
+        "score").select("invoice_id", "score", (F.col("percent_rank") * 100).alias("rank_percentile"))),
+    "w1_percent_rank_by_billing": _b(lambda b: rank.percent_rank(
+        invoice_features(b).select("invoice_id", "is_annual_billing",
+                                   features.rule_score(invoice_features(b)).alias("score")),
+        "score", partition_cols=["is_annual_billing"])
+        .select("invoice_id", "is_annual_billing", "score",
+                (F.col("percent_rank") * 100).alias("rank_percentile"))),
+    "v7_model_comparison": _b(lambda b: metrics.evaluate(test_scores(b))),
+    "v5_class_report": _b(lambda b: metrics.class_report(test_scores(b))),
+    "v6_anomaly_proxy_eval": _b(lambda b: metrics.evaluate(
+        metrics.anomaly_proxy(test_scores(b).filter(F.col("model_name") == "rule_blend")
+                              .withColumn("if_score", -F.col("score")), "if_score")
+        .withColumn("model_name", F.lit("rule_blend_proxy")))),
+    "a14_class_balance": _b(lambda b: metrics.class_balance(
+        invoice_features(b).withColumn("label", F.col("leakage_label")))),
+})

@@ -238,7 +238,7 @@ _INV_NUM = ["subtotal", "tax_amount", "discount_amount", "total_amount", "paid_a
             "quantity", "contracted_value", "payment_terms_days", "contract_discount_pct"]
 
 M4 = f"""
-SELECT invoice_id, customer_id, {", ".join(_INV_NUM)},
+SELECT invoice_id, customer_id, CAST(issue_date AS VARCHAR) AS issue_date, {", ".join(_INV_NUM)},
   bve AS billed_vs_expected_ratio,
   total_paid / (total_amount + 1e-6) AS paid_vs_billed_ratio,
   refund_amount / (total_paid + 1e-6) AS refund_ratio,
@@ -358,3 +358,123 @@ ORACLE.update({
     "m6_time_series_features": _q(_m6([])),
     "m6_time_series_features_by_segment": _q(_m6(["segment"])),
 })
+
+
+# ---------------------------------------------------------------------------
+# Windows W1/W6 and metrics V1-V7 over deterministic stand-in scores
+# ---------------------------------------------------------------------------
+
+_CUT2 = repr(0.70 + 0.15)
+_RULE = ("(flag_missing_payment + flag_underbilling + flag_duplicate_refund + flag_abnormal_discount"
+         " + flag_payment_delay + LEAST(GREATEST(outstanding_ratio, 0.0), 1.0)) / 6.0")
+
+
+def _clip(c: str) -> str:
+    return f"LEAST(GREATEST(CAST({c} AS DOUBLE), 0.0), 1.0)"
+
+
+FEAT = f", feat AS ({M4})\n"
+SPLIT = f"""
+, sp AS (SELECT *, row_number() OVER (ORDER BY issue_date, invoice_id) - 1 AS i,
+                COUNT(*) OVER () AS n FROM feat)
+, test AS (SELECT * FROM sp WHERE i >= floor(n * {_CUT2}))
+, long AS (
+  SELECT invoice_id, 'rule_blend' AS model_name, leakage_label AS label, {_RULE} AS score FROM test
+  UNION ALL SELECT invoice_id, 'outstanding_ratio', leakage_label, {_clip("outstanding_ratio")} FROM test
+  UNION ALL SELECT invoice_id, 'failed_payment_rate', leakage_label, {_clip("failed_payment_rate")} FROM test
+  UNION ALL SELECT invoice_id, 'discount_ratio', leakage_label, {_clip("discount_ratio")} FROM test)
+"""
+
+
+def _eval(src: str) -> str:
+    return f"""
+, conf AS (
+  SELECT model_name, COUNT(*) AS n_samples,
+         COUNT(*) FILTER (WHERE label = 1) AS n_positive,
+         COUNT(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp,
+         COUNT(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp,
+         COUNT(*) FILTER (WHERE label <> 1 AND score < 0.5) AS tn,
+         COUNT(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn
+  FROM {src} GROUP BY model_name)
+, g AS (SELECT model_name, score,
+               CAST(COUNT(*) FILTER (WHERE label = 1) AS DOUBLE) AS pos,
+               CAST(COUNT(*) FILTER (WHERE label <> 1) AS DOUBLE) AS neg
+        FROM {src} GROUP BY model_name, score)
+, c AS (SELECT *,
+          SUM(pos) OVER (PARTITION BY model_name ORDER BY score DESC
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_,
+          SUM(neg) OVER (PARTITION BY model_name ORDER BY score DESC
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp_,
+          SUM(pos) OVER (PARTITION BY model_name) AS P,
+          SUM(neg) OVER (PARTITION BY model_name) AS N
+        FROM g)
+, rk AS (SELECT model_name,
+           SUM(pos * ((N - fp_) + neg / 2)) / (MAX(P) * MAX(N)) AS roc_auc,
+           SUM(pos * tp_ / (tp_ + fp_)) / MAX(P) AS pr_auc,
+           FIRST(score ORDER BY tp_ / P - fp_ / N DESC, score DESC) AS optimal_threshold,
+           MAX(tp_ / P - fp_ / N) AS youden_j
+         FROM c GROUP BY model_name)
+SELECT conf.*, CAST(n_positive AS DOUBLE) / n_samples * 100 AS leakage_rate_pct,
+       CAST(tp + tn AS DOUBLE) / n_samples AS accuracy,
+       COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0) AS precision,
+       COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0) AS recall,
+       COALESCE(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0) AS f1_score,
+       rk.roc_auc, rk.pr_auc, rk.optimal_threshold, rk.youden_j
+FROM conf JOIN rk USING (model_name)"""
+
+
+V5 = """
+, conf AS (
+  SELECT model_name,
+         CAST(COUNT(*) FILTER (WHERE label = 1 AND score >= 0.5) AS DOUBLE) AS tp,
+         CAST(COUNT(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS DOUBLE) AS fp,
+         CAST(COUNT(*) FILTER (WHERE label <> 1 AND score < 0.5) AS DOUBLE) AS tn,
+         CAST(COUNT(*) FILTER (WHERE label = 1 AND score < 0.5) AS DOUBLE) AS fn
+  FROM long GROUP BY model_name)
+, pr AS (SELECT model_name, tp + fn AS s1, tn + fp AS s0,
+           COALESCE(tp / NULLIF(tp + fp, 0), 0) AS p1, COALESCE(tp / NULLIF(tp + fn, 0), 0) AS r1,
+           COALESCE(tn / NULLIF(tn + fn, 0), 0) AS p0, COALESCE(tn / NULLIF(tn + fp, 0), 0) AS r0
+         FROM conf)
+, f AS (SELECT *, COALESCE(2 * p1 * r1 / NULLIF(p1 + r1, 0), 0) AS f1,
+                  COALESCE(2 * p0 * r0 / NULLIF(p0 + r0, 0), 0) AS f0 FROM pr)
+SELECT model_name, '0' AS cls, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM f
+UNION ALL SELECT model_name, '1', p1, r1, f1, s1 FROM f
+UNION ALL SELECT model_name, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM f
+UNION ALL SELECT model_name, 'weighted avg',
+       COALESCE((p0 * s0 + p1 * s1) / NULLIF(s0 + s1, 0), 0),
+       COALESCE((r0 * s0 + r1 * s1) / NULLIF(s0 + s1, 0), 0),
+       COALESCE((f0 * s0 + f1 * s1) / NULLIF(s0 + s1, 0), 0), s0 + s1 FROM f"""
+
+V6 = """
+, rb AS (SELECT invoice_id, label, -score AS if_score FROM long WHERE model_name = 'rule_blend')
+, mm AS (SELECT MIN(-if_score) AS lo, MAX(-if_score) AS hi FROM rb)
+, prox AS (SELECT 'rule_blend_proxy' AS model_name, label,
+                  (-if_score - lo) / (hi - lo + 1e-9) AS score FROM rb, mm)
+"""
+
+W6 = f"""
+, sp AS (SELECT *, row_number() OVER (ORDER BY issue_date, invoice_id) - 1 AS i,
+                COUNT(*) OVER () AS n FROM feat)
+SELECT CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * {_CUT2}) THEN 'val'
+            ELSE 'test' END AS split,
+       COUNT(*) AS rows, MIN(issue_date) AS min_date, MAX(issue_date) AS max_date
+FROM sp GROUP BY 1"""
+
+ORACLE.update({
+    "w6_time_split_summary": _q(FEAT + W6),
+    "w1_percent_rank": _q(FEAT + f"""
+SELECT invoice_id, {_RULE} AS score,
+       PERCENT_RANK() OVER (ORDER BY {_RULE}) * 100 AS rank_percentile FROM feat"""),
+    "w1_percent_rank_by_billing": _q(FEAT + f"""
+SELECT invoice_id, is_annual_billing, {_RULE} AS score,
+       PERCENT_RANK() OVER (PARTITION BY is_annual_billing ORDER BY {_RULE}) * 100 AS rank_percentile
+FROM feat"""),
+    "v7_model_comparison": _q(FEAT + SPLIT + _eval("long")),
+    "v5_class_report": _q(FEAT + SPLIT + V5),
+    "v6_anomaly_proxy_eval": _q(FEAT + SPLIT + V6 + _eval("prox")),
+    "a14_class_balance": _q(FEAT + """
+SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE leakage_label = 1) AS n_pos,
+       AVG(CAST(leakage_label AS DOUBLE)) AS positive_rate,
+       CAST(COUNT(*) - COUNT(*) FILTER (WHERE leakage_label = 1) AS DOUBLE)
+         / COUNT(*) FILTER (WHERE leakage_label = 1) AS neg_pos_ratio FROM feat"""),
+})
