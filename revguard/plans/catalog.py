@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
+from revguard.functions import exprs as X
 from revguard.operators import features, marts, metrics, rank, rules
 from revguard.sources.billing import billing_views
 
@@ -143,3 +144,81 @@ QUERIES.update({
     "a14_class_balance": _b(lambda b: metrics.class_balance(
         invoice_features(b).withColumn("label", F.col("leakage_label")))),
 })
+
+
+# ---------------------------------------------------------------------------
+# Serving queries D1-D13, E1-E7 over the stand-in score tables
+# ---------------------------------------------------------------------------
+from revguard.plans import scores as S  # noqa: E402
+from revguard.plans import serve as D  # noqa: E402
+
+STAND_IN = "rule_blend"
+
+
+def _risk(b):
+    return S.stand_in_risk_scores(invoice_features(b), b.as_of)
+
+
+def _anom(b):
+    return S.stand_in_anomaly_scores(invoice_features(b), b.as_of)
+
+
+def _page(rows_and_count, part):
+    return rows_and_count[0] if part == "rows" else rows_and_count[1]
+
+
+QUERIES.update({
+    "f21_top_invoice_features": _b(lambda b: invoice_features(b).select(
+        "invoice_id", *[F.element_at(X.top_abs_names(features.TOP_FEATURE_CANDIDATES, 5), i + 1)
+                        .alias(f"top_feature_{i + 1}") for i in range(5)])),
+    "w5_latest_risk_per_invoice": _b(lambda b: D.latest(
+        _risk(b).select("invoice_id", "model_version", "leakage_probability", "risk_severity",
+                        "scored_at"), "invoice_id")),
+    "d1_kpis": _b(lambda b: D.kpis(b, _risk(b), _anom(b), model_name=STAND_IN)),
+    "d2_revenue_trend_actuals": _b(lambda b: D.revenue_by_month(b).select("month", "invoiced", "collected")),
+    "d3_top_risks": _b(lambda b: D.top_risks(b, _risk(b), model_name=STAND_IN, limit=15)),
+    "d4_risk_distribution": _b(lambda b: D.risk_distribution(_risk(b), model_name=STAND_IN)),
+    "d5_leakage_by_rule": _b(lambda b: D.leakage_by_rule(rules.run_rules(b))),
+    "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b))),
+    "d7_invoice_detail": _b(lambda b: D.invoice_detail(b, _risk(b), _anom(b), rules.run_rules(b),
+                                                       model_name=STAND_IN)),
+    "d8_revenue_breakdown": _b(D.revenue_by_month),
+    "d9_outstanding_invoices": _b(lambda b: D.outstanding_invoices(b, limit=100)),
+    "d9_outstanding_total": _b(lambda b: D.list_total(D.outstanding_invoices(b, limit=100),
+                                                      "outstanding_amount", "total_outstanding")),
+    "d10_overdue_invoices": _b(lambda b: D.overdue_invoices(b, limit=200)),
+    "d10_overdue_total": _b(lambda b: D.list_total(D.overdue_invoices(b, limit=200),
+                                                   "outstanding_amount", "total_overdue_amount")),
+    "d11_high_risk_top": _b(lambda b: D.top_risks(b, _risk(b), model_name=STAND_IN, limit=100,
+                                                  severities=["critical", "high"], n_features=2)
+                            .drop("invoice_status")),
+    "d12_anomaly_totals": _b(lambda b: D.anomaly_totals(_anom(b))),
+    "d12_top_anomalies": _b(lambda b: D.top_anomalies(b, _anom(b), limit=100)),
+    "d13_duplicate_refunds": _b(D.duplicate_refunds),
+    "d13_duplicate_refund_total": _b(lambda b: D.list_total(D.duplicate_refunds(b), "amount",
+                                                            "total_amount")),
+    "e1_customers_page": _b(lambda b: D.list_entity(
+        D.customers_view(b), key="customer_id", filters={"segment": "enterprise"},
+        search="customer#00000", search_cols=["name", "external_id"],
+        default=["-acquisition_date"], page=2)[0]),
+    "e1_customers_count": _b(lambda b: D.list_entity(
+        D.customers_view(b), key="customer_id", filters={"segment": "enterprise"},
+        search="customer#00000", search_cols=["name", "external_id"],
+        default=["-acquisition_date"], page=2)[1]),
+    "e1_customer_rollup": _b(lambda b: D.customer_rollup(b, _risk(b))),
+    "e2_invoices_page": _b(lambda b: D.list_entity(
+        D.invoices_view(b, _risk(b)), key="invoice_id", filters={"status": "overdue"},
+        ordering="-total_amount", allowed=["issue_date", "due_date", "total_amount",
+                                           "outstanding_amount"], default=["-issue_date"])[0]),
+    "e3_alerts_page": _b(lambda b: D.list_entity(
+        D.alerts_view(b, rules.flat(rules.run_rules(b))), key="source_ref",
+        filters={"rule_code": "UNDERBILLING", "severity": "high"}, ordering="-leakage_amount",
+        allowed=["leakage_amount", "severity"], page=3)[0]),
+    "e5_risk_page": _b(lambda b: D.list_entity(
+        D.scores_view(b, _risk(b)).drop("top_features", "feature_snapshot"), key="invoice_id",
+        filters={"risk_severity": "medium", "model_version": "v1"}, search="customer#",
+        search_cols=["customer_name"], default=["-leakage_probability"])[0]),
+    "e6_anomaly_page": _b(lambda b: D.list_entity(
+        D.scores_view(b, _anom(b)).drop("top_features"), key="invoice_id",
+        filters={"is_anomaly": True}, default=["score"], page=4)[0]),
+})

@@ -478,3 +478,253 @@ SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE leakage_label = 1) AS n_pos,
        CAST(COUNT(*) - COUNT(*) FILTER (WHERE leakage_label = 1) AS DOUBLE)
          / COUNT(*) FILTER (WHERE leakage_label = 1) AS neg_pos_ratio FROM feat"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# Serving queries D1-D13, E1-E7 over the stand-in score tables
+# ---------------------------------------------------------------------------
+
+_TOPF = ["failed_payment_rate", "overdue_days", "contract_gap", "refund_ratio", "discount_ratio",
+         "outstanding_ratio", "billed_vs_expected_ratio", "duplicate_refund_count",
+         "payment_delay_ratio", "retry_rate"]
+_V0_TS = "TIMESTAMP '2001-07-03 00:00:00'"
+_V1_TS = "TIMESTAMP '2001-08-02 00:00:00'"
+_ALERTS_DEC = ALL_ALERTS  # leakage as double; sums compared after rounding
+
+SCORES = f"""
+, rs AS (
+  SELECT customer_id, invoice_id, 'rule_blend' AS model_name, 'v1' AS model_version,
+         {_RULE} AS p, {_V1_TS} AS scored_at FROM feat
+  UNION ALL
+  SELECT customer_id, invoice_id, 'rule_blend', 'v0', {_clip("outstanding_ratio")}, {_V0_TS} FROM feat)
+, risk AS (
+  SELECT customer_id, invoice_id, model_name, model_version, scored_at, p AS leakage_probability,
+         CASE WHEN p >= 0.8 THEN 'critical' WHEN p >= 0.6 THEN 'high' WHEN p >= 0.4 THEN 'medium'
+              ELSE 'low' END AS risk_severity,
+         PERCENT_RANK() OVER (PARTITION BY model_name, model_version ORDER BY p) * 100 AS rank_percentile
+  FROM rs)
+, an0 AS (SELECT customer_id, invoice_id, 'v1' AS model_version, 0.3 - {_RULE} AS score,
+                 0.3 - {_RULE} < 0 AS is_anomaly, {_V1_TS} AS scored_at FROM feat)
+, anom AS (SELECT an0.*, (-score - lo) / (hi - lo + 1e-9) AS if_prob_proxy
+           FROM an0, (SELECT MIN(-score) AS lo, MAX(-score) AS hi FROM an0) mm)
+, tfl AS (
+  SELECT invoice_id, name,
+         ROW_NUMBER() OVER (PARTITION BY invoice_id ORDER BY ABS(v) DESC, idx) AS r
+  FROM (SELECT invoice_id, {", ".join(_TOPF)} FROM feat)
+       UNPIVOT (v FOR name IN ({", ".join(_TOPF)})) u
+  JOIN (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(_TOPF))}) AS o(oname, idx)
+    ON o.oname = u.name)
+, tf AS (SELECT invoice_id, {", ".join(f"MAX(CASE WHEN r = {k} THEN name END) AS top_feature_{k}"
+                                        for k in range(1, 6))}
+         FROM tfl GROUP BY invoice_id)
+, alerts AS ({ALL_ALERTS})
+"""
+
+
+def _top_risk(limit: int, sev: str, nfeat: int, status: bool) -> str:
+    feats = ", ".join(f"tf.top_feature_{k}" for k in range(1, nfeat + 1))
+    st = ", i.status AS invoice_status" if status else ""
+    return f"""
+SELECT r.invoice_id, i.invoice_number, c.name AS customer_name, c.segment AS customer_segment,
+       r.leakage_probability, r.risk_severity, r.rank_percentile, {feats},
+       CAST(i.total_amount AS DOUBLE) AS invoice_amount{st}, r.model_version
+FROM (SELECT * FROM risk WHERE model_name = 'rule_blend' {sev}
+      ORDER BY leakage_probability DESC, invoice_id, model_version LIMIT {limit}) r
+JOIN customers c ON c.customer_id = r.customer_id
+LEFT JOIN invoices i ON i.invoice_id = r.invoice_id
+LEFT JOIN tf ON tf.invoice_id = r.invoice_id"""
+
+
+D_PRE = FEAT + SCORES
+
+D9_LIST = f"""
+SELECT i.invoice_number, i.invoice_id, c.name AS customer_name, c.segment AS customer_segment,
+       CAST(i.total_amount AS DOUBLE) AS total_amount,
+       CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount,
+       CAST(i.due_date AS VARCHAR) AS due_date, i.status,
+       CASE WHEN i.due_date < {AS_OF_SQL} THEN GREATEST(date_diff('day', i.due_date, {AS_OF_SQL}), 0)
+            ELSE 0 END AS days_overdue
+FROM (SELECT * FROM invoices WHERE NOT is_deleted AND outstanding_amount > 0
+      ORDER BY outstanding_amount DESC, invoice_id LIMIT 100) i
+JOIN customers c ON c.customer_id = i.customer_id"""
+
+D10_LIST = f"""
+SELECT i.invoice_id, i.invoice_number, c.name AS customer_name, c.segment,
+       CAST(i.total_amount AS DOUBLE) AS total_amount,
+       CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount,
+       CAST(i.due_date AS VARCHAR) AS due_date,
+       CAST(date_diff('day', i.due_date, {AS_OF_SQL}) AS INTEGER) AS days_overdue
+FROM invoices i JOIN customers c ON c.customer_id = i.customer_id
+WHERE NOT i.is_deleted AND i.status = 'overdue'
+ORDER BY days_overdue DESC, i.invoice_id LIMIT 200"""
+
+D13_LIST = """
+SELECT r.refund_number, c.name AS customer_name, c.segment AS customer_segment, i.invoice_number,
+       CAST(r.amount AS DOUBLE) AS amount, r.reason, r.status,
+       strftime(r.requested_at, '%Y-%m-%d %H:%M') AS requested_at,
+       strftime(r.processed_at, '%Y-%m-%d %H:%M') AS processed_at
+FROM refunds r JOIN customers c ON c.customer_id = r.customer_id
+LEFT JOIN invoices i ON i.invoice_id = r.invoice_id
+WHERE r.is_duplicate"""
+
+ORACLE.update({
+    "f21_top_invoice_features": _q(D_PRE + """
+SELECT f.invoice_id, tf.top_feature_1, tf.top_feature_2, tf.top_feature_3, tf.top_feature_4,
+       tf.top_feature_5 FROM feat f LEFT JOIN tf USING (invoice_id)"""),
+    "w5_latest_risk_per_invoice": _q(D_PRE + """
+SELECT invoice_id, model_version, leakage_probability, risk_severity,
+       CAST(scored_at AS VARCHAR) AS scored_at
+FROM risk QUALIFY ROW_NUMBER() OVER (PARTITION BY invoice_id
+                                     ORDER BY scored_at DESC, model_version DESC) = 1"""),
+    "d1_kpis": _q(D_PRE + """
+SELECT CAST(i.total_invoiced AS DOUBLE) AS total_invoiced,
+       CAST(i.total_collected AS DOUBLE) AS total_collected,
+       CAST(i.total_outstanding AS DOUBLE) AS total_outstanding,
+       CAST(i.total_discounted AS DOUBLE) AS total_discounted, i.overdue_invoices,
+       rk.high_risk_invoices, an.anomalies_detected, d.duplicate_refunds,
+       CAST(d.duplicate_refund_amount AS DOUBLE) AS duplicate_refund_amount,
+       cu.customers_total, cu.customers_active, cu.customers_churned,
+       COALESCE(CAST(i.total_collected AS DOUBLE) * 100 / NULLIF(CAST(i.total_invoiced AS DOUBLE), 0), 0)
+         AS collection_rate_pct,
+       COALESCE(CAST(cu.customers_churned AS DOUBLE) * 100 / NULLIF(cu.customers_total, 0), 0)
+         AS churn_rate_pct
+FROM (SELECT SUM(total_amount) AS total_invoiced, SUM(paid_amount) AS total_collected,
+             SUM(outstanding_amount) AS total_outstanding, SUM(discount_amount) AS total_discounted,
+             COUNT(*) FILTER (WHERE status = 'overdue') AS overdue_invoices
+      FROM invoices WHERE NOT is_deleted) i,
+     (SELECT COUNT(*) FILTER (WHERE risk_severity IN ('high', 'critical')
+                              AND model_name = 'rule_blend') AS high_risk_invoices FROM risk) rk,
+     (SELECT COUNT(*) FILTER (WHERE is_anomaly) AS anomalies_detected FROM anom) an,
+     (SELECT COUNT(*) AS duplicate_refunds, COALESCE(SUM(amount), 0) AS duplicate_refund_amount
+      FROM refunds WHERE is_duplicate) d,
+     (SELECT COUNT(*) AS customers_total,
+             COUNT(*) FILTER (WHERE status = 'active') AS customers_active,
+             COUNT(*) FILTER (WHERE status = 'churned') AS customers_churned
+      FROM customers WHERE NOT is_deleted) cu"""),
+    "d2_revenue_trend_actuals": _q("""
+SELECT strftime(issue_date, '%Y-%m') AS month, CAST(SUM(total_amount) AS DOUBLE) AS invoiced,
+       CAST(SUM(paid_amount) AS DOUBLE) AS collected
+FROM invoices WHERE NOT is_deleted GROUP BY 1"""),
+    "d3_top_risks": _q(D_PRE + _top_risk(15, "", 3, True)),
+    "d4_risk_distribution": _q(D_PRE + """
+SELECT risk_severity, COUNT(*) AS count FROM risk WHERE model_name = 'rule_blend' GROUP BY 1"""),
+    "d5_leakage_by_rule": _q(D_PRE + """
+SELECT rule_code, severity, COUNT(*) AS count, SUM(leakage_amount) AS total_amount,
+       COUNT(*) AS unresolved FROM alerts GROUP BY rule_code, severity"""),
+    "d6_anomaly_timeline": _q(D_PRE + """
+SELECT strftime(scored_at, '%Y-%m') AS month, COUNT(*) AS total_scored,
+       CAST(SUM(CASE WHEN is_anomaly THEN 1 ELSE 0 END) AS BIGINT) AS anomalies FROM anom GROUP BY 1"""),
+    "d7_invoice_detail": _q(D_PRE + """
+SELECT i.invoice_id, i.customer_id, i.invoice_number, i.status,
+       CAST(i.issue_date AS VARCHAR) AS issue_date, CAST(i.due_date AS VARCHAR) AS due_date,
+       CAST(i.total_amount AS DOUBLE) AS total_amount, CAST(i.paid_amount AS DOUBLE) AS paid_amount,
+       CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount,
+       CAST(i.discount_amount AS DOUBLE) AS discount_amount,
+       c.name AS customer_name, c.segment AS customer_segment, c.status AS customer_status,
+       lr.leakage_probability, lr.risk_severity, lr.rank_percentile,
+       la.score AS anomaly_score, la.is_anomaly, la.if_prob_proxy,
+       COALESCE(ag.alert_count, 0) AS alert_count, ag.alert_leakage
+FROM invoices i
+LEFT JOIN customers c ON c.customer_id = i.customer_id
+LEFT JOIN (SELECT * FROM risk WHERE model_name = 'rule_blend'
+           QUALIFY ROW_NUMBER() OVER (PARTITION BY invoice_id
+                                      ORDER BY scored_at DESC, model_version DESC) = 1) lr
+  ON lr.invoice_id = i.invoice_id
+LEFT JOIN (SELECT * FROM anom QUALIFY ROW_NUMBER() OVER (PARTITION BY invoice_id
+                                      ORDER BY scored_at DESC, model_version DESC) = 1) la
+  ON la.invoice_id = i.invoice_id
+LEFT JOIN (SELECT invoice_id, COUNT(*) AS alert_count, SUM(leakage_amount) AS alert_leakage
+           FROM alerts GROUP BY invoice_id) ag ON ag.invoice_id = i.invoice_id"""),
+    "d8_revenue_breakdown": _q("""
+SELECT month, invoice_count, CAST(invoiced AS DOUBLE) AS invoiced,
+       CAST(collected AS DOUBLE) AS collected, CAST(outstanding AS DOUBLE) AS outstanding,
+       COALESCE(CAST(collected AS DOUBLE) * 100 / NULLIF(CAST(invoiced AS DOUBLE), 0), 0) AS collection_rate
+FROM (SELECT strftime(issue_date, '%Y-%m') AS month, COUNT(*) AS invoice_count,
+             SUM(total_amount) AS invoiced, SUM(paid_amount) AS collected,
+             SUM(outstanding_amount) AS outstanding
+      FROM invoices WHERE NOT is_deleted GROUP BY 1) m"""),
+    "d9_outstanding_invoices": _q(D9_LIST),
+    "d9_outstanding_total": _q(f"""
+SELECT COALESCE(SUM(outstanding_amount), 0) AS total_outstanding, COUNT(*) AS count
+FROM ({D9_LIST}) t"""),
+    "d10_overdue_invoices": _q(D10_LIST),
+    "d10_overdue_total": _q(f"""
+SELECT COALESCE(SUM(outstanding_amount), 0) AS total_overdue_amount, COUNT(*) AS count
+FROM ({D10_LIST}) t"""),
+    "d11_high_risk_top": _q(D_PRE + _top_risk(100, "AND risk_severity IN ('critical', 'high')", 2, False)),
+    "d12_anomaly_totals": _q(D_PRE + """
+SELECT COUNT(*) FILTER (WHERE is_anomaly) AS total_anomalies, COUNT(*) AS total_scored,
+       COALESCE(CAST(COUNT(*) FILTER (WHERE is_anomaly) AS DOUBLE) * 100 / NULLIF(COUNT(*), 0), 0)
+         AS anomaly_rate_pct FROM anom"""),
+    "d12_top_anomalies": _q(D_PRE + """
+SELECT a.invoice_id, i.invoice_number, c.name AS customer_name, c.segment AS customer_segment,
+       a.score AS if_score, COALESCE(a.if_prob_proxy, 0) AS if_prob_proxy,
+       tf.top_feature_1, tf.top_feature_2, tf.top_feature_3,
+       CAST(i.total_amount AS DOUBLE) AS invoice_amount
+FROM (SELECT * FROM anom WHERE is_anomaly ORDER BY score, invoice_id LIMIT 100) a
+LEFT JOIN customers c ON c.customer_id = a.customer_id
+LEFT JOIN invoices i ON i.invoice_id = a.invoice_id
+LEFT JOIN tf ON tf.invoice_id = a.invoice_id"""),
+    "d13_duplicate_refunds": _q(D13_LIST),
+    "d13_duplicate_refund_total": _q(f"""
+SELECT COALESCE(SUM(amount), 0) AS total_amount, COUNT(*) AS count FROM ({D13_LIST}) t"""),
+    "e1_customers_page": _q("""
+SELECT customer_id, external_id, name, segment, status, nation_key,
+       CAST(acquisition_date AS VARCHAR) AS acquisition_date, CAST(churn_date AS VARCHAR) AS churn_date,
+       risk_tier, CAST(credit_limit AS DOUBLE) AS credit_limit
+FROM customers
+WHERE NOT is_deleted AND segment = 'enterprise'
+  AND (lower(name) LIKE '%customer#00000%' OR lower(external_id) LIKE '%customer#00000%')
+ORDER BY acquisition_date DESC, customer_id LIMIT 50 OFFSET 50"""),
+    "e1_customers_count": _q("""
+SELECT COUNT(*) AS count FROM customers
+WHERE NOT is_deleted AND segment = 'enterprise'
+  AND (lower(name) LIKE '%customer#00000%' OR lower(external_id) LIKE '%customer#00000%')"""),
+    "e1_customer_rollup": _q(D_PRE + """
+SELECT c.customer_id, c.name, c.segment, COALESCE(a.total_invoices, 0) AS total_invoices,
+       CAST(COALESCE(a.total_invoiced, 0) AS DOUBLE) AS total_invoiced,
+       CAST(COALESCE(a.total_paid, 0) AS DOUBLE) AS total_paid,
+       lr.leakage_probability, lr.risk_severity
+FROM customers c
+LEFT JOIN (SELECT customer_id, COUNT(*) AS total_invoices, SUM(total_amount) AS total_invoiced,
+                  SUM(paid_amount) AS total_paid FROM invoices WHERE NOT is_deleted
+           GROUP BY customer_id) a ON a.customer_id = c.customer_id
+LEFT JOIN (SELECT * FROM risk QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_id
+                                       ORDER BY scored_at DESC, invoice_id DESC) = 1) lr
+  ON lr.customer_id = c.customer_id
+WHERE NOT c.is_deleted"""),
+    "e2_invoices_page": _q(D_PRE + """
+SELECT i.invoice_id, i.invoice_number, i.customer_id, c.name AS customer_name,
+       c.segment AS customer_segment, i.status, CAST(i.issue_date AS VARCHAR) AS issue_date,
+       CAST(i.due_date AS VARCHAR) AS due_date, CAST(i.total_amount AS DOUBLE) AS total_amount,
+       CAST(i.paid_amount AS DOUBLE) AS paid_amount,
+       CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount,
+       lr.leakage_probability AS risk_probability,
+       'Flagged due to: ' || replace(tf.top_feature_1, '_', ' ') || ', '
+         || replace(tf.top_feature_2, '_', ' ') || ', ' || replace(tf.top_feature_3, '_', ' ') AS explanation
+FROM invoices i JOIN customers c ON c.customer_id = i.customer_id
+LEFT JOIN (SELECT * FROM risk QUALIFY ROW_NUMBER() OVER (PARTITION BY invoice_id
+                                       ORDER BY scored_at DESC, model_version DESC) = 1) lr
+  ON lr.invoice_id = i.invoice_id
+LEFT JOIN tf ON tf.invoice_id = i.invoice_id
+WHERE NOT i.is_deleted AND i.status = 'overdue'
+ORDER BY i.total_amount DESC, i.invoice_id LIMIT 50"""),
+    "e3_alerts_page": _q(D_PRE + """
+SELECT a.*, c.name AS customer_name, false AS is_resolved
+FROM alerts a LEFT JOIN customers c ON c.customer_id = a.customer_id
+WHERE a.rule_code = 'UNDERBILLING' AND a.severity = 'high'
+ORDER BY a.leakage_amount DESC, a.source_ref LIMIT 50 OFFSET 100"""),
+    "e5_risk_page": _q(D_PRE + """
+SELECT r.customer_id, r.invoice_id, r.model_name, r.model_version, r.leakage_probability,
+       r.risk_severity, CAST(r.scored_at AS VARCHAR) AS scored_at, '2001-08' AS period_month,
+       r.rank_percentile, c.name AS customer_name
+FROM risk r LEFT JOIN customers c ON c.customer_id = r.customer_id
+WHERE r.risk_severity = 'medium' AND r.model_version = 'v1' AND lower(c.name) LIKE '%customer#%'
+ORDER BY r.leakage_probability DESC, r.invoice_id LIMIT 50"""),
+    "e6_anomaly_page": _q(D_PRE + """
+SELECT a.customer_id, a.invoice_id, a.model_version, a.score, a.is_anomaly,
+       CAST(0 AS DOUBLE) AS threshold_used, CAST(a.scored_at AS VARCHAR) AS scored_at,
+       '2001-08' AS period_month, a.if_prob_proxy, c.name AS customer_name
+FROM anom a LEFT JOIN customers c ON c.customer_id = a.customer_id
+WHERE a.is_anomaly ORDER BY a.score, a.invoice_id LIMIT 50 OFFSET 150"""),
+})
