@@ -222,3 +222,25 @@ QUERIES.update({
         D.scores_view(b, _anom(b)).drop("top_features"), key="invoice_id",
         filters={"is_anomaly": True}, default=["score"], page=4)[0]),
 })
+
+
+# ---------------------------------------------------------------------------
+# Forecasting T1-T8 (global series and segment series)
+# ---------------------------------------------------------------------------
+from revguard.operators import forecast as FC  # noqa: E402
+
+
+def series(b, by=None):
+    return FC.series_frame(marts.monthly_revenue(b, by=by), keys=by)
+
+
+QUERIES.update({
+    "t1_series_frame": _b(lambda b: series(b)),
+    "t4_trend_backtest": _b(lambda b: FC.forecast_backtest(series(b))),
+    "t4_trend_backtest_by_segment": _b(lambda b: FC.forecast_backtest(series(b, ["segment"]))),
+    "t5_cross_validation_by_segment": _b(lambda b: FC.cross_validate(series(b, ["segment"]))),
+    "t7_forecast_summary": _b(lambda b: FC.summary(FC.forecast_backtest(series(b)),
+                                                  FC.cross_validate(series(b)))),
+    # T2b is a fitted model (numpy ridge per series): rows-only check, properties in tests.
+    "t2b_additive_backtest_by_segment": _b(lambda b: FC.additive_backtest(series(b, ["segment"]))),
+})

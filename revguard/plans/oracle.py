@@ -728,3 +728,85 @@ SELECT a.customer_id, a.invoice_id, a.model_version, a.score, a.is_anomaly,
 FROM anom a LEFT JOIN customers c ON c.customer_id = a.customer_id
 WHERE a.is_anomaly ORDER BY a.score, a.invoice_id LIMIT 50 OFFSET 150"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# Forecasting T1-T8 with the closed-form trend fit
+# ---------------------------------------------------------------------------
+
+def _series(by: list[str]) -> str:
+    keys = "".join(f"{k}, " for k in by)
+    sk = ", ".join(["metric"] + [f"CAST({k} AS VARCHAR)" for k in by])
+    return f"""
+, m3 AS ({_m3(by)})
+, sf AS (
+  SELECT {keys}'revenue' AS metric, CAST(period_month || '-01' AS DATE) AS ds,
+         COALESCE(CAST(total_invoiced AS DOUBLE), 0.0) AS y FROM m3
+  UNION ALL
+  SELECT {keys}'collections' AS metric, CAST(period_month || '-01' AS DATE) AS ds,
+         COALESCE(CAST(total_collected AS DOUBLE), 0.0) AS y FROM m3)
+, s AS (SELECT concat_ws('|', {sk}) AS series_key, *, year(ds) * 12 + month(ds) - 1 AS t FROM sf)
+"""
+
+
+BACKTEST = """
+, s2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_key ORDER BY ds DESC) <= 6 AS held_out FROM s)
+, fit AS (SELECT series_key, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept
+          FROM s2 WHERE NOT held_out GROUP BY series_key)
+, sig AS (SELECT s2.series_key, COALESCE(stddev_samp(y - (intercept + slope * t)), 0) AS sigma
+          FROM s2 JOIN fit USING (series_key) WHERE NOT held_out GROUP BY s2.series_key)
+, span AS (SELECT series_key, metric, MIN(ds) AS first, MAX(ds) AS last FROM s GROUP BY series_key, metric)
+, fut AS (SELECT series_key, metric,
+                 CAST(unnest(generate_series(first, last + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS DATE) AS ds
+          FROM span)
+, pred AS (SELECT f.series_key, f.metric, f.ds,
+                  intercept + slope * (year(f.ds) * 12 + month(f.ds) - 1) AS yhat, sigma
+           FROM fut f JOIN fit USING (series_key) JOIN sig USING (series_key))
+, bt AS (
+  SELECT p.series_key, p.metric, p.ds, yhat, yhat - 1.645 * sigma AS yhat_lower,
+         yhat + 1.645 * sigma AS yhat_upper, a.y AS actual, a.held_out,
+         strftime(p.ds, '%Y-%m') AS period_month,
+         CASE WHEN a.y IS NOT NULL AND yhat <> 0 THEN (a.y - yhat) / abs(yhat) * 100 END AS deviation_pct
+  FROM pred p LEFT JOIN s2 a ON a.series_key = p.series_key AND a.ds = p.ds)
+, bt2 AS (SELECT *, COALESCE(abs(deviation_pct) > 15, false) AS is_anomalous FROM bt)
+"""
+
+CV = """
+, span2 AS (SELECT series_key, MIN(t) AS t0, MAX(t) AS t1 FROM s GROUP BY series_key)
+, cuts AS (SELECT series_key, unnest(generate_series(t1 - 6, t0 + 18, -3)) AS cutoff
+           FROM span2 WHERE t1 - 6 >= t0 + 18)
+, pts AS (SELECT s.*, c.cutoff FROM s JOIN cuts c USING (series_key))
+, cfit AS (SELECT series_key, cutoff, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept
+           FROM pts WHERE t <= cutoff GROUP BY series_key, cutoff)
+, ev AS (SELECT p.series_key, p.t - p.cutoff AS h, y, intercept + slope * t AS yhat
+         FROM pts p JOIN cfit USING (series_key, cutoff) WHERE t > p.cutoff AND t <= p.cutoff + 6)
+, ph AS (SELECT series_key, h, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat)) AS mae,
+                avg(CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END) AS mape
+         FROM ev GROUP BY series_key, h)
+, cvm AS (SELECT series_key, avg(rmse) AS cv_rmse_mean, avg(mae) AS cv_mae_mean,
+                 avg(mape) AS cv_mape_mean, COUNT(*) AS cv_horizons FROM ph GROUP BY series_key)
+"""
+
+_BT_OUT = """
+SELECT series_key, metric, CAST(ds AS VARCHAR) AS ds, yhat, yhat_lower, yhat_upper, actual, held_out,
+       period_month, deviation_pct, is_anomalous FROM bt2"""
+
+ORACLE.update({
+    "t1_series_frame": _q(_series([]) + """
+SELECT series_key, metric, CAST(ds AS VARCHAR) AS ds, y, CAST(t AS INTEGER) AS t FROM s"""),
+    "t4_trend_backtest": _q(_series([]) + BACKTEST + _BT_OUT),
+    "t4_trend_backtest_by_segment": _q(_series(["segment"]) + BACKTEST + _BT_OUT),
+    "t5_cross_validation_by_segment": _q(_series(["segment"]) + CV + "SELECT * FROM cvm"),
+    "t7_forecast_summary": _q(_series([]) + BACKTEST + CV + """
+SELECT b.series_key, b.metric, COUNT(actual) AS training_months,
+       COALESCE(string_agg(period_month, ',' ORDER BY period_month) FILTER (WHERE is_anomalous), '')
+         AS anomalous_months,
+       COUNT(*) FILTER (WHERE is_anomalous) AS n_anomalous,
+       avg(abs(actual - yhat)) AS backtest_mae,
+       avg(CASE WHEN actual <> 0 THEN abs(actual - yhat) / abs(actual) END) AS backtest_mape,
+       avg(CASE WHEN held_out THEN abs(actual - yhat) END) AS heldout_mae,
+       avg(CASE WHEN held_out AND actual <> 0 THEN abs(actual - yhat) / abs(actual) END) AS heldout_mape,
+       MAX(cvm.cv_rmse_mean) AS cv_rmse_mean, MAX(cvm.cv_mae_mean) AS cv_mae_mean,
+       MAX(cvm.cv_mape_mean) AS cv_mape_mean, MAX(cvm.cv_horizons) AS cv_horizons
+FROM bt2 b LEFT JOIN cvm USING (series_key) GROUP BY b.series_key, b.metric"""),
+})
