@@ -106,3 +106,30 @@ def split_summary(split_df: DataFrame, date_col: str) -> DataFrame:
     return split_df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"),
                                          F.min(date_col).alias("min_date"),
                                          F.max(date_col).alias("max_date"))
+
+
+def quantile(df: DataFrame, col: str, q: float, *, num_partitions: int | None = None) -> float | None:
+    """Exact ``q``-quantile with linear interpolation (numpy's default), distributed.
+
+    Counts per distinct value -> distributed prefix sums -> the (at most two)
+    values around position ``q * (n - 1)`` are the only rows returned to the driver.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    pre = prefix_sums(counts, [col], ["_cnt"], num_partitions=num_partitions)
+    n = pre.agg(F.sum("_cnt")).first()[0]
+    if not n:
+        return None
+    pos = q * (n - 1)
+    lo, hi = int(pos // 1), int(-(-pos // 1))
+    rows = pre.filter(((F.col("before__cnt") <= lo) & (F.col("before__cnt") + F.col("_cnt") > lo)) |
+                      ((F.col("before__cnt") <= hi) & (F.col("before__cnt") + F.col("_cnt") > hi))) \
+        .select(col, "before__cnt", "_cnt").collect()
+
+    def at(k):
+        for r in rows:
+            if r["before__cnt"] <= k < r["before__cnt"] + r["_cnt"]:
+                return float(r[col])
+        raise RuntimeError("quantile position not found")
+
+    v_lo, v_hi = at(lo), at(hi)
+    return v_lo + (v_hi - v_lo) * (pos - lo)
