@@ -244,3 +244,74 @@ QUERIES.update({
     # T2b is a fitted model (numpy ridge per series): rows-only check, properties in tests.
     "t2b_additive_backtest_by_segment": _b(lambda b: FC.additive_backtest(series(b, ["segment"]))),
 })
+
+
+# ---------------------------------------------------------------------------
+# Attribution X2-X4 on a fixed linear score (exact, SQL-checkable)
+# ---------------------------------------------------------------------------
+from revguard.operators import explain as EX  # noqa: E402
+
+# The stand-in rule score is linear in these six inputs with weight 1/6 each.
+LINEAR_COEFS = {c: 1.0 / 6.0 for c in features.INVOICE_FLAGS + ["outstanding_ratio"]}
+LINEAR_COLS = list(LINEAR_COEFS)
+
+
+def linear_contribs(b):
+    feat = invoice_features(b)
+    return EX.linear_contributions(feat, LINEAR_COEFS)
+
+
+QUERIES.update({
+    "x2_linear_contributions": _b(linear_contribs),
+    "x3_global_importance_linear": _b(lambda b: EX.global_importance(linear_contribs(b), LINEAR_COLS)),
+    "x4_local_explanations_linear": _b(lambda b: EX.local_explanations(linear_contribs(b), LINEAR_COLS)
+                                       .select("invoice_id", *[F.element_at("top_features", i + 1)
+                                                               .alias(f"top_feature_{i + 1}")
+                                                               for i in range(3)])),
+})
+
+
+# ---------------------------------------------------------------------------
+# Learning and scoring L1-L12, X1 (model outputs: rows-only checks)
+# ---------------------------------------------------------------------------
+from revguard.plans import pipeline as PL  # noqa: E402
+
+# Parameters of the registered model queries (the library defaults follow the
+# reference: 200 trees, 600 boosting rounds with early stopping).
+MODEL_QUERY_PARAMS = {"n_trees": 100, "gbt_iters": 30}
+
+
+def _run(b):
+    return PL.score_pipeline(b, **MODEL_QUERY_PARAMS)
+
+
+QUERIES.update({
+    "l9_model_comparison": _b(lambda b: _run(b).evaluation),
+    "l11_risk_scores": _b(lambda b: _run(b).risk_scores.select(
+        "customer_id", "invoice_id", "model_name", "model_version", "leakage_probability",
+        "risk_severity", "rank_percentile", "explanation")),
+    "x1_tree_global_importance": _b(lambda b: _run(b).global_importance),
+})
+
+
+# ---------------------------------------------------------------------------
+# Constraint checks Q-D1..3, idempotent-append key logic S5/S6
+# ---------------------------------------------------------------------------
+from revguard.operators import checks as QC  # noqa: E402
+from revguard.sources import sinks as SK  # noqa: E402
+
+QUERIES.update({
+    "qd1_enum_violations": _b(lambda b: QC.enum_violations(QC.billing_tables(b))),
+    "qd2_duplicate_keys": _b(lambda b: QC.duplicate_keys(QC.billing_tables(b))),
+    "qd3_orphan_keys": _b(lambda b: QC.orphans(QC.billing_tables(b))),
+    # Candidates = both stand-in score versions; already written = version v0.
+    "s5_new_score_rows": _b(lambda b: SK.new_rows(
+        _risk(b).select("invoice_id", "model_version", "leakage_probability"),
+        _risk(b).filter(F.col("model_version") == "v0"), ["invoice_id", "model_version"])),
+    # Candidates = forecast rows of both metrics; already written = the revenue rows.
+    "s6_new_forecast_rows": _b(lambda b: SK.new_rows(
+        FC.forecast_rows(FC.forecast_backtest(series(b))).select(
+            "model_name", "model_version", "metric", "period_month", "deviation_pct", "is_anomalous"),
+        FC.forecast_rows(FC.forecast_backtest(series(b))).filter(F.col("metric") == "revenue"),
+        ["model_name", "metric", "period_month", "model_version"])),
+})

@@ -810,3 +810,80 @@ SELECT b.series_key, b.metric, COUNT(actual) AS training_months,
        MAX(cvm.cv_mape_mean) AS cv_mape_mean, MAX(cvm.cv_horizons) AS cv_horizons
 FROM bt2 b LEFT JOIN cvm USING (series_key) GROUP BY b.series_key, b.metric"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# Attribution X2-X4 on the fixed linear stand-in score
+# ---------------------------------------------------------------------------
+
+_LIN = ["flag_missing_payment", "flag_underbilling", "flag_duplicate_refund",
+        "flag_abnormal_discount", "flag_payment_delay", "outstanding_ratio"]
+_LABELS = {"outstanding_ratio": "outstanding balance ratio"}
+LIN = FEAT + f"""
+, mu AS (SELECT {", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m_{c}" for c in _LIN)} FROM feat)
+, lc AS (SELECT invoice_id, {", ".join(f"{1.0 / 6.0!r} * (CAST({c} AS DOUBLE) - m_{c}) AS c_{c}" for c in _LIN)}
+         FROM feat, mu)
+, lcl AS (SELECT invoice_id, name, v FROM lc UNPIVOT (v FOR name IN ({", ".join(f"c_{c}" for c in _LIN)})))
+"""
+
+ORACLE.update({
+    "x2_linear_contributions": _q(LIN + "SELECT * FROM lc"),
+    "x3_global_importance_linear": _q(LIN + """
+SELECT feature,
+       CASE feature WHEN 'outstanding_ratio' THEN 'outstanding balance ratio'
+                    ELSE replace(feature, '_', ' ') END AS label,
+       mean_abs_contribution,
+       ROW_NUMBER() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank
+FROM (SELECT substr(name, 3) AS feature, AVG(ABS(v)) AS mean_abs_contribution
+      FROM lcl GROUP BY name) g"""),
+    "x4_local_explanations_linear": _q(LIN + f"""
+, r AS (SELECT invoice_id, substr(l.name, 3) AS n,
+               ROW_NUMBER() OVER (PARTITION BY invoice_id ORDER BY ABS(v) DESC, o.idx) AS k
+        FROM lcl l JOIN (VALUES {", ".join(f"('c_{c}', {i})" for i, c in enumerate(_LIN))}) AS o(nm, idx)
+          ON o.nm = l.name)
+SELECT invoice_id, MAX(CASE WHEN k = 1 THEN n END) AS top_feature_1,
+       MAX(CASE WHEN k = 2 THEN n END) AS top_feature_2, MAX(CASE WHEN k = 3 THEN n END) AS top_feature_3
+FROM r GROUP BY invoice_id"""),
+})
+
+
+# ---------------------------------------------------------------------------
+# Constraint checks and idempotent-append keys
+# ---------------------------------------------------------------------------
+
+def _enum(t: str, c: str, vals: list[str]) -> str:
+    v = ", ".join(f"'{x}'" for x in vals)
+    return (f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+            f"COUNT(*) FILTER (WHERE {c} NOT IN ({v}) OR {c} IS NULL) AS violations FROM {t}")
+
+
+def _dups(t: str, k: str) -> str:
+    return (f"SELECT '{t}' AS table_name, '{k}' AS key, COUNT(*) AS duplicate_keys, "
+            f"CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows "
+            f"FROM (SELECT {k}, COUNT(*) AS n FROM {t} GROUP BY {k} HAVING COUNT(*) > 1) d")
+
+
+def _orph(c: str, fk: str, p: str, pk: str) -> str:
+    return (f"SELECT '{c}.{fk}' AS relation, COUNT(*) AS orphans FROM {c} x "
+            f"WHERE x.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pk} = x.{fk})")
+
+
+def _checks():
+    from revguard.operators.checks import ALLOWED, FOREIGN_KEYS, UNIQUE_KEYS
+    return {
+        "qd1_enum_violations": _q(" UNION ALL ".join(_enum(t, c, v) for (t, c), v in ALLOWED.items())),
+        "qd2_duplicate_keys": _q(" UNION ALL ".join(_dups(t, ",".join(k)) for t, k in UNIQUE_KEYS.items())),
+        "qd3_orphan_keys": _q(" UNION ALL ".join(_orph(*r) for r in FOREIGN_KEYS)),
+    }
+
+
+ORACLE.update(_checks())
+ORACLE.update({
+    "s5_new_score_rows": _q(D_PRE + """
+SELECT invoice_id, model_version, leakage_probability FROM risk r
+WHERE NOT EXISTS (SELECT 1 FROM risk e WHERE e.model_version = 'v0'
+                  AND e.invoice_id = r.invoice_id AND e.model_version = r.model_version)"""),
+    "s6_new_forecast_rows": _q(_series([]) + BACKTEST + """
+SELECT 'trend' AS model_name, 'v1' AS model_version, metric, period_month, deviation_pct, is_anomalous
+FROM bt2 WHERE metric <> 'revenue'"""),
+})
