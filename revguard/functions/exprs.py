@@ -176,3 +176,9 @@ def exact_filters(filters: dict) -> Column:
     """Conjunction of ``col == value``."""
     conds = [c(k) == F.lit(v) for k, v in filters.items()]
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+
+
+def json_field(col, key: str, default=None) -> Column:
+    """read ``key`` from a JSON object string, with a default when absent."""
+    v = F.get_json_object(c(col), f"$.{key}")
+    return F.coalesce(v, F.lit(default)) if default is not None else v

@@ -206,3 +206,11 @@ def stand_in_scores(feat: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(k).alias("model_name"), v.alias("score")) for k, v in models.items()])
     return feat.select("invoice_id", F.col("leakage_label").alias("label"),
                        F.explode(arr).alias("m")).select("invoice_id", "m.model_name", "label", "m.score")
+
+
+def profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean, sample std, min, max per feature (unpivot + one grouped aggregate)."""
+    st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), X.dbl(c).alias("v"))
+                                       for c in cols])).alias("s"))
+    return st.groupBy("s.feature").agg(F.avg("s.v").alias("mean"), F.stddev_samp("s.v").alias("std"),
+                                       F.min("s.v").alias("min"), F.max("s.v").alias("max"))

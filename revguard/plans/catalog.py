@@ -315,3 +315,14 @@ QUERIES.update({
         FC.forecast_rows(FC.forecast_backtest(series(b))).filter(F.col("metric") == "revenue"),
         ["model_name", "metric", "period_month", "model_version"])),
 })
+
+
+QUERIES.update({
+    "a15_feature_profile": _b(lambda b: features.profile(invoice_features(b), features.INVOICE_FEATURE_COLS)),
+    "d2_revenue_trend_forecasts": _b(lambda b: D.forecast_trend(
+        FC.forecast_rows(FC.forecast_backtest(series(b))), metric="revenue")),
+    "e7_forecast_page": _b(lambda b: D.list_entity(
+        FC.forecast_rows(FC.forecast_backtest(series(b))), key="period_month",
+        filters={"metric": "collections", "is_anomalous": True}, ordering="-deviation_pct",
+        allowed=["period_month", "deviation_pct"], default=["metric", "period_month"])[0]),
+})

@@ -887,3 +887,37 @@ WHERE NOT EXISTS (SELECT 1 FROM risk e WHERE e.model_version = 'v0'
 SELECT 'trend' AS model_name, 'v1' AS model_version, metric, period_month, deviation_pct, is_anomalous
 FROM bt2 WHERE metric <> 'revenue'"""),
 })
+
+
+_FROWS = """
+, frows AS (
+  SELECT 'trend' AS model_name, 'v1' AS model_version, metric, series_key, period_month,
+         CAST(ROUND(CAST(yhat AS DECIMAL(20,4)), 2) AS DOUBLE) AS forecasted_value,
+         CAST(ROUND(CAST(actual AS DECIMAL(20,4)), 2) AS DOUBLE) AS actual_value,
+         CAST(ROUND(CAST(yhat_lower AS DECIMAL(20,4)), 2) AS DOUBLE) AS lower_bound,
+         CAST(ROUND(CAST(yhat_upper AS DECIMAL(20,4)), 2) AS DOUBLE) AS upper_bound,
+         deviation_pct, is_anomalous, 15.0::DOUBLE AS anomaly_threshold_pct
+  FROM bt2)
+"""
+
+ORACLE.update({
+    "a15_feature_profile": _q(FEAT + """
+SELECT feature, AVG(v) AS mean, stddev_samp(v) AS std, MIN(v) AS min, MAX(v) AS max
+FROM (SELECT * FROM (SELECT """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in
+      ["total_amount", "paid_amount", "outstanding_amount", "discount_amount", "tax_amount",
+       "total_paid", "payment_count", "failed_payment_count", "max_days_late", "avg_days_late",
+       "total_attempts", "refund_count", "refund_amount", "duplicate_refund_count",
+       "mrr", "sub_discount_pct", "quantity", "payment_terms_days",
+       "billed_vs_expected_ratio", "paid_vs_billed_ratio", "refund_ratio", "discount_ratio",
+       "outstanding_ratio", "contract_gap", "overdue_days", "payment_delay_ratio",
+       "failed_payment_rate", "retry_rate", "is_annual_billing", "mrr_log",
+       "issue_month", "issue_quarter"]) + """ FROM feat) f
+      UNPIVOT (v FOR feature IN (COLUMNS(*)))) u
+GROUP BY feature"""),
+    "d2_revenue_trend_forecasts": _q(_series([]) + BACKTEST + _FROWS + """
+SELECT period_month, forecasted_value, lower_bound, upper_bound, is_anomalous, deviation_pct
+FROM frows WHERE metric = 'revenue'"""),
+    "e7_forecast_page": _q(_series([]) + BACKTEST + _FROWS + """
+SELECT * FROM frows WHERE metric = 'collections' AND is_anomalous
+ORDER BY deviation_pct DESC, period_month LIMIT 50"""),
+})
