@@ -69,8 +69,8 @@ def test_stream_rules_idempotent(spark):
     src, alerts, ck = (os.path.join(d, x) for x in ("in", "alerts", "ck"))
     inv = b.invoices
     cut = F.lit(dt.date(1998, 1, 1))
-    inv.filter(F.col("issue_date") < cut).write.parquet(os.path.join(src, "b1"))
-    inv.filter(F.col("issue_date") >= cut).write.parquet(os.path.join(src, "b2"))
+    inv.filter(F.col("issue_date") < cut).write.mode("append").parquet(src)
+    inv.filter(F.col("issue_date") >= cut).write.mode("append").parquet(src)
     rules_stream.start(spark, src, b, alerts, ck).awaitTermination()
     got = spark.read.parquet(alerts)
     want = rules_stream.batch_alerts(inv, b)
