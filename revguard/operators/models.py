@@ -44,7 +44,7 @@ def train_logistic(train: DataFrame, cols: list[str], *, label: str = "label", c
     data = train.withColumn("_w", F.when(F.col(label) == 1, w_pos).otherwise(w_neg))
     lr = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="_w",
                             regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=1e-8, probabilityCol="lr_probability",
+                            maxIter=max_iter, tol=1e-6, probabilityCol="lr_probability",
                             rawPredictionCol="lr_raw", predictionCol="lr_prediction")
     pipe = Pipeline(stages=[assembler(cols),
                             StandardScaler(inputCol="features", outputCol="scaled", withMean=True,

@@ -15,7 +15,6 @@ shuffle.
 
 from __future__ import annotations
 
-import datetime as _dt
 from decimal import Decimal
 from functools import reduce
 
@@ -208,8 +207,3 @@ def flat(alerts: DataFrame) -> DataFrame:
     """Alert rows without text/map columns (what the oracle compares)."""
     return alerts.select("customer_id", "invoice_id", "rule_code", "severity",
                          X.dbl("leakage_amount").alias("leakage_amount"), "source_ref")
-
-
-def as_of_default() -> _dt.date:
-    from revguard.sources.billing import AS_OF
-    return AS_OF

@@ -54,13 +54,11 @@ def engineered(b: Billing) -> DataFrame:
 
 def score_all(df: DataFrame, iso: forest.IsolationForestModel, lr, gbt) -> DataFrame:
     """Isolation forest, logistic regression, boosted trees, blend and IF proxy."""
-    cols = features.INVOICE_FEATURE_COLS
     s = forest.score(df, iso, out="if_score", flag="if_is_anomaly")
     s = models.positive_prob(lr, s, "lr_probability", "lr_leakage_prob")
     s = models.positive_prob(gbt, s, "gbt_probability", "gbt_leakage_prob", pred="gbt_leakage_pred")
     s = s.withColumn("ensemble_prob", X.blend("gbt_leakage_prob", "lr_leakage_prob", GBT_WEIGHT, LR_WEIGHT)) \
          .withColumn("ensemble_pred", (F.col("ensemble_prob") >= THRESHOLD).cast("int"))
-    del cols
     return metrics.anomaly_proxy(s, "if_score", out="if_prob_proxy")
 
 
@@ -81,16 +79,17 @@ def score_pipeline(b: Billing, *, n_trees: int = 200, psi: int = 256, gbt_iters:
     data = cut_lineage(engineered(b))
     train = data.filter(F.col("split") == "train")
     val = data.filter(F.col("split") == "val")
-    test = data.filter(F.col("split") == "test")
 
     iso = forest.fit(train, cols, n_trees=n_trees, max_samples=psi)
     lr = models.train_logistic(train, cols)
     gbt = models.train_gbt(train, val, cols, max_iter=gbt_iters)
 
-    scored = score_all(data, iso, lr, gbt)
+    # Scores feed the evaluation, both score tables and the attributions: materialise once.
+    scored = cut_lineage(score_all(data, iso, lr, gbt))
     evaluation = metrics.evaluate(long_scores(scored.filter(F.col("split") == "test")), THRESHOLD)
     # The IF proxy is normalised over the rows evaluated, as the reference does on the test split.
-    if_test = metrics.anomaly_proxy(forest.score(test, iso, out="if_score"), "if_score", out="score") \
+    if_test = metrics.anomaly_proxy(scored.filter(F.col("split") == "test").drop("if_prob_proxy"),
+                                    "if_score", out="score") \
         .select(F.lit("isolation_forest").alias("model_name"), F.col("label").cast("int").alias("label"),
                 "score")
     evaluation = evaluation.filter(F.col("model_name") != "isolation_forest") \
@@ -106,7 +105,7 @@ def score_pipeline(b: Billing, *, n_trees: int = 200, psi: int = 256, gbt_iters:
                    anomaly_scores=anomaly, importance=models.feature_importance(gbt, cols),
                    models={"isolation_forest": iso, "logistic_regression": lr, "gbt": gbt})
     if explain_rows:
-        contrib = explain.tree_contributions(data, gbt, cols, keys=["invoice_id"])
+        contrib = cut_lineage(explain.tree_contributions(data, gbt, cols, keys=["invoice_id"]))
         run.global_importance = explain.global_importance(contrib, cols)
         run.explanations = explain.local_explanations(contrib, cols)
         run.risk_scores = explain.attach(risk, run.explanations)
