@@ -64,3 +64,29 @@ def test_logistic_scores_in_range(spark, data):
     s = models.positive_prob(lr, data, "lr_probability", "p")
     lo, hi = s.agg(F.min("p"), F.max("p")).first()
     assert 0 <= lo <= hi <= 1
+
+
+def test_cross_validation_and_persistence(spark, data, tmp_path):
+    train = data.filter("split = 'train'")
+    cv = models.cross_validate_logistic(train, COLS, folds=3).first()
+    assert cv["folds"] == 3 and 0.5 < cv["cv_auc_mean"] <= 1.0 and cv["cv_auc_std"] >= 0
+    lr = models.train_logistic(train, COLS)
+    models.save(lr, str(tmp_path / "lr"))
+    back = models.load(str(tmp_path / "lr"))
+    a = models.positive_prob(lr, data, "lr_probability", "p").select("invoice_id", "p")
+    b = models.positive_prob(back, data, "lr_probability", "q").select("invoice_id", "q")
+    assert a.join(b, "invoice_id").filter(F.abs(F.col("p") - F.col("q")) > 1e-12).count() == 0
+    iso = forest.fit(train, COLS, n_trees=10, max_samples=32)
+    iso.save(spark, str(tmp_path / "iso"))
+    iso2 = forest.IsolationForestModel.load(spark, str(tmp_path / "iso"))
+    s1 = forest.score(data, iso).select("invoice_id", F.col("if_score").alias("a"))
+    s2 = forest.score(data, iso2).select("invoice_id", F.col("if_score").alias("b"))
+    assert s1.join(s2, "invoice_id").filter(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
+
+
+def test_attach_new_wins(spark):
+    scores = spark.createDataFrame([(1, "old"), (2, "old")], "invoice_id long, explanation string")
+    ex = spark.createDataFrame([(1, {"a": 1.0}, "new")],
+                               "invoice_id long, top_contributions map<string,double>, explanation string")
+    got = {r["invoice_id"]: r["explanation"] for r in explain.attach(scores, ex).collect()}
+    assert got == {1: "new", 2: "old"}
