@@ -542,8 +542,8 @@ SELECT i.invoice_number, i.invoice_id, c.name AS customer_name, c.segment AS cus
        CAST(i.total_amount AS DOUBLE) AS total_amount,
        CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount,
        CAST(i.due_date AS VARCHAR) AS due_date, i.status,
-       CASE WHEN i.due_date < {AS_OF_SQL} THEN GREATEST(date_diff('day', i.due_date, {AS_OF_SQL}), 0)
-            ELSE 0 END AS days_overdue
+       CAST(CASE WHEN i.due_date < {AS_OF_SQL} THEN GREATEST(date_diff('day', i.due_date, {AS_OF_SQL}), 0)
+            ELSE 0 END AS INTEGER) AS days_overdue
 FROM (SELECT * FROM invoices WHERE NOT is_deleted AND outstanding_amount > 0
       ORDER BY outstanding_amount DESC, invoice_id LIMIT 100) i
 JOIN customers c ON c.customer_id = i.customer_id"""
@@ -833,7 +833,7 @@ SELECT feature,
        CASE feature WHEN 'outstanding_ratio' THEN 'outstanding balance ratio'
                     ELSE replace(feature, '_', ' ') END AS label,
        mean_abs_contribution,
-       ROW_NUMBER() OVER (ORDER BY mean_abs_contribution DESC, feature) AS rank
+       CAST(ROW_NUMBER() OVER (ORDER BY mean_abs_contribution DESC, feature) AS INTEGER) AS rank
 FROM (SELECT substr(name, 3) AS feature, AVG(ABS(v)) AS mean_abs_contribution
       FROM lcl GROUP BY name) g"""),
     "x4_local_explanations_linear": _q(LIN + f"""
