@@ -79,10 +79,26 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
 
 def row_index(df: DataFrame, order_cols: list[str], *, out: str = "row_index",
               num_partitions: int | None = None) -> DataFrame:
-    """0-based position in the total order ``order_cols`` (must be unique)."""
-    keyed = df.withColumn("_one", F.lit(1).cast("bigint"))
-    pre = prefix_sums(keyed, order_cols, ["_one"], num_partitions=num_partitions)
-    return pre.withColumnRenamed("before__one", out).drop("_one")
+    """0-based position in the total order ``order_cols`` (must be unique).
+
+    One range shuffle of the rows: after ``repartitionByRange`` and a sort within
+    partitions, the rows are checkpointed; the position inside a partition is
+    ``monotonically_increasing_id() - (partition_id << 33)`` (a narrow,
+    JVM-side projection), and only the per-partition row counts (one row per
+    partition) are aggregated and broadcast back as offsets.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *_order(order_cols, False)).sortWithinPartitions(*order_cols)
+    ck = cut_lineage(ranged)
+    pid = F.spark_partition_id()
+    pos = ck.withColumn("_pid", pid).withColumn(
+        "_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
+    counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return pos.join(F.broadcast(offsets), "_pid") \
+        .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off")
 
 
 def time_split(df: DataFrame, date_col: str, id_col: str, *, train: float = 0.70,
