@@ -155,8 +155,8 @@ from revguard.plans import serve as D  # noqa: E402
 STAND_IN = "rule_blend"
 
 
-def _risk(b):
-    return S.stand_in_risk_scores(invoice_features(b), b.as_of)
+def _risk(b, percentile=True):
+    return S.stand_in_risk_scores(invoice_features(b), b.as_of, percentile=percentile)
 
 
 def _anom(b):
@@ -172,12 +172,12 @@ QUERIES.update({
         "invoice_id", *[F.element_at(X.top_abs_names(features.TOP_FEATURE_CANDIDATES, 5), i + 1)
                         .alias(f"top_feature_{i + 1}") for i in range(5)])),
     "w5_latest_risk_per_invoice": _b(lambda b: D.latest(
-        _risk(b).select("invoice_id", "model_version", "leakage_probability", "risk_severity",
+        _risk(b, False).select("invoice_id", "model_version", "leakage_probability", "risk_severity",
                         "scored_at"), "invoice_id")),
-    "d1_kpis": _b(lambda b: D.kpis(b, _risk(b), _anom(b), model_name=STAND_IN)),
+    "d1_kpis": _b(lambda b: D.kpis(b, _risk(b, False), _anom(b), model_name=STAND_IN)),
     "d2_revenue_trend_actuals": _b(lambda b: D.revenue_by_month(b).select("month", "invoiced", "collected")),
     "d3_top_risks": _b(lambda b: D.top_risks(b, _risk(b), model_name=STAND_IN, limit=15)),
-    "d4_risk_distribution": _b(lambda b: D.risk_distribution(_risk(b), model_name=STAND_IN)),
+    "d4_risk_distribution": _b(lambda b: D.risk_distribution(_risk(b, False), model_name=STAND_IN)),
     "d5_leakage_by_rule": _b(lambda b: D.leakage_by_rule(rules.run_rules(b))),
     "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b))),
     "d7_invoice_detail": _b(lambda b: D.invoice_detail(b, _risk(b), _anom(b), rules.run_rules(b),
@@ -205,9 +205,9 @@ QUERIES.update({
         D.customers_view(b), key="customer_id", filters={"segment": "enterprise"},
         search="customer#00000", search_cols=["name", "external_id"],
         default=["-acquisition_date"], page=2)[1]),
-    "e1_customer_rollup": _b(lambda b: D.customer_rollup(b, _risk(b))),
+    "e1_customer_rollup": _b(lambda b: D.customer_rollup(b, _risk(b, False))),
     "e2_invoices_page": _b(lambda b: D.list_entity(
-        D.invoices_view(b, _risk(b)), key="invoice_id", filters={"status": "overdue"},
+        D.invoices_view(b, _risk(b, False)), key="invoice_id", filters={"status": "overdue"},
         ordering="-total_amount", allowed=["issue_date", "due_date", "total_amount",
                                            "outstanding_amount"], default=["-issue_date"])[0]),
     "e3_alerts_page": _b(lambda b: D.list_entity(
@@ -306,8 +306,8 @@ QUERIES.update({
     "qd3_orphan_keys": _b(lambda b: QC.orphans(QC.billing_tables(b))),
     # Candidates = both stand-in score versions; already written = version v0.
     "s5_new_score_rows": _b(lambda b: SK.new_rows(
-        _risk(b).select("invoice_id", "model_version", "leakage_probability"),
-        _risk(b).filter(F.col("model_version") == "v0"), ["invoice_id", "model_version"])),
+        _risk(b, False).select("invoice_id", "model_version", "leakage_probability"),
+        _risk(b, False).filter(F.col("model_version") == "v0"), ["invoice_id", "model_version"])),
     # Candidates = forecast rows of both metrics; already written = the revenue rows.
     "s6_new_forecast_rows": _b(lambda b: SK.new_rows(
         FC.forecast_rows(FC.forecast_backtest(series(b))).select(

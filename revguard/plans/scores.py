@@ -22,8 +22,16 @@ def scored_at_ts(as_of: _dt.date, days_back: int = 0) -> _dt.datetime:
     return _dt.datetime.combine(as_of - _dt.timedelta(days=days_back), _dt.time())
 
 
+def with_percentile(risk: DataFrame) -> DataFrame:
+    """``rank_percentile`` = percent rank of the probability x 100 per model and version."""
+    return rank.percent_rank(risk, "leakage_probability",
+                             partition_cols=["model_name", "model_version"], out="_pr") \
+        .withColumn("rank_percentile", F.col("_pr") * 100).drop("_pr")
+
+
 def risk_table(scored: DataFrame, prob: str, *, model_name: str, model_version: str,
-               scored_at: _dt.datetime, extra_snapshot: dict | None = None) -> DataFrame:
+               scored_at: _dt.datetime, extra_snapshot: dict | None = None,
+               percentile: bool = True) -> DataFrame:
     """Risk-score records: probability, severity band, rank percentile, top features.
 
     ``scored`` holds invoice features plus the ``prob`` column.  The percentile
@@ -42,9 +50,7 @@ def risk_table(scored: DataFrame, prob: str, *, model_name: str, model_version:
         F.lit(scored_at).cast("timestamp").alias("scored_at"),
         F.lit(scored_at.strftime("%Y-%m")).alias("period_month"),
     )
-    return rank.percent_rank(df, "leakage_probability",
-                             partition_cols=["model_name", "model_version"], out="_pr") \
-        .withColumn("rank_percentile", F.col("_pr") * 100).drop("_pr")
+    return with_percentile(df) if percentile else df
 
 
 def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
@@ -63,15 +69,20 @@ def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
     return anomaly_proxy(base, "score", out="if_prob_proxy")
 
 
-def stand_in_risk_scores(feat: DataFrame, as_of: _dt.date) -> DataFrame:
-    """Two stand-in versions: v0 (30 days earlier, outstanding ratio) and v1 (rule blend)."""
+def stand_in_risk_scores(feat: DataFrame, as_of: _dt.date, *, percentile: bool = True) -> DataFrame:
+    """Two stand-in versions: v0 (30 days earlier, outstanding ratio) and v1 (rule blend).
+
+    Both versions are ranked in one percent-rank pass; ``percentile=False`` skips
+    the rank for reads that do not use it.
+    """
     f = feat.withColumn("_p1", features.rule_score(feat)) \
             .withColumn("_p0", features.clipped("outstanding_ratio"))
     v1 = risk_table(f, "_p1", model_name="rule_blend", model_version="v1",
-                    scored_at=scored_at_ts(as_of))
+                    scored_at=scored_at_ts(as_of), percentile=False)
     v0 = risk_table(f, "_p0", model_name="rule_blend", model_version="v0",
-                    scored_at=scored_at_ts(as_of, 30))
-    return v1.unionByName(v0)
+                    scored_at=scored_at_ts(as_of, 30), percentile=False)
+    both = v1.unionByName(v0)
+    return with_percentile(both) if percentile else both
 
 
 def stand_in_anomaly_scores(feat: DataFrame, as_of: _dt.date) -> DataFrame:
