@@ -37,7 +37,7 @@ def zero_if_null(x) -> Column:
 
 def num_or_zero(x) -> Column:
     """lossy numeric cast, bad or NULL -> 0."""
-    return F.coalesce(F.try_cast(c(x).cast("string"), "double"), F.lit(0.0))
+    return F.coalesce(c(x).cast("string").try_cast("double"), F.lit(0.0))
 
 
 def finite_or_zero(x) -> Column:
