@@ -75,3 +75,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                 target_partition_bytes: int = 256 << 20) -> dict:
+    """Session settings sized for the input volume (for ``get_spark(extra=...)``).
+
+    * scan splits of ``target_partition_bytes`` (``spark.sql.files.maxPartitionBytes``);
+    * an initial shuffle partition count of ``input / target`` (at least twice the
+      cores), which AQE coalesces down to the advisory size after each stage;
+    * skew-join splitting for partitions over five times the median and over
+      ``4 x target`` bytes (a hot customer or invoice holding a third of the rows).
+    """
+    cores = max(executors * cores_per_executor, 1)
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
