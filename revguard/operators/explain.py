@@ -207,10 +207,10 @@ def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id
     e = explanations.select(key, F.col("top_contributions").alias("_new_contrib"),
                             F.col("explanation").alias("_new_expl"))
     out = scores.join(e, key, "left")
-    if "shap_values" in scores.columns:
-        out = out.withColumn("shap_values", F.coalesce("_new_contrib", "shap_values"))
+    if "attributions" in scores.columns:
+        out = out.withColumn("attributions", F.coalesce("_new_contrib", "attributions"))
     else:
-        out = out.withColumn("shap_values", F.col("_new_contrib"))
+        out = out.withColumn("attributions", F.col("_new_contrib"))
     if "explanation" in scores.columns:
         out = out.withColumn("explanation", F.coalesce("_new_expl", "explanation"))
     else:
