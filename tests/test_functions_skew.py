@@ -72,3 +72,10 @@ def test_hot_customer(make_billing):
     assert list(streak) == [1] and streak[1]["severity"] == "critical"
     mart = {r["invoice_id"]: r for r in marts.invoice_mart(b).collect()}
     assert len(mart) == n and all(mart[p["invoice_id"]]["payment_count"] == 1 for p in pays)
+
+
+def test_cluster_conf_sizes_partitions():
+    from revguard.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), executors=1000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(1 << 20, executors=2)["spark.sql.shuffle.partitions"]) == 16
