@@ -97,3 +97,22 @@ def test_anomaly_proxy_range(spark):
     out = {r["id"]: r["score"] for r in metrics.anomaly_proxy(df, "if_score").collect()}
     assert out[0] == pytest.approx(1.0, abs=1e-8) and out[3] == pytest.approx(0.0)
     assert all(0 <= v <= 1 for v in out.values())
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=4, max_size=60),
+       st.integers(1, 9))
+def test_ranking_property(spark, pairs, parts):
+    y = np.array([p[0] for p in pairs])
+    s = np.array([p[1] / 6.0 for p in pairs])
+    if y.min() == y.max():
+        return
+    df = spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, s)],
+                               "model_name string, label int, score double").repartition(parts)
+    r = metrics.ranking(df).first()
+    assert r["roc_auc"] == pytest.approx(brute_auc(y, s), abs=1e-12)
+    assert r["pr_auc"] == pytest.approx(brute_ap(y, s), abs=1e-12)
