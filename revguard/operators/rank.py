@@ -18,6 +18,8 @@ that join skewed, which AQE's skew-join splitting handles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,35 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
     return df.join(ranks, cond).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def percent_rank_of(rows: DataFrame, population: DataFrame, score: str, *,
+                    partition_cols: list[str] | None = None, out: str = "percent_rank") -> DataFrame:
+    """W1 for a bounded set of ``rows`` (a top-k or one page) against a whole ``population``.
+
+    Same value as ``percent_rank`` computed over ``population`` and then looked
+    up for ``rows``, without ranking every row: the population is reduced to
+    row counts per distinct ``(partition, score)`` (partial aggregation, so a
+    hot score is one row per task before the shuffle), and those counts are
+    joined with the distinct keys of ``rows``, which the caller bounds with a
+    limit, so that side is broadcast.  Per key: rows with a smaller score (NULL
+    scores sort first) over rows in the partition minus one.
+    """
+    p = list(partition_cols or [])
+    counts = population.groupBy(*p, score).agg(F.count(F.lit(1)).alias("_cnt"))
+    keys = rows.select(*[F.col(c).alias(f"_k_{c}") for c in p], F.col(score).alias("_k_s")).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in p]
+    before = F.col("_k_s").isNotNull() & (F.col(score).isNull() | (F.col(score) < F.col("_k_s")))
+    cond = reduce(lambda a, c: a & c, same, F.lit(True))
+    j = counts.join(F.broadcast(keys), cond)
+    ranked = j.groupBy(*[f"_k_{c}" for c in p], "_k_s").agg(
+        F.sum(F.when(before, F.col("_cnt")).otherwise(0)).alias("_lt"), F.sum("_cnt").alias("_n"))
+    pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
+        F.col("_lt").cast("double") / (F.col("_n") - 1).cast("double"))
+    ranked = ranked.select(*[f"_k_{c}" for c in p], "_k_s", pr.alias(out))
+    back = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in p] + [F.col(score).eqNullSafe(F.col("_k_s"))]
+    return rows.join(F.broadcast(ranked), reduce(lambda a, c: a & c, back)) \
+        .drop(*[f"_k_{c}" for c in p], "_k_s")
+
+
 def row_index(df: DataFrame, order_cols: list[str], *, out: str = "row_index",
               num_partitions: int | None = None) -> DataFrame:
     """0-based position in the total order ``order_cols`` (must be unique).

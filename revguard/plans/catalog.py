@@ -159,8 +159,8 @@ def _risk(b, percentile=True):
     return S.stand_in_risk_scores(invoice_features(b), b.as_of, percentile=percentile)
 
 
-def _anom(b):
-    return S.stand_in_anomaly_scores(invoice_features(b), b.as_of)
+def _anom(b, proxy=True):
+    return S.stand_in_anomaly_scores(invoice_features(b), b.as_of, proxy=proxy)
 
 
 def _page(rows_and_count, part):
@@ -174,12 +174,12 @@ QUERIES.update({
     "w5_latest_risk_per_invoice": _b(lambda b: D.latest(
         _risk(b, False).select("invoice_id", "model_version", "leakage_probability", "risk_severity",
                         "scored_at"), "invoice_id")),
-    "d1_kpis": _b(lambda b: D.kpis(b, _risk(b, False), _anom(b), model_name=STAND_IN)),
+    "d1_kpis": _b(lambda b: D.kpis(b, _risk(b, False), _anom(b, False), model_name=STAND_IN)),
     "d2_revenue_trend_actuals": _b(lambda b: D.revenue_by_month(b).select("month", "invoiced", "collected")),
-    "d3_top_risks": _b(lambda b: D.top_risks(b, _risk(b), model_name=STAND_IN, limit=15)),
+    "d3_top_risks": _b(lambda b: D.top_risks(b, _risk(b, False), model_name=STAND_IN, limit=15)),
     "d4_risk_distribution": _b(lambda b: D.risk_distribution(_risk(b, False), model_name=STAND_IN)),
     "d5_leakage_by_rule": _b(lambda b: D.leakage_by_rule(rules.run_rules(b))),
-    "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b))),
+    "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b, False))),
     "d7_invoice_detail": _b(lambda b: D.invoice_detail(b, _risk(b), _anom(b), rules.run_rules(b),
                                                        model_name=STAND_IN)),
     "d8_revenue_breakdown": _b(D.revenue_by_month),
@@ -189,10 +189,10 @@ QUERIES.update({
     "d10_overdue_invoices": _b(lambda b: D.overdue_invoices(b, limit=200)),
     "d10_overdue_total": _b(lambda b: D.list_total(D.overdue_invoices(b, limit=200),
                                                    "outstanding_amount", "total_overdue_amount")),
-    "d11_high_risk_top": _b(lambda b: D.top_risks(b, _risk(b), model_name=STAND_IN, limit=100,
+    "d11_high_risk_top": _b(lambda b: D.top_risks(b, _risk(b, False), model_name=STAND_IN, limit=100,
                                                   severities=["critical", "high"], n_features=2)
                             .drop("invoice_status")),
-    "d12_anomaly_totals": _b(lambda b: D.anomaly_totals(_anom(b))),
+    "d12_anomaly_totals": _b(lambda b: D.anomaly_totals(_anom(b, False))),
     "d12_top_anomalies": _b(lambda b: D.top_anomalies(b, _anom(b), limit=100)),
     "d13_duplicate_refunds": _b(D.duplicate_refunds),
     "d13_duplicate_refund_total": _b(lambda b: D.list_total(D.duplicate_refunds(b), "amount",

@@ -54,8 +54,12 @@ def risk_table(scored: DataFrame, prob: str, *, model_name: str, model_version:
 
 
 def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
-                  scored_at: _dt.datetime, threshold: float = 0.0) -> DataFrame:
-    """Anomaly-score records: score, flag (score < threshold), min-max proxy, top features."""
+                  scored_at: _dt.datetime, threshold: float = 0.0, proxy: bool = True) -> DataFrame:
+    """Anomaly-score records: score, flag (score < threshold), min-max proxy, top features.
+
+    The proxy needs a global min/max, i.e. a second pass over ``scored``;
+    ``proxy=False`` leaves it out for reads that only count or group the flags.
+    """
     from revguard.operators.metrics import anomaly_proxy
     base = scored.select(
         "customer_id", "invoice_id", F.lit(model_version).alias("model_version"),
@@ -66,7 +70,7 @@ def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
         F.lit(scored_at).cast("timestamp").alias("scored_at"),
         F.lit(scored_at.strftime("%Y-%m")).alias("period_month"),
     )
-    return anomaly_proxy(base, "score", out="if_prob_proxy")
+    return anomaly_proxy(base, "score", out="if_prob_proxy") if proxy else base
 
 
 def stand_in_risk_scores(feat: DataFrame, as_of: _dt.date, *, percentile: bool = True) -> DataFrame:
@@ -85,6 +89,6 @@ def stand_in_risk_scores(feat: DataFrame, as_of: _dt.date, *, percentile: bool =
     return with_percentile(both) if percentile else both
 
 
-def stand_in_anomaly_scores(feat: DataFrame, as_of: _dt.date) -> DataFrame:
+def stand_in_anomaly_scores(feat: DataFrame, as_of: _dt.date, *, proxy: bool = True) -> DataFrame:
     f = feat.withColumn("_s", F.lit(0.3) - features.rule_score(feat))
-    return anomaly_table(f, "_s", model_version="v1", scored_at=scored_at_ts(as_of))
+    return anomaly_table(f, "_s", model_version="v1", scored_at=scored_at_ts(as_of), proxy=proxy)

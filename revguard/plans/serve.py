@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
+from revguard.operators import rank
 from revguard.sources.billing import Billing
 
 HIGH = ["high", "critical"]
@@ -89,6 +90,11 @@ def top_risks(b: Billing, risk: DataFrame, *, model_name: str, limit: int = 15,
         r = r.filter(F.col("risk_severity").isin(*severities))
     top = r.orderBy(F.col("leakage_probability").desc(), F.col("invoice_id").asc(),
                     F.col("model_version").asc()).limit(limit)
+    if "rank_percentile" not in risk.columns:
+        # Rank only the k rows shown, against the whole table (W1 per model and version).
+        top = rank.percent_rank_of(top, risk, "leakage_probability",
+                                   partition_cols=["model_name", "model_version"], out="_pr") \
+            .withColumn("rank_percentile", F.col("_pr") * 100).drop("_pr")
     out = _risk_rows(b, top)
     feats = [F.element_at("top_features", i + 1).alias(f"top_feature_{i + 1}")
              for i in range(n_features)]

@@ -51,3 +51,15 @@ def test_row_index_and_split(scores, parts):
 def test_quantile_exact(scores, q):
     vals = np.array([r[0] for r in scores.select("score").collect()])
     assert rank.quantile(scores, "score", q, num_partitions=5) == pytest.approx(np.percentile(vals, q * 100))
+
+
+def test_percent_rank_of_top_rows_matches_window(spark, scores):
+    # NULL scores sort first; a hot tie (0.5) holds a third of the rows.
+    pop = scores.withColumn("score", F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise(F.col("score")))
+    top = pop.orderBy(F.col("score").desc_nulls_last(), F.col("id")).limit(40) \
+        .unionByName(pop.filter(F.col("score").isNull() | (F.col("score") == 0.5)).orderBy("id").limit(10))
+    got = rank.percent_rank_of(top, pop, "score", partition_cols=["g"], out="pr")
+    ref = pop.withColumn("ref", F.percent_rank().over(Window.partitionBy("g").orderBy("score")))
+    j = got.join(ref.select("id", "ref"), "id")
+    assert j.count() == top.count() == 50
+    assert j.filter(F.abs(F.col("pr") - F.col("ref")) > 1e-12).count() == 0
