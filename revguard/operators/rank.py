@@ -62,6 +62,20 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
     ``(rows in the partition with a smaller score) / (rows in the partition - 1)``;
     0 for a one-row partition; NULL scores sort first, as in SQL.
     """
+    keys = list(partition_cols or []) + [score]
+    ranks = percent_rank_keys(df, score, partition_cols=partition_cols, out=out,
+                              num_partitions=num_partitions)
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(ranks, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def percent_rank_keys(df: DataFrame, score: str, *, partition_cols: list[str] | None = None,
+                      out: str = "percent_rank", num_partitions: int | None = None) -> DataFrame:
+    """The percent rank per distinct ``(partition, score)`` key, as ``_k0.._kn, out``.
+
+    For callers that reduce the rows first (e.g. the latest score per invoice)
+    and attach the rank of the whole table afterwards by key.
+    """
     p = list(partition_cols or [])
     keys = p + [score]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -74,9 +88,7 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
         pre = pre.crossJoin(F.broadcast(grp))  # exactly one row
     pr = F.when(F.col("_gn") <= 1, F.lit(0.0)).otherwise(
         (F.col("before__cnt") - F.col("_g0")).cast("double") / (F.col("_gn") - 1).cast("double"))
-    ranks = pre.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], pr.alias(out))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(ranks, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+    return pre.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], pr.alias(out))
 
 
 def percent_rank_of(rows: DataFrame, population: DataFrame, score: str, *,
