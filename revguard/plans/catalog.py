@@ -214,10 +214,11 @@ QUERIES.update({
         D.alerts_view(b, rules.flat(rules.run_rules(b))), key="source_ref",
         filters={"rule_code": "UNDERBILLING", "severity": "high"}, ordering="-leakage_amount",
         allowed=["leakage_amount", "severity"], page=3)[0]),
-    "e5_risk_page": _b(lambda b: D.list_entity(
-        D.scores_view(b, _risk(b)).drop("top_features", "feature_snapshot"), key="invoice_id",
+    "e5_risk_page": _b(lambda b: D.ranked_page(D.list_entity(
+        D.scores_view(b, _risk(b, False)).drop("top_features", "feature_snapshot"), key="invoice_id",
         filters={"risk_severity": "medium", "model_version": "v1"}, search="customer#",
-        search_cols=["customer_name"], default=["-leakage_probability"])[0]),
+        search_cols=["customer_name"], default=["-leakage_probability"])[0], _risk(b, False),
+        order=[F.col("leakage_probability").desc(), F.col("invoice_id").asc()])),
     "e6_anomaly_page": _b(lambda b: D.list_entity(
         D.scores_view(b, _anom(b)).drop("top_features"), key="invoice_id",
         filters={"is_anomaly": True}, default=["score"], page=4)[0]),

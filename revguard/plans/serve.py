@@ -260,6 +260,17 @@ def list_entity(df: DataFrame, *, key: str, filters: dict | None = None, search:
     return rows, d.agg(F.count(F.lit(1)).alias("count"))
 
 
+def ranked_page(page: DataFrame, risk: DataFrame, *, order: list[Column]) -> DataFrame:
+    """E5: add ``rank_percentile`` (W1 per model and version over all of ``risk``) to one page.
+
+    The page is bounded by its page size, so only its rows are ranked
+    (``rank.percent_rank_of``); the page order is restored afterwards.
+    """
+    return rank.percent_rank_of(page, risk, "leakage_probability",
+                                partition_cols=["model_name", "model_version"], out="_pr") \
+        .withColumn("rank_percentile", F.col("_pr") * 100).drop("_pr").orderBy(*order)
+
+
 def customers_view(b: Billing) -> DataFrame:
     """E1 list rows (live customers)."""
     return _live(b.customers).select("customer_id", "external_id", "name", "segment", "status",
