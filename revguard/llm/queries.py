@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revguard.llm import packing, token_store
+from revguard.llm import packing, simhash, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -29,3 +30,9 @@ def op5_token_store(spark, sf_dir):
     folder = token_store.new_folder(spark, "token-store")
     token_store.write_store(read_table(spark, sf_dir, "documents", "doc_id", "text"), folder, word_tokenizer_path())
     return token_store.read_store(spark, folder, with_ids=False)
+
+
+@register
+def op10_simhash(spark, sf_dir):
+    found = simhash.clustered(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
