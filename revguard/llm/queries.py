@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import packing, simhash, token_store
+from revguard.llm import packing, simhash, suffix_dedup, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -36,3 +36,10 @@ def op5_token_store(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     found = simhash.clustered(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
