@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import packing, simhash, suffix_dedup, token_store
+from revguard.llm import packing, quality_mcd, simhash, suffix_dedup, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -43,3 +43,9 @@ def op4_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op2_quality_mcd(spark, sf_dir):
+    found = quality_mcd.judged(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return found.select("doc_id", *quality_mcd.STATS, "base_failed", "kept")
