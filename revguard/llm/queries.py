@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import packing, quality_mcd, simhash, suffix_dedup, token_store
+from revguard.llm import packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -49,3 +49,13 @@ def op4_suffix_dedup(spark, sf_dir):
 def op2_quality_mcd(spark, sf_dir):
     found = quality_mcd.judged(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return found.select("doc_id", *quality_mcd.STATS, "base_failed", "kept")
+
+
+@register
+def op8_secret_scan(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_sample(docs)))
+    counts = [F.size(F.filter("base", lambda s: s["rank"] == F.lit(rank))).cast("long").alias(f"n_{kind}")
+              for rank, kind in enumerate(secret_scan.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.as_text(F.col("spans")).alias("spans"))
