@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
+from revguard.llm import decontam_tiling, packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -59,3 +59,10 @@ def op8_secret_scan(spark, sf_dir):
               for rank, kind in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"),
                         secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+@register
+def op9_decontam_tiling(spark, sf_dir):
+    found = decontam_tiling.contaminated(read_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                         read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "coverage")
