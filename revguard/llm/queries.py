@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import decontam_tiling, packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
+from revguard.llm import decontam_tiling, html_extract, packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -66,3 +66,8 @@ def op9_decontam_tiling(spark, sf_dir):
     found = decontam_tiling.contaminated(read_table(spark, sf_dir, "documents", "doc_id", "text"),
                                          read_table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "item_id", "item_words", "covered_words", "n_tiles", "longest_tile", "coverage")
+
+
+@register
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extracted(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
