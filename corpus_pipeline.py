@@ -1,7 +1,61 @@
-"""Stub until every stage is there."""
-STAGES = []
+"""Training-text pipeline over the documents table: filter, deduplicate, decontaminate, redact, pack.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame that is written as Parquet and read again for the next one.
+All but the last return the columns of ``docs``: the first three drop rows, the
+fourth replaces secrets in the text (and sets n_chars accordingly), the last
+gives one row per packed piece.  Null texts fail the quality rules; rows without
+doc_id pass the near-duplicate stage; repeated rows become one there; an empty
+table stays empty through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from revguard.llm import decontam_tiling, packing, quality_mcd, secret_scan, simhash, token_store
+from revguard.llm.common import read_table
+from revguard.llm.tokens import word_tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the robust outlier test reject."""
+    return quality_mcd.kept_rows(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontam_tiling.clean_rows(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequences."""
+    return packing.pack(docs, word_tokenizer_path())
+
+
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup),
+          ("benchmark_decontamination", benchmark_decontamination), ("secret_scans", secret_scans),
+          ("packing", pack_documents)]
+
+#: Fingerprints and token ids have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = token_store.new_folder(spark, "corpus-pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import decontam_tiling, html_extract, packing, quality_mcd, secret_scan, simhash, suffix_dedup, token_store
+from revguard.llm import (decontam_tiling, html_extract, packing, quality_mcd, secret_scan, simhash, suffix_dedup,
+                          token_rollup, token_store, url_filter)
 from revguard.llm.common import read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -71,3 +72,27 @@ def op9_decontam_tiling(spark, sf_dir):
 @register
 def op1_html_extract(spark, sf_dir):
     return html_extract.extracted(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@register
+def op6_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, url_filter.RULE_TYPE)
+    found = url_filter.judged(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register
+def op7_token_rollup(spark, sf_dir):
+    store = token_store.new_folder(spark, "token-rollup")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    for batch_id, changes in token_rollup.corpus_changes(docs):
+        token_rollup.commit(changes, store, batch_id)
+        if batch_id == 2:
+            token_rollup.commit(changes, store, batch_id)  # a replay counts once
+        if batch_id == 3:
+            token_rollup.compact(spark, store, 2)
+    return token_rollup.totals(spark, store)
