@@ -137,11 +137,11 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str) -> None:
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
             out, own, size = [], [], 0
             for row in rows:
-                own.append(row)
-                size += row[1]
-                if size >= BLOCK_IDS:
+                if own and (size >= BLOCK_IDS or own[0][4] != row[4]):  # a task may read several shards
                     out.append(own)
                     own, size = [], 0
+                own.append(row)
+                size += row[1]
             if own:
                 out.append(own)
             packed = [encode_ranks(rank_of[np.concatenate([_wide(r[2]) for r in b])]) for b in out]
