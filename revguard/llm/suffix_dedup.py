@@ -237,9 +237,10 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts one bucket and keeps its rows that share their token, and those of its first and last token."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    own = [b for b in batches if b.num_rows]
+    if not own:
         return
+    table = pa.Table.from_batches(own)
     col = {name: table.column(name).to_numpy() for name in table.column_names}
     order = multikey_order([col["t"], col["c"], col["did"], col["lo"]])
     t, c = col["t"][order], col["c"][order]
