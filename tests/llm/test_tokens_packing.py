@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from revguard.llm import packing, token_store
+from revguard.llm.common import new_folder
 from revguard.llm.tokens import END_ID, TextEncoder, word_tokenizer_path
 from tests.conftest import SF0001
 from tests.llm.helpers import no_docs, odd_docs, odd_rows
@@ -102,7 +103,7 @@ def test_codes_round_trip(ranks):
 
 
 def stored(spark, docs):
-    folder = token_store.new_folder(spark, "test-store")
+    folder = new_folder(spark, "test-store")
     token_store.write_store(docs, folder, PATH)
     return folder, sorted(token_store.read_store(spark, folder).collect(), key=lambda r: r.start)
 
