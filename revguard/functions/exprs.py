@@ -182,3 +182,16 @@ def json_field(col, key: str, default=None) -> Column:
     """read ``key`` from a JSON object string, with a default when absent."""
     v = F.get_json_object(c(col), f"$.{key}")
     return F.coalesce(v, F.lit(default)) if default is not None else v
+
+
+def left_lookup(df, dim, key: str, unique: str):
+    """Left join of a dimension on a nullable key whose NULLs are no hot key.
+
+    A NULL key finds nothing, yet all NULLs hash to one partition.  They join on
+    ``-1 - unique`` instead, a value no (non-negative) key has, so these rows
+    spread like any other.
+    """
+    spread = F.coalesce(F.col(key).cast("bigint"), F.lit(-1).cast("bigint") - F.col(unique).cast("bigint"))
+    right = dim.select(F.col(key).cast("bigint").alias("_lookup"), *[c for c in dim.columns if c != key])
+    return df.withColumn("_spread", spread).join(right, F.col("_spread") == F.col("_lookup"), "left") \
+        .drop("_spread", "_lookup")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
 from revguard.session import ensure_checkpoint_dir
+from revguard.sources.sinks import delete
 
 # Human-readable labels of the invoice features.
 FEATURE_LABELS = {
@@ -87,6 +88,7 @@ def tree_table(model: PipelineModel) -> tuple[pd.DataFrame, np.ndarray]:
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).toPandas()
+    delete(spark, path)
     weights = np.asarray(gbt.treeWeights, dtype=float)
     return nodes, weights
 
@@ -127,7 +129,7 @@ def path_contributions(x: np.ndarray, arrays) -> tuple[np.ndarray, np.ndarray, n
             nxt = np.where(v <= thr[cur], left[cur], right[cur])
             nxt = np.where(inner, nxt, cur)
             delta = np.where(inner, pred[nxt] - pred[cur], 0.0) * w[t]
-            np.add.at(contrib, (rows[inner], fi[inner]), delta[inner])
+            contrib[rows[inner], fi[inner]] += delta[inner]  # one entry per row
             cur = nxt
         margin += pred[cur] * w[t]
     return contrib, bias, margin
@@ -171,11 +173,13 @@ def linear_contributions(df: DataFrame, coefs: dict[str, float], *,
 def global_importance(contribs: DataFrame, cols: list[str]) -> DataFrame:
     """Mean |contribution| per feature, label and 1-based rank.
 
-    The result has one row per feature, so the ranking window is feature-sized.
+    One aggregate with a mean per feature, whose single row is then unpivoted, so
+    the ranking window is feature-sized.
     """
-    stacked = contribs.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"c_{c}").alias("v")) for c in cols])).alias("s"))
-    g = stacked.groupBy("s.feature").agg(F.avg(F.abs("s.v")).alias("mean_abs_contribution"))
+    means = contribs.agg(*[F.avg(F.abs(f"c_{c}")).alias(f"m_{i}") for i, c in enumerate(cols)])
+    g = means.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"m_{i}").alias("mean_abs_contribution"))
+        for i, c in enumerate(cols)])).alias("s")).select("s.*").where("mean_abs_contribution is not null")
     w = Window.orderBy(F.col("mean_abs_contribution").desc(), F.col("feature").asc())
     return g.select("feature", label_expr("feature").alias("label"), "mean_abs_contribution",
                     F.row_number().over(w).alias("rank"))
@@ -202,17 +206,27 @@ def local_explanations(contribs: DataFrame, cols: list[str], *, top_n: int = 3,
 
 
 # ----------------------------------------------------------------------------- X5
-def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id") -> DataFrame:
-    """Put attributions on the score rows by key (new value wins, else old)."""
-    e = explanations.select(key, F.col("top_contributions").alias("_new_contrib"),
-                            F.col("explanation").alias("_new_expl"))
-    out = scores.join(e, key, "left")
-    if "attributions" in scores.columns:
-        out = out.withColumn("attributions", F.coalesce("_new_contrib", "attributions"))
-    else:
-        out = out.withColumn("attributions", F.col("_new_contrib"))
-    if "explanation" in scores.columns:
-        out = out.withColumn("explanation", F.coalesce("_new_expl", "explanation"))
-    else:
-        out = out.withColumn("explanation", F.col("_new_expl"))
-    return out.drop("_new_contrib", "_new_expl")
+def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id",
+           model_name: str | None = None, model_version: str | None = None) -> DataFrame:
+    """Put a model's attributions on its score rows (new value wins, else old).
+
+    ``top_features``, ``attributions`` and ``explanation`` of a score are replaced
+    together.  Rows match by ``key``, and by model and version: those that the
+    explanations carry, or else the ones given, so that scores of other models
+    keep what they have.
+    """
+    e = explanations.select(
+        F.col(key).alias("_key"), F.col("top_features").alias("_new_top_features"),
+        F.col("top_contributions").alias("_new_attributions"), F.col("explanation").alias("_new_explanation"),
+        *[(F.col(c) if c in explanations.columns else F.lit(v)).alias(f"_{c}")
+          for c, v in (("model_name", model_name), ("model_version", model_version))])
+    same = F.col(key) == F.col("_key")
+    for c, v in (("model_name", model_name), ("model_version", model_version)):
+        if c in explanations.columns or v is not None:
+            same = same & (F.col(c) == F.col(f"_{c}"))
+    out = scores.join(e, same, "left")
+    for c in ("top_features", "attributions", "explanation"):
+        new = F.col(f"_new_{c}")
+        out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in scores.columns else new)
+    return out.drop("_key", "_model_name", "_model_version", "_new_top_features", "_new_attributions",
+                    "_new_explanation")

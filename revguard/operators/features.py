@@ -209,8 +209,9 @@ def stand_in_scores(feat: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Mean, sample std, min, max per feature (unpivot + one grouped aggregate)."""
-    st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), X.dbl(c).alias("v"))
-                                       for c in cols])).alias("s"))
-    return st.groupBy("s.feature").agg(F.avg("s.v").alias("mean"), F.stddev_samp("s.v").alias("std"),
-                                       F.min("s.v").alias("min"), F.max("s.v").alias("max"))
+    """Mean, sample std, min, max per feature (one aggregate, its single row unpivoted)."""
+    parts = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[fn(X.dbl(c)).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, fn in parts.items()])
+    return row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"{name}_{i}").alias(name) for name in parts])
+        for i, c in enumerate(cols)])).alias("s")).select("s.*")

@@ -140,7 +140,11 @@ def fit(train: DataFrame, feature_cols: list[str], *, id_col: str = "invoice_id"
     psi = int(min(max_samples, n))
     samples = tree_samples(train, id_col, feature_cols, n_trees=n_trees, psi=psi, seed=seed, n_rows=n)
     nodes = samples.groupBy("tree_id").applyInPandas(_grow(feature_cols, psi, seed), schema=NODE_SCHEMA)
-    model = IsolationForestModel(nodes=nodes.toPandas(), feature_cols=list(feature_cols), psi=psi,
+    grown = nodes.toPandas()
+    roots = grown[grown["node_id"] == 0].groupby("tree_id")["size"].max()
+    if len(roots) < n_trees or int(roots.min()) < psi:
+        raise ValueError(f"a tree was offered fewer than {psi} rows; raise the offer rates or lower max_samples")
+    model = IsolationForestModel(nodes=grown, feature_cols=list(feature_cols), psi=psi,
                                  contamination=contamination)
     raw = score(train, model, out="_s", raw=True)
     model.offset = rank.quantile(raw, "_s", contamination)

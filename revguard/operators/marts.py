@@ -65,8 +65,9 @@ def invoice_mart(b: Billing) -> DataFrame:
         F.col("status").alias("invoice_status"), "issue_date", "due_date", "period_start",
         "period_end", "subtotal", "tax_amount", "discount_amount", "total_amount", "paid_amount",
         "outstanding_amount")
-    j = inv.join(pay, "invoice_id", "left").join(ref, "invoice_id", "left") \
-        .join(subs, "subscription_id", "left").join(ctr, "contract_id", "left")
+    j = inv.join(pay, "invoice_id", "left").join(ref, "invoice_id", "left")
+    j = X.left_lookup(j, subs, "subscription_id", "invoice_id")
+    j = X.left_lookup(j, ctr, "contract_id", "invoice_id")
     z = X.zero_if_null
     return j.select(
         "invoice_id", "customer_id", "subscription_id", "invoice_number", "invoice_status",

@@ -38,7 +38,7 @@ def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
 
 
 def train_logistic(train: DataFrame, cols: list[str], *, label: str = "label", c: float = 1.0,
-                   max_iter: int = 100) -> PipelineModel:
+                   max_iter: int = 1000) -> PipelineModel:
     """L1 + L4: scaler -> balanced, L2-regularised logistic regression."""
     n, _, w_neg, w_pos = class_weights(train, label)
     data = train.withColumn("_w", F.when(F.col(label) == 1, w_pos).otherwise(w_neg))

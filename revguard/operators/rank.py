@@ -9,23 +9,29 @@ task.  These helpers compute the same numbers in three distributed steps:
    checkpoint (range bounds are sampled, so both passes must see the same
    partitions), and take per-partition totals,
 3. broadcast the per-partition offsets (one row per partition: a bound set by
-   the partition count, not by the data) and add them to a window that is
-   partitioned by the range partition id.
+   the partition count, not by the data) and add them to running sums that were
+   taken inside each sorted range partition.
 
-The keyed result is joined back to the rows on the order key; a hot key makes
-that join skewed, which AQE's skew-join splitting handles.
+The keyed result is joined back to the rows on the order key; keys with more
+rows than a partition's share are salted for that join.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revguard.session import cut_lineage
 
 
+MAX_RANKED_ROWS = 10_000
+
+
 def _order(cols: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
 
@@ -39,18 +45,28 @@ def prefix_sums(keyed: DataFrame, order_cols: list[str], measures: list[str], *,
     """
     spark = keyed.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(n, *_order(order_cols, descending)) \
-        .withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    order = _order(order_cols, descending)
+    local = T.StructType([*keyed.schema.fields, *[T.StructField(f"_l_{m}", keyed.schema[m].dataType) for m in measures]])
+
+    def running(batches):
+        done = [0] * len(measures)
+        for batch in batches:
+            for i, m in enumerate(measures):
+                column = batch.column(batch.schema.get_field_index(m))
+                ends = np.cumsum(column.to_numpy(zero_copy_only=False)) + done[i]
+                before = np.concatenate([[done[i]], ends[:-1]])[: len(ends)]
+                batch = batch.append_column(f"_l_{m}", pa.array(before, column.type))
+                done[i] = ends[-1] if len(ends) else done[i]
+            yield batch
+
+    # the running sum within a partition is taken as it is sorted: no second exchange for a window
+    ranged = cut_lineage(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .mapInArrow(running, local).withColumn("_pid", F.spark_partition_id()))
     totals = ranged.groupBy("_pid").agg(*[F.sum(m).alias(f"_p_{m}") for m in measures])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_p_{m}").over(before), F.lit(0))
                                       .alias(f"_o_{m}") for m in measures])
-    local = Window.partitionBy("_pid").orderBy(*_order(order_cols, descending)) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.select("*", *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"_l_{m}")
-                               for m in measures])
-    out = out.join(F.broadcast(offsets), "_pid")
+    out = ranged.join(F.broadcast(offsets), "_pid")
     return out.select(*[c for c in keyed.columns],
                       *[(F.col(f"_o_{m}") + F.col(f"_l_{m}")).alias(f"before_{m}") for m in measures])
 
@@ -63,14 +79,27 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
     0 for a one-row partition; NULL scores sort first, as in SQL.
     """
     keys = list(partition_cols or []) + [score]
-    ranks = percent_rank_keys(df, score, partition_cols=partition_cols, out=out,
-                              num_partitions=num_partitions)
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(ranks, cond).drop(*[f"_k{i}" for i in range(len(keys))])
+    names = [f"_k{i}" for i in range(len(keys))]
+    ranks = cut_lineage(percent_rank_keys(df, score, partition_cols=partition_cols, out=out,
+                                          num_partitions=num_partitions, count_out="_cnt"))
+    # A key with more rows than a partition's share: at most one per partition, so these are few enough to broadcast.
+    # Their rows are salted over all partitions and their ranks repeated for each salt.
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = (ranks.agg(F.sum("_cnt")).first()[0] or 0) / parts
+    is_hot = F.col("_cnt") > max(share, 1)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    hot = ranks.where(is_hot).select(*[F.col(k).alias(f"_h{k}") for k in names], F.lit(True).alias("_hot"))
+    same_hot = [F.col(k).eqNullSafe(F.col(f"_h{n}")) for k, n in zip(keys, names)]
+    salted = df.join(F.broadcast(hot), same_hot, "left").withColumn("_salt", F.when(
+        F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(F.lit(0)))
+    spread = ranks.withColumn("_rsalt", F.explode(salts))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)] + [F.col("_salt") == F.col("_rsalt")]
+    return salted.join(spread, same).drop(*names, *[f"_h{n}" for n in names], "_hot", "_salt", "_rsalt", "_cnt")
 
 
 def percent_rank_keys(df: DataFrame, score: str, *, partition_cols: list[str] | None = None,
-                      out: str = "percent_rank", num_partitions: int | None = None) -> DataFrame:
+                      out: str = "percent_rank", num_partitions: int | None = None,
+                      count_out: str | None = None) -> DataFrame:
     """The percent rank per distinct ``(partition, score)`` key, as ``_k0.._kn, out``.
 
     For callers that reduce the rows first (e.g. the latest score per invoice)
@@ -88,7 +117,8 @@ def percent_rank_keys(df: DataFrame, score: str, *, partition_cols: list[str] |
         pre = pre.crossJoin(F.broadcast(grp))  # exactly one row
     pr = F.when(F.col("_gn") <= 1, F.lit(0.0)).otherwise(
         (F.col("before__cnt") - F.col("_g0")).cast("double") / (F.col("_gn") - 1).cast("double"))
-    return pre.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], pr.alias(out))
+    return pre.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], pr.alias(out),
+                      *([F.col("_cnt").alias(count_out)] if count_out else []))
 
 
 def percent_rank_of(rows: DataFrame, population: DataFrame, score: str, *,
@@ -96,39 +126,55 @@ def percent_rank_of(rows: DataFrame, population: DataFrame, score: str, *,
     """W1 for a bounded set of ``rows`` (a top-k or one page) against a whole ``population``.
 
     Same value as ``percent_rank`` computed over ``population`` and then looked
-    up for ``rows``, without ranking every row: the population is reduced to
-    row counts per distinct ``(partition, score)`` (partial aggregation, so a
-    hot score is one row per task before the shuffle), and those counts are
-    joined with the distinct keys of ``rows``, which the caller bounds with a
-    limit, so that side is broadcast.  Per key: rows with a smaller score (NULL
-    scores sort first) over rows in the partition minus one.
+    up for ``rows``, without ranking every row.  The scores of ``rows``, sorted,
+    are one array per partition; each population row is put between two of them
+    and only counted, so a task sends one row per array entry at most and no row
+    is copied.  Prefix sums of these counts are the ranks.  (NULL scores sort
+    first.)  More than ``MAX_RANKED_ROWS`` rows are ranked with all others.
     """
     p = list(partition_cols or [])
-    counts = population.groupBy(*p, score).agg(F.count(F.lit(1)).alias("_cnt"))
-    keys = rows.select(*[F.col(c).alias(f"_k_{c}") for c in p], F.col(score).alias("_k_s")).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in p]
-    before = F.col("_k_s").isNotNull() & (F.col(score).isNull() | (F.col(score) < F.col("_k_s")))
-    cond = reduce(lambda a, c: a & c, same, F.lit(True))
-    j = counts.join(F.broadcast(keys), cond)
-    ranked = j.groupBy(*[f"_k_{c}" for c in p], "_k_s").agg(
-        F.sum(F.when(before, F.col("_cnt")).otherwise(0)).alias("_lt"), F.sum("_cnt").alias("_n"))
+    rows = cut_lineage(rows)
+    if rows.limit(MAX_RANKED_ROWS + 1).count() > MAX_RANKED_ROWS:
+        ranks = percent_rank_keys(population, score, partition_cols=p, out=out)
+        cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*p, score])]
+        return rows.join(ranks, cond, "left").drop(*[f"_k{i}" for i in range(len(p) + 1)])
+    marks = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in p]).agg(
+        F.sort_array(F.collect_set(score)).alias("_marks"))
+    same = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in p], F.lit(True))
+    own = [f"_k_{c}" for c in p]
+    below = F.when(F.col(score).isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_marks", lambda m: m <= F.col(score))))
+    counts = population.select(*p, score).join(F.broadcast(marks), same) \
+        .groupBy(*own, below.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
+    # at most one row per mark and partition from here on
+    w = Window.partitionBy(*own)
+    counts = cut_lineage(counts.withColumn("_n", F.sum("_cnt").over(w))
+                         .withColumn("_upto", F.sum("_cnt").over(w.orderBy("_b"))))
+    at = marks.select(*own, F.posexplode("_marks").alias("_i", "_k_s"))
+    c = counts.select(*[F.col(k).alias(f"_c{k}") for k in own], "_b", "_n", "_upto")
+    near = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_c{k}")), own, F.col("_b") <= F.col("_i"))
+    lower = at.join(F.broadcast(c), near, "left").groupBy(*own, "_k_s").agg(
+        F.coalesce(F.max("_upto"), F.lit(0)).alias("_lt"))
+    sizes = counts.groupBy(*own).agg(F.max("_n").alias("_n"))
+    sizes = sizes.select(*[F.col(k).alias(f"_z{k}") for k in own], "_n")
+    back = reduce(lambda a, x: a & x, [F.col(x).eqNullSafe(F.col(f"_z_k_{x}")) for x in p], F.lit(True))
+    mark = [F.col(x).eqNullSafe(F.col(f"_k_{x}")) for x in p] + [F.col(score) == F.col("_k_s")]
     pr = F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
-        F.col("_lt").cast("double") / (F.col("_n") - 1).cast("double"))
-    ranked = ranked.select(*[f"_k_{c}" for c in p], "_k_s", pr.alias(out))
-    back = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in p] + [F.col(score).eqNullSafe(F.col("_k_s"))]
-    return rows.join(F.broadcast(ranked), reduce(lambda a, c: a & c, back)) \
-        .drop(*[f"_k_{c}" for c in p], "_k_s")
+        F.coalesce("_lt", F.lit(0)).cast("double") / (F.col("_n") - 1).cast("double"))
+    return rows.join(F.broadcast(sizes), back).join(F.broadcast(lower), mark, "left").withColumn(out, pr) \
+        .drop(*own, "_k_s", "_lt", "_n", *[f"_z{k}" for k in own])
 
 
 def row_index(df: DataFrame, order_cols: list[str], *, out: str = "row_index",
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, count_out: str | None = None) -> DataFrame:
     """0-based position in the total order ``order_cols`` (must be unique).
 
     One range shuffle of the rows: after ``repartitionByRange`` and a sort within
     partitions, the rows are checkpointed; the position inside a partition is
     ``monotonically_increasing_id() - (partition_id << 33)`` (a narrow,
     JVM-side projection), and only the per-partition row counts (one row per
-    partition) are aggregated and broadcast back as offsets.
+    partition) are aggregated and broadcast back as offsets, with the number of
+    all rows in ``count_out`` if asked for.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +185,9 @@ def row_index(df: DataFrame, order_cols: list[str], *, out: str = "row_index",
         "_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    every = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            *([F.sum("_n").over(every).alias(count_out)] if count_out else []))
     return pos.join(F.broadcast(offsets), "_pid") \
         .withColumn(out, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off")
 
@@ -151,13 +199,11 @@ def time_split(df: DataFrame, date_col: str, id_col: str, *, train: float = 0.70
     Row ``i`` (0-based) of ``n`` goes to train when ``i < floor(n*train)``,
     to val when ``i < floor(n*(train+val))``, else to test.
     """
-    idx = row_index(df, [date_col, id_col], out="_i", num_partitions=num_partitions)
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = idx.crossJoin(F.broadcast(n))  # one row
-    cut1 = F.floor(F.col("_n") * F.lit(train))
-    cut2 = F.floor(F.col("_n") * F.lit(train + val))
+    j = row_index(df, [date_col, id_col], out="_i", num_partitions=num_partitions, count_out="_total")
+    cut1 = F.floor(F.col("_total") * F.lit(train))
+    cut2 = F.floor(F.col("_total") * F.lit(train + val))
     split = F.when(F.col("_i") < cut1, "train").when(F.col("_i") < cut2, "val").otherwise("test")
-    return j.withColumn("split", split).drop("_i", "_n")
+    return j.withColumn("split", split).drop("_i", "_total")
 
 
 def split_summary(split_df: DataFrame, date_col: str) -> DataFrame:

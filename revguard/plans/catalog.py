@@ -184,11 +184,11 @@ QUERIES.update({
                                                        model_name=STAND_IN)),
     "d8_revenue_breakdown": _b(D.revenue_by_month),
     "d9_outstanding_invoices": _b(lambda b: D.outstanding_invoices(b, limit=100)),
-    "d9_outstanding_total": _b(lambda b: D.list_total(D.outstanding_invoices(b, limit=100),
-                                                      "outstanding_amount", "total_outstanding")),
+    "d9_outstanding_total": _b(lambda b: D.list_total(D.outstanding_rows(b), "outstanding_amount",
+                                                      "total_outstanding")),
     "d10_overdue_invoices": _b(lambda b: D.overdue_invoices(b, limit=200)),
-    "d10_overdue_total": _b(lambda b: D.list_total(D.overdue_invoices(b, limit=200),
-                                                   "outstanding_amount", "total_overdue_amount")),
+    "d10_overdue_total": _b(lambda b: D.list_total(D.overdue_rows(b), "outstanding_amount",
+                                                   "total_overdue_amount")),
     "d11_high_risk_top": _b(lambda b: D.top_risks(b, _risk(b, False), model_name=STAND_IN, limit=100,
                                                   severities=["critical", "high"], n_features=2)
                             .drop("invoice_status")),

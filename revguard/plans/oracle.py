@@ -644,13 +644,13 @@ FROM (SELECT strftime(issue_date, '%Y-%m') AS month, COUNT(*) AS invoice_count,
              SUM(outstanding_amount) AS outstanding
       FROM invoices WHERE NOT is_deleted GROUP BY 1) m"""),
     "d9_outstanding_invoices": _q(D9_LIST),
-    "d9_outstanding_total": _q(f"""
-SELECT COALESCE(SUM(outstanding_amount), 0) AS total_outstanding, COUNT(*) AS count
-FROM ({D9_LIST}) t"""),
+    "d9_outstanding_total": _q("""
+SELECT CAST(COALESCE(SUM(outstanding_amount), 0) AS DOUBLE) AS total_outstanding, COUNT(*) AS count
+FROM invoices WHERE NOT is_deleted AND outstanding_amount > 0"""),
     "d10_overdue_invoices": _q(D10_LIST),
-    "d10_overdue_total": _q(f"""
-SELECT COALESCE(SUM(outstanding_amount), 0) AS total_overdue_amount, COUNT(*) AS count
-FROM ({D10_LIST}) t"""),
+    "d10_overdue_total": _q("""
+SELECT CAST(COALESCE(SUM(outstanding_amount), 0) AS DOUBLE) AS total_overdue_amount, COUNT(*) AS count
+FROM invoices WHERE NOT is_deleted AND status = 'overdue'"""),
     "d11_high_risk_top": _q(D_PRE + _top_risk(100, "AND risk_severity IN ('critical', 'high')", 2, False)),
     "d12_anomaly_totals": _q(D_PRE + """
 SELECT COUNT(*) FILTER (WHERE is_anomaly) AS total_anomalies, COUNT(*) AS total_scored,

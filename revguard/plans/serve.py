@@ -172,10 +172,14 @@ def invoice_alerts(alerts: DataFrame, invoice_ids: list[int]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- D9, D10
+def outstanding_rows(b: Billing) -> DataFrame:
+    """Live invoices with something outstanding."""
+    return _live(b.invoices).filter(F.col("outstanding_amount") > 0)
+
+
 def outstanding_invoices(b: Billing, *, limit: int = 100) -> DataFrame:
     """Largest outstanding amounts with days overdue (0 when not yet due)."""
-    inv = _live(b.invoices).filter(F.col("outstanding_amount") > 0) \
-        .orderBy(F.col("outstanding_amount").desc(), F.col("invoice_id").asc()).limit(limit)
+    inv = outstanding_rows(b).orderBy(F.col("outstanding_amount").desc(), F.col("invoice_id").asc()).limit(limit)
     days = F.when(F.col("due_date") < F.lit(b.as_of), X.days_since("due_date", b.as_of)).otherwise(0)
     return inv.join(_cust(b), "customer_id", "inner").select(
         "invoice_number", "invoice_id", "customer_name", "customer_segment", "total_amount",
@@ -183,19 +187,24 @@ def outstanding_invoices(b: Billing, *, limit: int = 100) -> DataFrame:
 
 
 def list_total(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Q14: total and count over the *limited* list (as the KPI cards report)."""
+    """Q14: total and count over all rows that qualify for a list, whatever its length limit shows."""
     return df.agg(F.coalesce(F.sum(col), F.lit(0)).alias(out), F.count(F.lit(1)).alias("count"))
 
 
+def overdue_rows(b: Billing) -> DataFrame:
+    """Live overdue invoices."""
+    return _live(b.invoices).filter(F.col("status") == "overdue")
+
+
 def overdue_invoices(b: Billing, *, limit: int = 200) -> DataFrame:
-    """Overdue invoices, most days overdue first (invoice id breaks ties)."""
-    inv = _live(b.invoices).filter(F.col("status") == "overdue") \
-        .withColumn("days_overdue", F.datediff(F.lit(b.as_of), F.col("due_date")))
-    j = inv.join(b.customers.select("customer_id", F.col("name").alias("customer_name"), "segment"),
+    """Overdue invoices, most days overdue first (invoice id breaks ties); the cut precedes the look-up."""
+    order = [F.col("days_overdue").desc(), F.col("invoice_id").asc()]
+    top = overdue_rows(b).withColumn("days_overdue", F.datediff(F.lit(b.as_of), F.col("due_date"))) \
+        .orderBy(*order).limit(limit)
+    j = top.join(b.customers.select("customer_id", F.col("name").alias("customer_name"), "segment"),
                  "customer_id", "inner")
-    return j.orderBy(F.col("days_overdue").desc(), F.col("invoice_id").asc()).limit(limit).select(
-        "invoice_id", "invoice_number", "customer_name", "segment", "total_amount",
-        "outstanding_amount", "due_date", "days_overdue")
+    return j.orderBy(*order).select("invoice_id", "invoice_number", "customer_name", "segment", "total_amount",
+                                    "outstanding_amount", "due_date", "days_overdue")
 
 
 # ----------------------------------------------------------------------------- D12

@@ -54,12 +54,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder and
     is respected as is.  Only when nothing is configured (local tests) do we
-    create a private temporary folder.
+    create a private temporary folder; on any other master that is an error,
+    since executors do not see each other's local folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="revguard-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

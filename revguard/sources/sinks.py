@@ -11,6 +11,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revguard.session import cut_lineage
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds a readable Parquet table."""
@@ -20,6 +22,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this run has written."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def write_alerts(alerts: DataFrame, path: str, *, detected_at: _dt.datetime, mode: str = "append") -> None:
     """S3: alert rows partitioned by rule code (one directory per rule)."""
     alerts.withColumn("detected_at", F.lit(detected_at).cast("timestamp")) \
@@ -54,7 +62,7 @@ def append_new(df: DataFrame, path: str, keys: list[str], *, partition_by: list[
     """
     spark = df.sparkSession
     existing = spark.read.parquet(path) if exists(spark, path) else None
-    fresh = new_rows(df, existing, keys).checkpoint(eager=True)
+    fresh = cut_lineage(new_rows(df, existing, keys))
     n = fresh.count()
     if n:
         w = fresh.write.mode("append")
