@@ -13,8 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revguard.llm import decontam_tiling, packing, quality_mcd, secret_scan, simhash, token_store
-from revguard.llm.common import read_table
+from revguard.llm import decontam_tiling, packing, quality_mcd, secret_scan, simhash
+from revguard.llm.common import new_folder, read_table
 from revguard.llm.tokens import word_tokenizer_path
 
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = token_store.new_folder(spark, "corpus-pipeline")
+    folder = new_folder(spark, "corpus-pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
 
 __all__ = ["SPACES", "SPACE_CLASS", "bounded_broadcast", "cut_lineage", "ensure_checkpoint_dir", "let",
-           "pick", "read_table", "shuffle_width", "words_of"]
+           "new_folder", "pick", "read_table", "shuffle_width", "words_of", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -54,5 +55,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.toDF(*names)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder of ``spark.checkpoint.dir``."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a compressed table to the shared folder and read again.
+
+    Cuts the lineage as a checkpoint does, for rows that are many: columns take a fraction of a checkpoint's space.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import (decontam_tiling, html_extract, packing, quality_mcd, secret_scan, simhash, suffix_dedup,
+from revguard.llm import (decontam_tiling, html_extract, oracle, packing, quality_mcd, secret_scan, simhash, suffix_dedup,
                           token_rollup, token_store, url_filter)
-from revguard.llm.common import read_table
+from revguard.llm.common import new_folder, read_table
 from revguard.llm.tokens import word_tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def op3_packing(spark, sf_dir):
 
 @register
 def op5_token_store(spark, sf_dir):
-    folder = token_store.new_folder(spark, "token-store")
+    folder = new_folder(spark, "token-store")
     token_store.write_store(read_table(spark, sf_dir, "documents", "doc_id", "text"), folder, word_tokenizer_path())
     return token_store.read_store(spark, folder, with_ids=False)
 
@@ -87,7 +87,7 @@ def op6_url_filter(spark, sf_dir):
 
 @register
 def op7_token_rollup(spark, sf_dir):
-    store = token_store.new_folder(spark, "token-rollup")
+    store = new_folder(spark, "token-rollup")
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     for batch_id, changes in token_rollup.corpus_changes(docs):
         token_rollup.commit(changes, store, batch_id)
@@ -96,3 +96,7 @@ def op7_token_rollup(spark, sf_dir):
         if batch_id == 3:
             token_rollup.compact(spark, store, 2)
     return token_rollup.totals(spark, store)
+
+
+ORACLE.update({"op2_quality_mcd": oracle.QUALITY, "op6_url_filter": oracle.url_filter(URL_RULES),
+               "op7_token_rollup": oracle.ROLLUP, "op8_secret_scan": oracle.SECRETS})
