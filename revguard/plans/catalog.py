@@ -206,14 +206,15 @@ QUERIES.update({
         search="customer#00000", search_cols=["name", "external_id"],
         default=["-acquisition_date"], page=2)[1]),
     "e1_customer_rollup": _b(lambda b: D.customer_rollup(b, _risk(b, False))),
-    "e2_invoices_page": _b(lambda b: D.list_entity(
-        D.invoices_view(b, _risk(b, False)), key="invoice_id", filters={"status": "overdue"},
+    "e2_invoices_page": _b(lambda b: D.with_latest_risk(D.list_entity(
+        D.invoices_view(b), key="invoice_id", filters={"status": "overdue"},
         ordering="-total_amount", allowed=["issue_date", "due_date", "total_amount",
-                                           "outstanding_amount"], default=["-issue_date"])[0]),
-    "e3_alerts_page": _b(lambda b: D.list_entity(
-        D.alerts_view(b, rules.flat(rules.run_rules(b))), key="source_ref",
+                                           "outstanding_amount"], default=["-issue_date"])[0], _risk(b, False),
+        order=[F.col("total_amount").desc(), F.col("invoice_id").asc()])),
+    "e3_alerts_page": _b(lambda b: D.alerts_view(b, D.list_entity(
+        rules.flat(rules.run_rules(b)), key="source_ref",
         filters={"rule_code": "UNDERBILLING", "severity": "high"}, ordering="-leakage_amount",
-        allowed=["leakage_amount", "severity"], page=3)[0]),
+        allowed=["leakage_amount", "severity"], page=3)[0])),
     "e5_risk_page": _b(lambda b: D.ranked_page(D.list_entity(
         D.scores_view(b, _risk(b, False)).drop("top_features", "feature_snapshot"), key="invoice_id",
         filters={"risk_severity": "medium", "model_version": "v1"}, search="customer#",

@@ -10,7 +10,7 @@ loss) adds no duplicate rows:
   whose ``(invoice_id, model_version)`` is new, and writes the evaluation
   report, the global importance and the attribution matrix.
 * ``run_forecasting``: appends forecast rows whose
-  ``(model_name, metric, period_month, model_version)`` is new and writes the
+  ``(model_name, series_key, metric, period_month, model_version)`` is new and writes the
   per-series summary.
 
     python -m revguard.plans.jobs rules|score|forecast --sf-dir DIR --out DIR
@@ -25,7 +25,7 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from revguard.operators import explain, features, forecast, marts, models, rules
+from revguard.operators import features, forecast, marts, models, rules
 from revguard.plans import pipeline
 from revguard.sources import sinks
 from revguard.sources.billing import AS_OF, billing_views
@@ -65,18 +65,13 @@ def run_scoring(spark: SparkSession, sf_dir: str, out: str, *, train: bool = Tru
                    "feature_importance": run.importance}
     else:
         from revguard.operators import forest
-        from revguard.plans import scores as S
         iso = forest.IsolationForestModel.load(spark, _p(model_dir, "isolation_forest"))
         lr = models.load(_p(model_dir, "logistic_regression"))
         gbt = models.load(_p(model_dir, "gbt"))
         data = pipeline.engineered(b)
         scored = pipeline.cut_lineage(pipeline.score_all(data, iso, lr, gbt))
-        at = S.scored_at_ts(as_of)
-        risk = S.risk_table(scored, "gbt_leakage_prob", model_name="gbt", model_version=model_version,
-                            scored_at=at)
-        anomaly = S.anomaly_table(scored, "if_score", model_version=model_version, scored_at=at)
-        contrib = explain.tree_contributions(data, gbt, features.INVOICE_FEATURE_COLS)
-        risk = explain.attach(risk, explain.local_explanations(contrib, features.INVOICE_FEATURE_COLS))
+        risk, anomaly = pipeline.score_records(scored, as_of, model_version=model_version)
+        _, _, risk = pipeline.explained(data, risk, gbt, model_version=model_version)
         reports = {}
     counts = {}
     if sink:
@@ -88,9 +83,7 @@ def run_scoring(spark: SparkSession, sf_dir: str, out: str, *, train: bool = Tru
         for name, df in reports.items():
             sinks.write_json(df, _p(out, f"reports/{name}"))
         if train:
-            contrib = explain.tree_contributions(pipeline.engineered(b), run.models["gbt"],
-                                                 features.INVOICE_FEATURE_COLS)
-            sinks.write_attributions(contrib, features.INVOICE_FEATURE_COLS, _p(out, "attributions"))
+            sinks.write_attributions(run.contributions, features.INVOICE_FEATURE_COLS, _p(out, "attributions"))
     return counts
 
 

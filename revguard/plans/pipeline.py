@@ -41,6 +41,7 @@ class ScoreRun:
     importance: DataFrame
     explanations: DataFrame | None = None
     global_importance: DataFrame | None = None
+    contributions: DataFrame | None = None
     models: dict = field(default_factory=dict)
 
 
@@ -73,6 +74,26 @@ def long_scores(scored: DataFrame) -> DataFrame:
         .select("m.model_name", "label", "m.score")
 
 
+def score_records(scored: DataFrame, as_of: _dt.date, *, model_version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """Risk and anomaly records of scored rows, alike whether the models were just fitted or loaded."""
+    snap = {"lr_prob": F.col("lr_leakage_prob"), "ensemble_prob": F.col("ensemble_prob"),
+            "if_anomaly": F.col("if_is_anomaly")}
+    at = scores.scored_at_ts(as_of)
+    risk = scores.risk_table(scored, "gbt_leakage_prob", model_name="gbt", model_version=model_version,
+                             scored_at=at, extra_snapshot=snap)
+    anomaly = scores.anomaly_table(scored, "if_score", model_version=model_version, scored_at=at,
+                                   snapshot=features.TOP_FEATURE_CANDIDATES)
+    return risk, anomaly
+
+
+def explained(data: DataFrame, risk: DataFrame, gbt, *, model_version: str = "v1") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The contribution matrix (written once), local explanations, and the risk records that carry them."""
+    cols = features.INVOICE_FEATURE_COLS
+    contrib = cut_lineage(explain.tree_contributions(data, gbt, cols, keys=["invoice_id"]))
+    local = explain.local_explanations(contrib, cols)
+    return contrib, local, explain.attach(risk, local, model_name="gbt", model_version=model_version)
+
+
 def score_pipeline(b: Billing, *, n_trees: int = 200, psi: int = 256, gbt_iters: int = 600,
                    explain_rows: bool = True, model_version: str = "v1") -> ScoreRun:
     cols = features.INVOICE_FEATURE_COLS
@@ -97,20 +118,13 @@ def score_pipeline(b: Billing, *, n_trees: int = 200, psi: int = 256, gbt_iters:
     evaluation = evaluation.filter(F.col("model_name") != "isolation_forest") \
         .unionByName(metrics.evaluate(if_test, THRESHOLD))
 
-    snap = {"lr_prob": F.col("lr_leakage_prob"), "ensemble_prob": F.col("ensemble_prob"),
-            "if_anomaly": F.col("if_is_anomaly")}
-    at = scores.scored_at_ts(b.as_of)
-    risk = scores.risk_table(scored, "gbt_leakage_prob", model_name="gbt", model_version=model_version,
-                             scored_at=at, extra_snapshot=snap)
-    anomaly = scores.anomaly_table(scored, "if_score", model_version=model_version, scored_at=at)
+    risk, anomaly = score_records(scored, b.as_of, model_version=model_version)
     run = ScoreRun(features=data, scored=scored, evaluation=evaluation, risk_scores=risk,
                    anomaly_scores=anomaly, importance=models.feature_importance(gbt, cols),
                    models={"isolation_forest": iso, "logistic_regression": lr, "gbt": gbt})
     if explain_rows:
-        contrib = cut_lineage(explain.tree_contributions(data, gbt, cols, keys=["invoice_id"]))
-        run.global_importance = explain.global_importance(contrib, cols)
-        run.explanations = explain.local_explanations(contrib, cols)
-        run.risk_scores = explain.attach(risk, run.explanations)
+        run.contributions, run.explanations, run.risk_scores = explained(data, risk, gbt, model_version=model_version)
+        run.global_importance = explain.global_importance(run.contributions, cols)
     return run
 
 

@@ -54,9 +54,12 @@ def risk_table(scored: DataFrame, prob: str, *, model_name: str, model_version:
 
 
 def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
-                  scored_at: _dt.datetime, threshold: float = 0.0, proxy: bool = True) -> DataFrame:
+                  scored_at: _dt.datetime, threshold: float = 0.0, proxy: bool = True,
+                  snapshot: list[str] | None = None) -> DataFrame:
     """Anomaly-score records: score, flag (score < threshold), min-max proxy, top features.
 
+    ``snapshot`` names the feature columns to keep as ``feature_snapshot``.
+
     The proxy needs a global min/max, i.e. a second pass over ``scored``;
     ``proxy=False`` leaves it out for reads that only count or group the flags.
     """
@@ -69,6 +72,8 @@ def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
         X.top_abs_names(features.TOP_FEATURE_CANDIDATES, 5).alias("top_features"),
         F.lit(scored_at).cast("timestamp").alias("scored_at"),
         F.lit(scored_at.strftime("%Y-%m")).alias("period_month"),
+        *([F.create_map(*[x for c in snapshot for x in (F.lit(c), F.col(c).cast("double"))])
+           .alias("feature_snapshot")] if snapshot else []),
     )
     return anomaly_proxy(base, "score", out="if_prob_proxy") if proxy else base
 
@@ -76,16 +81,25 @@ def anomaly_table(scored: DataFrame, score: str, *, model_version: str,
 def stand_in_risk_scores(feat: DataFrame, as_of: _dt.date, *, percentile: bool = True) -> DataFrame:
     """Two stand-in versions: v0 (30 days earlier, outstanding ratio) and v1 (rule blend).
 
-    Both versions are ranked in one percent-rank pass; ``percentile=False`` skips
-    the rank for reads that do not use it.
+    Both versions come from one pass over the features, as two structs per row;
+    ``percentile=False`` skips the rank for reads that do not use it.
     """
-    f = feat.withColumn("_p1", features.rule_score(feat)) \
-            .withColumn("_p0", features.clipped("outstanding_ratio"))
-    v1 = risk_table(f, "_p1", model_name="rule_blend", model_version="v1",
-                    scored_at=scored_at_ts(as_of), percentile=False)
-    v0 = risk_table(f, "_p0", model_name="rule_blend", model_version="v0",
-                    scored_at=scored_at_ts(as_of, 30), percentile=False)
-    both = v1.unionByName(v0)
+    def version(name: str, days_back: int, prob) -> F.Column:
+        at = scored_at_ts(as_of, days_back)
+        return F.struct(F.lit(name).alias("model_version"), prob.cast("double").alias("leakage_probability"),
+                        F.lit(at).cast("timestamp").alias("scored_at"),
+                        F.lit(at.strftime("%Y-%m")).alias("period_month"))
+
+    versions = F.array(version("v1", 0, features.rule_score(feat)),
+                       version("v0", 30, features.clipped("outstanding_ratio")))
+    both = feat.select("customer_id", "invoice_id",
+                       X.top_abs_names(features.TOP_FEATURE_CANDIDATES, 5).alias("top_features"),
+                       F.explode(versions).alias("_v")).select("customer_id", "invoice_id", "top_features", "_v.*")
+    both = both.select(
+        "customer_id", "invoice_id", F.lit("rule_blend").alias("model_name"), "model_version", "leakage_probability",
+        X.risk_severity(F.col("leakage_probability")).alias("risk_severity"), "top_features",
+        F.create_map(F.lit("prob"), F.col("leakage_probability")).alias("feature_snapshot"), "scored_at",
+        "period_month")
     return with_percentile(both) if percentile else both
 
 

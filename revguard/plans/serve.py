@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
 from revguard.operators import rank
+from revguard.session import cut_lineage
 from revguard.sources.billing import Billing
 
 HIGH = ["high", "critical"]
+ALERT_FIELDS = ["invoice_id", "rule_code", "severity", "description", "leakage_amount", "is_resolved"]
 
 
 def _live(df: DataFrame) -> DataFrame:
@@ -167,8 +169,13 @@ def invoice_detail(b: Billing, risk: DataFrame, anomaly: DataFrame, alerts: Data
 
 def invoice_alerts(alerts: DataFrame, invoice_ids: list[int]) -> DataFrame:
     """D7 (alerts part): the alert rows of the given invoices, flat."""
-    return alerts.filter(F.col("invoice_id").isin([int(i) for i in invoice_ids])) \
-        .select("invoice_id", "rule_code", "severity", "description", "leakage_amount")
+    return alert_rows(alerts).filter(F.col("invoice_id").isin([int(i) for i in invoice_ids])) \
+        .select(*ALERT_FIELDS)
+
+
+def alert_details(alerts: DataFrame) -> DataFrame:
+    """D7 (alerts part): the alert rows of every invoice, with their text and state, flat."""
+    return alert_rows(alerts).where("invoice_id is not null").select(*ALERT_FIELDS)
 
 
 # ----------------------------------------------------------------------------- D9, D10
@@ -302,27 +309,43 @@ def customer_rollup(b: Billing, risk: DataFrame) -> DataFrame:
                 "leakage_probability", "risk_severity")
 
 
-def invoices_view(b: Billing, risk: DataFrame) -> DataFrame:
-    """E2 rows: live invoices with customer name, latest risk and its explanation."""
-    lr = latest(risk.select("invoice_id", "leakage_probability", "top_features", "scored_at",
-                            "model_version"), "invoice_id")
-    top3 = F.slice("top_features", 1, 3)
-    expl = F.when(F.size(top3) > 0, F.concat(F.lit("Flagged due to: "), F.array_join(
-        F.transform(top3, lambda x: F.regexp_replace(x, "_", " ")), ", ")))
+def invoices_view(b: Billing) -> DataFrame:
+    """E2 rows: live invoices with customer name and segment."""
     return _live(b.invoices).join(b.customers.select("customer_id", F.col("name").alias("customer_name"),
                                                      F.col("segment").alias("customer_segment")),
                                   "customer_id", "inner") \
-        .join(lr, "invoice_id", "left") \
         .select("invoice_id", "invoice_number", "customer_id", "customer_name", "customer_segment",
-                "status", "issue_date", "due_date", "total_amount", "paid_amount",
-                "outstanding_amount", F.col("leakage_probability").alias("risk_probability"),
-                expl.alias("explanation"))
+                "status", "issue_date", "due_date", "total_amount", "paid_amount", "outstanding_amount")
+
+
+def with_latest_risk(page: DataFrame, risk: DataFrame, *, order: list[Column]) -> DataFrame:
+    """Latest risk and its explanation (F29) for the rows of one page.
+
+    The page is bounded by its size and kept; only its invoices are looked up.
+    Scores that carry an attribution sentence show it, others name their top features.
+    """
+    page = cut_lineage(page)
+    ids = page.select("invoice_id")
+    cols = ["invoice_id", "leakage_probability", "top_features", "scored_at", "model_version",
+            *(["explanation"] if "explanation" in risk.columns else [])]
+    lr = latest(risk.select(*cols).join(F.broadcast(ids), "invoice_id", "left_semi"), "invoice_id")
+    top3 = F.slice("top_features", 1, 3)
+    named = F.when(F.size(top3) > 0, F.concat(F.lit("Flagged due to: "), F.array_join(
+        F.transform(top3, lambda x: F.regexp_replace(x, "_", " ")), ", ")))
+    expl = F.coalesce("explanation", named) if "explanation" in risk.columns else named
+    return page.join(F.broadcast(lr), "invoice_id", "left") \
+        .select(*page.columns, F.col("leakage_probability").alias("risk_probability"), expl.alias("explanation")) \
+        .orderBy(*order)
+
+
+def alert_rows(alerts: DataFrame) -> DataFrame:
+    """E3 rows before the customer look-up."""
+    return alerts if "is_resolved" in alerts.columns else alerts.withColumn("is_resolved", F.lit(False))
 
 
 def alerts_view(b: Billing, alerts: DataFrame) -> DataFrame:
-    """E3 rows: alerts with customer name."""
-    a = alerts if "is_resolved" in alerts.columns else alerts.withColumn("is_resolved", F.lit(False))
-    return a.join(b.customers.select("customer_id", F.col("name").alias("customer_name")),
+    """E3 rows: alerts (a page of them, or all) with customer name."""
+    return alert_rows(alerts).join(b.customers.select("customer_id", F.col("name").alias("customer_name")),
                   "customer_id", "left")
 
 
