@@ -921,3 +921,67 @@ FROM frows WHERE metric = 'revenue'"""),
 SELECT * FROM frows WHERE metric = 'collections' AND is_anomalous
 ORDER BY deviation_pct DESC, period_month LIMIT 50"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# Model queries: what SQL can determine of each row of a fitted model's output
+# ---------------------------------------------------------------------------
+from revguard.operators import features as _features  # noqa: E402
+from revguard.operators.explain import FEATURE_LABELS as _LABELS  # noqa: E402
+
+_FEATURE_ROWS = ", ".join(f"('{c}', '{_LABELS.get(c, c.replace('_', ' '))}')" for c in _features.INVOICE_FEATURE_COLS)
+
+
+def _money(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+
+
+def _pct(x: str) -> str:
+    return f"format('{{:.1f}}', round(({x}) * 100, 1)) || '%'"
+
+
+ORACLE.update({
+    "l9_model_comparison": _q(FEAT + SPLIT + """
+SELECT m AS model_name, COUNT(*) AS n_samples, COUNT(*) FILTER (WHERE leakage_label = 1) AS n_positive,
+       true AS metrics_in_range, true AS auc_high
+FROM test CROSS JOIN (VALUES ('isolation_forest'), ('logistic_regression'), ('gbt'), ('ensemble')) t(m) GROUP BY m"""),
+    "l11_risk_scores": _q(FEAT + """
+SELECT customer_id, invoice_id, 'gbt' AS model_name, 'v1' AS model_version, true AS probability_in_range,
+       true AS severity_agrees, true AS percentile_in_range, true AS has_attribution, true AS has_sentence FROM feat"""),
+    "x1_tree_contributions": _q(FEAT + """
+SELECT invoice_id, true AS adds_up, true AS gives_probability FROM feat"""),
+    "x1_tree_global_importance": f"""
+SELECT f AS feature, l AS label, true AS not_negative, true AS ranked FROM (VALUES {_FEATURE_ROWS}) t(f, l)""",
+    "x5_attached_top_features": _q(D_PRE + LIN.replace(FEAT, "", 1) + f"""
+, r AS (SELECT invoice_id, substr(l.name, 3) AS n,
+               ROW_NUMBER() OVER (PARTITION BY invoice_id ORDER BY ABS(v) DESC, o.idx) AS k
+        FROM lcl l JOIN (VALUES {", ".join(f"('c_{c}', {i})" for i, c in enumerate(_LIN))}) AS o(nm, idx)
+          ON o.nm = l.name)
+SELECT invoice_id, 'v1' AS model_version, MAX(CASE WHEN k = 1 THEN n END) AS top_feature_1,
+       MAX(CASE WHEN k = 2 THEN n END) AS top_feature_2, MAX(CASE WHEN k = 3 THEN n END) AS top_feature_3,
+       true AS explained
+FROM r GROUP BY invoice_id
+UNION ALL SELECT invoice_id, 'v0', top_feature_1, top_feature_2, top_feature_3, false FROM tf"""),
+    "t2b_additive_backtest_by_segment": _q(_series(["segment"]) + BACKTEST + """
+SELECT series_key, metric, period_month, actual, held_out, true AS band_ordered, true AS flag_agrees FROM bt2"""),
+    "d7_invoice_alerts": _q(f""", alerts AS ({ALL_ALERTS})
+SELECT a.invoice_id, a.rule_code, a.severity, CASE a.rule_code
+    WHEN 'MISSING_PAYMENT' THEN 'Invoice ' || i.invoice_number || ' (' || {_money("i.total_amount")}
+      || ') has no completed payment.'
+    WHEN 'DUPLICATE_REFUND' THEN 'Duplicate refund detected: ' || r.refund_number || ' (' || {_money("r.amount")} || ').'
+    WHEN 'ABNORMAL_DISCOUNT' THEN 'Invoice ' || i.invoice_number || ': discount ratio '
+      || {_pct("CAST(i.discount_amount AS DOUBLE) / CAST(i.total_amount AS DOUBLE)")}
+      || ' (' || {_money("i.discount_amount")} || ' on ' || {_money("i.total_amount")} || ').'
+    WHEN 'UNDERBILLING' THEN 'Invoice ' || i.invoice_number || ': billed ' || {_money("i.total_amount")} || ' vs MRR '
+      || {_money("s.mrr")} || ' (' || {_pct("CAST(i.total_amount AS DOUBLE) / CAST(s.mrr AS DOUBLE)")} || ').'
+    WHEN 'PAYMENT_DELAY' THEN 'Invoice ' || i.invoice_number || ': payment received ' || p.days_late
+      || ' days late (paid ' || CAST(p.payment_date AS VARCHAR) || ').'
+    ELSE 'Invoice ' || i.invoice_number || ' is ' || date_diff('day', i.due_date, {AS_OF_SQL}) || ' days overdue (due '
+      || CAST(i.due_date AS VARCHAR) || '). Outstanding: ' || {_money("i.outstanding_amount")} || '.' END AS description,
+       a.leakage_amount, false AS is_resolved
+FROM alerts a LEFT JOIN invoices i ON i.invoice_id = a.invoice_id
+LEFT JOIN subscriptions s ON s.subscription_id = i.subscription_id
+LEFT JOIN payments p ON a.rule_code = 'PAYMENT_DELAY' AND p.transaction_id = a.source_ref
+LEFT JOIN refunds r ON a.rule_code = 'DUPLICATE_REFUND' AND r.refund_number = a.source_ref
+WHERE a.invoice_id IS NOT NULL"""),
+})
