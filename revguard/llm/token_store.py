@@ -8,11 +8,11 @@ holds two bits per rank that say how many bytes it has, four ranks to a byte.
 Decoding looks the four lengths of a control byte up in a table, adds them up to
 byte offsets and gathers the bytes, all with numpy.
 
-Job.  Encode the texts once, range-partition the ids by doc_id with a running
-count inside each partition, write that; count ids (one entry per vocabulary
-entry, the only thing collected); rank; write the blocks.  Documents of one
-doc_id are told apart by the checksum of their ids and a row number, so that a
-doc_id which a third of all rows share still spreads over partitions.
+Job.  Range-partition the texts by doc_id, encode them once with a running count
+inside each partition, write that; count ids (one entry per vocabulary entry,
+the only thing collected); rank; write the blocks.  Documents of one doc_id are
+told apart by a hash of their text and a row number, so that a doc_id which a
+third of all rows share still spreads over partitions.
 
 Defined cases: a null or empty text is a document of the end id alone; a null
 doc_id comes first and stays null; repeated rows are stored once each; an empty
@@ -21,7 +21,6 @@ table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revguard.llm.common import ensure_checkpoint_dir, pick, shuffle_width
+from revguard.llm.common import pick, shuffle_width
 from revguard.llm.tokens import END_ID, TextEncoder
 
 BLOCK_IDS = 1 << 16
@@ -59,28 +58,9 @@ def decode_ranks(controls: bytes, data: bytes, n: int) -> np.ndarray:
     return word & MASKS[size]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, crc, ids (little-endian unsigned 32-bit, end id included) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer_path)
-        for batch in batches:
-            ids, before = encoder.encode(batch.column(1))
-            blobs = [np.append(ids[a:b], END_ID).astype("<u4").tobytes()
-                     for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(b) // 4 for b in blobs], pa.int64()),
-                 pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
-                 pa.array([_narrow(b) for b in blobs], pa.binary())], names=["doc_id", "n_tokens", "crc", "ids"])
-
-    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return source.mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary")
-
-
-def _narrow(blob: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Two bytes an id where all fit (marked by a leading 2), else four (a leading 4)."""
-    ids = np.frombuffer(blob, "<u4")
-    return b"\2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\4" + blob
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def _wide(blob: bytes) -> np.ndarray:
@@ -91,20 +71,24 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str) -> None:
     """Encodes every document and writes the store to ``folder`` (a path all executors share)."""
     spark = docs.sparkSession
 
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, done = TextEncoder(tokenizer_path), 0
         for batch in batches:
-            n = batch.column(1).to_numpy(zero_copy_only=False)
+            ids, before = encoder.encode(batch.column(1))
+            n = np.diff(before) + 1
             ends = done + np.cumsum(n)
+            blobs = [_narrow(np.append(ids[a:b], END_ID)) for a, b in zip(before[:-1].tolist(), before[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(ends - n, pa.int64())],
-                names=["doc_id", "n_tokens", "ids", "local_start"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(blobs, pa.binary()),
+                 pa.array(ends - n, pa.int64())], names=["doc_id", "n_tokens", "ids", "local_start"])
             done = int(ends[-1]) if len(ends) else done
 
-    (encoded(docs, tokenizer_path).withColumn("row", F.monotonically_increasing_id())
-     .repartitionByRange(shuffle_width(spark), "doc_id", "crc", "row")
-     .sortWithinPartitions("doc_id", "crc", "row").select("doc_id", "n_tokens", "ids")
-     .mapInArrow(running, "doc_id long, n_tokens long, ids binary, local_start long")
+    # texts move before they are encoded: a range exchange runs what is below it twice, to sample and to deal out
+    (pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"),
+                                         F.monotonically_increasing_id().alias("row"))
+     .repartitionByRange(shuffle_width(spark), "doc_id", "digest", "row")
+     .sortWithinPartitions("doc_id", "digest", "row").select("doc_id", "text")
+     .mapInArrow(encode, "doc_id long, n_tokens long, ids binary, local_start long")
      .withColumn("shard", F.spark_partition_id())
      .write.option("compression", "zstd").parquet(f"{folder}/ordered"))
     ordered = spark.read.parquet(f"{folder}/ordered")
@@ -193,8 +177,3 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = True) -> DataF
     shards = spark.read.parquet(f"{folder}/shards")
     out = docs.join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("local_start"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder of ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
