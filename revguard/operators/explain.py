@@ -215,9 +215,10 @@ def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id
     explanations carry, or else the ones given, so that scores of other models
     keep what they have.
     """
+    carried = {c: src for c, src in (("top_features", "top_features"), ("attributions", "top_contributions"),
+                                     ("explanation", "explanation")) if src in explanations.columns}
     e = explanations.select(
-        F.col(key).alias("_key"), F.col("top_features").alias("_new_top_features"),
-        F.col("top_contributions").alias("_new_attributions"), F.col("explanation").alias("_new_explanation"),
+        F.col(key).alias("_key"), *[F.col(src).alias(f"_new_{c}") for c, src in carried.items()],
         *[(F.col(c) if c in explanations.columns else F.lit(v)).alias(f"_{c}")
           for c, v in (("model_name", model_name), ("model_version", model_version))])
     same = F.col(key) == F.col("_key")
@@ -225,8 +226,7 @@ def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id
         if c in explanations.columns or v is not None:
             same = same & (F.col(c) == F.col(f"_{c}"))
     out = scores.join(e, same, "left")
-    for c in ("top_features", "attributions", "explanation"):
+    for c in carried:
         new = F.col(f"_new_{c}")
         out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in scores.columns else new)
-    return out.drop("_key", "_model_name", "_model_version", "_new_top_features", "_new_attributions",
-                    "_new_explanation")
+    return out.drop("_key", "_model_name", "_model_version", *[f"_new_{c}" for c in carried])
