@@ -115,6 +115,11 @@ def cross_validate(series: DataFrame, *, initial: int = CV_INITIAL, period: int
         .join(fit, ["series_key", "cutoff"]) \
         .select("series_key", (F.col("t") - F.col("cutoff")).alias("h"), "y",
                 (F.col("intercept") + F.col("slope") * F.col("t")).alias("yhat"))
+    return _cv_errors(ev)
+
+
+def _cv_errors(ev: DataFrame) -> DataFrame:
+    """RMSE / MAE / MAPE per series of (series_key, h, y, yhat), averaged over horizon steps."""
     e = F.col("y") - F.col("yhat")
     per_h = ev.groupBy("series_key", "h").agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
@@ -219,3 +224,16 @@ def additive_backtest(series: DataFrame, **kw) -> DataFrame:
     dev = X.deviation_pct("actual", "yhat")
     return out.select("*", X.month_key("ds").alias("period_month"), dev.alias("deviation_pct"),
                       X.is_anomalous(dev, thr).alias("is_anomalous"))
+
+
+def cross_validate_additive(series: DataFrame, *, initial: int = CV_INITIAL, period: int = CV_PERIOD,
+                            horizon: int = CV_HORIZON, **kw) -> DataFrame:
+    """T5 with T2b: one additive fit per series and cutoff (each group is calendar-bounded)."""
+    cuts = cv_cutoffs(series, initial=initial, period=period, horizon=horizon)
+    pts = series.join(cuts, "series_key")
+    group = F.concat_ws("@", "series_key", F.col("cutoff").cast("string"))
+    past = pts.filter(F.col("t") <= F.col("cutoff")).select(group.alias("series_key"), "metric", "t", "y")
+    pred = fit_additive(past, horizon=horizon, backtest=0, **kw).select(F.col("series_key").alias("_g"), "ds", "yhat")
+    ahead = pts.filter((F.col("t") > F.col("cutoff")) & (F.col("t") <= F.col("cutoff") + horizon)) \
+        .select(group.alias("_g"), "series_key", "ds", (F.col("t") - F.col("cutoff")).alias("h"), "y")
+    return _cv_errors(ahead.join(pred, ["_g", "ds"]))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from revguard.operators import features, forecast, marts, models, rules
 from revguard.plans import pipeline
+from revguard.session import cut_lineage
 from revguard.sources import sinks
 from revguard.sources.billing import AS_OF, billing_views
 
@@ -50,9 +51,10 @@ def run_rule_engine(spark: SparkSession, sf_dir: str, out: str, *, clear: bool =
 
 
 def run_scoring(spark: SparkSession, sf_dir: str, out: str, *, train: bool = True, sink: bool = True,
-                model_version: str = "v1", n_trees: int = 200, gbt_iters: int = 600,
+                model_version: str = "v1", n_trees: int = 200, gbt_iters: int = 600, cv_folds: int = 5,
                 as_of: _dt.date = AS_OF) -> dict:
-    """Train or load, score, append new scores, write reports."""
+    """Train (with a stratified cross-validation of the logistic model) or load, score,
+    append new scores, write reports."""
     b = billing_views(spark, sf_dir, as_of)
     model_dir = _p(out, f"models/{model_version}")
     if train:
@@ -63,6 +65,9 @@ def run_scoring(spark: SparkSession, sf_dir: str, out: str, *, train: bool = Tru
         risk, anomaly = run.risk_scores, run.anomaly_scores
         reports = {"evaluation": run.evaluation, "global_importance": run.global_importance,
                    "feature_importance": run.importance}
+        if cv_folds:
+            reports["logistic_cv"] = models.cross_validate_logistic(
+                run.features.filter(F.col("split") == "train"), features.INVOICE_FEATURE_COLS, folds=cv_folds)
     else:
         from revguard.operators import forest
         iso = forest.IsolationForestModel.load(spark, _p(model_dir, "isolation_forest"))
@@ -89,17 +94,26 @@ def run_scoring(spark: SparkSession, sf_dir: str, out: str, *, train: bool = Tru
 
 def run_forecasting(spark: SparkSession, sf_dir: str, out: str, *, by: list[str] | None = None,
                     model_version: str = "v1", as_of: _dt.date = AS_OF) -> int:
-    """T1-T8 + S6/S7: back-test and forecast every series, insert new rows, write the summary."""
+    """T1-T8 + S6/S7: back-test, cross-validate and forecast every series with the trend fit and the additive
+    (trend x yearly season) fit, insert new rows, write a summary row per series and model."""
     b = billing_views(spark, sf_dir, as_of)
-    series = forecast.series_frame(marts.monthly_revenue(b, by=by), keys=by)
-    bt = forecast.forecast_backtest(series)
-    rows = forecast.forecast_rows(bt, model_version=model_version)
+    series = cut_lineage(forecast.series_frame(marts.monthly_revenue(b, by=by), keys=by))  # read by every fit
+    fits = {"trend": (forecast.forecast_backtest(series), forecast.cross_validate(series)),
+            "additive": (forecast.additive_backtest(series), forecast.cross_validate_additive(series))}
+    rows = summaries = anomalies = None
+    for name, (bt, cv) in fits.items():
+        bt = cut_lineage(bt)
+        own = (forecast.forecast_rows(bt, model_name=name, model_version=model_version),
+               forecast.summary(bt, cv).withColumn("model_name", F.lit(name)),
+               bt.filter(F.col("is_anomalous")).select(F.lit(name).alias("model_name"), "series_key", "metric",
+                                                       "period_month", "actual", "yhat", "deviation_pct"))
+        rows, summaries, anomalies = own if rows is None else (
+            x.unionByName(y) for x, y in zip((rows, summaries, anomalies), own))
     n = sinks.append_new(rows, _p(out, "forecast_results"),
                          ["model_name", "series_key", "metric", "period_month", "model_version"],
                          partition_by=["metric"])
-    summ = forecast.summary(bt, forecast.cross_validate(series))
-    sinks.write_csv(summ, _p(out, "forecast_summary"))
-    sinks.write_csv(bt.filter(F.col("is_anomalous")), _p(out, "forecast_anomalies"))
+    sinks.write_csv(summaries, _p(out, "forecast_summary"))
+    sinks.write_csv(anomalies, _p(out, "forecast_anomalies"))
     return n
 
 
