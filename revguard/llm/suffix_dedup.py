@@ -12,18 +12,19 @@ suffixes that still tie go on, as in multikey quicksort:
    leftmost of its ``anchor``-byte strings with the least hash.  Equal windows
    have equal tokens at equal places.  Windows that follow each other and share
    the token's occurrence make one run, the unit of the first level.
-2. Runs of one token that differ are cut into blocks of ``block`` windows,
+2. Runs of one token that differ are cut into blocks of ``BLOCKS[0]`` windows,
    aligned at the token; a block's token is the core all its windows contain.
-3. Blocks of one core that differ are cut into their single windows.
+3. Blocks of one core that differ are cut into smaller ones, down to windows.
 
 Each level is one suffix sort (``tied``): rows (token, content) are
-range-partitioned at sampled splitters, with the place as the last key so that
-no token, however frequent, fills a bucket; each bucket sorts locally, key by
-key within ties, and compares neighbours; groups that reach across bucket
-boundaries are settled from two rows per bucket.  Rows whose content another row
-has are repeated; rows whose token nobody shares are not; rows that share the
-token but not the content, and one row of each content beside them, go on.
-Tokens and contents are 64-bit fingerprints each, compared together.
+range-partitioned at splitters from a sample of documents, with the place as the
+last key so that no token, however frequent, fills a bucket; each bucket sorts
+locally, key by key within ties, and compares neighbours; groups that reach
+across bucket boundaries are settled from two rows per bucket.  Rows whose
+content another row has are repeated; rows whose token nobody shares are not;
+rows that share the token but not the content, and one row of each content
+beside them, go on.  Tokens and contents are 64-bit fingerprints each, compared
+together.  The sample only balances buckets; every suffix is sorted.
 
 Defined cases: a null text is empty; texts under ``width`` bytes keep all; a row
 without doc_id takes part like any other; repeated rows repeat each other in
@@ -32,6 +33,7 @@ full; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,12 +43,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revguard.llm.common import cut_lineage, pick, shuffle_width
+from revguard.llm.common import pick, shuffle_width, written
 
 WIDTH = 200
 ANCHOR = 32
-BLOCK = 32
-CHUNK = 1 << 20  # window starts that are hashed at once
+BLOCKS = (32, 8, 1)
+CHUNK = 1 << 18  # window starts that are hashed at once
+SAMPLE_DOCS = 2000
+SAMPLE_ROWS = 500_000
 ROW = "t long, c long, did long, th int, lo int, n int, home int"
 POSITION_BITS = 24
 MASK64 = (1 << 64) - 1
@@ -153,7 +157,7 @@ def _content(hashes: Hashes, first: np.ndarray, n: np.ndarray, ahead: np.ndarray
                 ^ (n.astype(np.uint64) << np.uint64(32)) ^ ahead.astype(np.uint64))
 
 
-def _batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
+def row_batch(cols: list[list[np.ndarray]]) -> pa.RecordBatch:
     types = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
     arrays = []
     for col, kind in zip(cols, types):
@@ -168,54 +172,51 @@ def _run_rows(width: int, anchor: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             for hashes, owner, lo, first, n, ahead, token in runs(texts, width, anchor):
-                yield _batch([[token], [_content(hashes, first, n, ahead, width)], [did[owner]], [th[owner]], [lo],
+                yield row_batch([[token], [_content(hashes, first, n, ahead, width)], [did[owner]], [th[owner]], [lo],
                               [n], [lo]])
     return rows
 
 
 def _block_rows(width: int, anchor: int, block: int):
-    """Fragments (one run each) -> their blocks, aligned at the token."""
+    """Fragments (one run each) and the places to look at -> their blocks, aligned at the token."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             did, th, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            wanted = batch.column(4).to_pylist()
             for hashes, owner, lo, first, n, ahead, token in runs(batch.column(3).to_pylist(), width, anchor):
+                # the wanted part of each run (a fragment holds one run, or more where its text was cut)
+                at, size, src = [], [], []
+                for k, (o, a, m) in enumerate(zip(owner.tolist(), lo.tolist(), n.tolist())):
+                    for w in wanted[o]:
+                        begin = max(w["lo"] - int(home[o]), a)
+                        end = min(w["lo"] - int(home[o]) + w["n"], a + m)
+                        if begin < end:
+                            at.append(begin - a)
+                            size.append(end - begin)
+                            src.append(k)
+                if not at:
+                    continue
+                at, size, src = (np.array(x) for x in (at, size, src))
+                start, token_at = first[src] + at, (first + ahead)[src]
                 # a window's distance to the token falls by one from window to window
-                top, low = ahead // block, (ahead - n + 1) // block
+                far_end, near_end = token_at - start, token_at - start - size + 1
+                top, low = far_end // block, near_end // block
                 pieces = top - low + 1
-                of = np.repeat(np.arange(len(n)), pieces)
+                of = np.repeat(np.arange(len(at)), pieces)
                 number = top[of] - (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-                far = np.minimum(ahead[of], number * block + block - 1)
-                near = np.maximum((ahead - n + 1)[of], number * block)
-                anchor_at = (first + ahead)[of]
+                far = np.minimum(far_end[of], number * block + block - 1)
+                near = np.maximum(near_end[of], number * block)
                 # the core: from the block's last window start to its first window's end
-                core = hashes.at(anchor_at - number * block, width - block + 1)
-                t = _mix(_mix(core) ^ _mix(token[of] ^ number.astype(np.uint64)) * np.uint64(3))
-                begin, size = anchor_at - far, far - near + 1
-                place = lo[of] + begin - first[of]
-                yield _batch([[t], [_content(hashes, begin, size, far, width)], [did[owner[of]]], [th[owner[of]]],
-                              [home[owner[of]] + place], [size], [home[owner[of]]]])
-    return rows
-
-
-def _window_rows(width: int):
-    """Fragments with the blocks to look at -> one row for each window of these."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            did, th, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            texts, wanted = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            size = np.array([len(x) for x in texts])
-            before = np.cumsum(size) - size
-            hashes = Hashes(np.frombuffer(b"".join(texts), np.uint8), width)
-            for k, blocks in enumerate(wanted):
-                at = np.concatenate([np.arange(b["lo"], b["lo"] + b["n"]) for b in blocks])
-                h = hashes.at(before[k] + at - home[k], width)
-                for col, x in zip(cols, (_mix(h), _mix(h, 0x2545F4914F6CDD1D) ^ h, np.full(len(at), did[k]),
-                                         np.full(len(at), th[k]), at, np.ones(len(at)), np.full(len(at), home[k]))):
-                    col.append(x)
-            yield _batch(cols)
+                core = hashes.at(token_at[of] - number * block, width - block + 1)
+                run = src[of]
+                t = _mix(_mix(core) ^ _mix(token[run] ^ number.astype(np.uint64)) * np.uint64(3))
+                begin, count = token_at[of] - far, far - near + 1
+                doc = owner[run]
+                place = home[doc] + lo[run] + begin - first[run]
+                yield row_batch([[t], [_content(hashes, begin, count, far, width)], [did[doc]], [th[doc]], [place],
+                              [count], [home[doc]]])
     return rows
 
 
@@ -235,34 +236,80 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts one bucket and keeps its rows that share their token, and those of its first and last token."""
+def _bucket(batches: Iterator[pa.RecordBatch], once_a_row: bool) -> Iterator[pa.RecordBatch]:
+    """Sorts one bucket and keeps its rows that share their token, and those of its first and last token.
+
+    ``once_a_row``: a content that only one row of the input has, however often, is not repeated.
+    """
     own = [b for b in batches if b.num_rows]
     if not own:
         return
     table = pa.Table.from_batches(own)
     col = {name: table.column(name).to_numpy() for name in table.column_names}
-    order = multikey_order([col["t"], col["c"], col["did"], col["lo"]])
+    order = multikey_order([col["t"], col["c"], col["did"], col["th"] if once_a_row else col["lo"]])
     t, c = col["t"][order], col["c"][order]
     new_t = np.concatenate([[True], t[1:] != t[:-1]])
     new_c = new_t | np.concatenate([[True], c[1:] != c[:-1]])
     token, content = np.cumsum(new_t) - 1, np.cumsum(new_c) - 1
-    repeated = np.bincount(content)[content] > 1
+    if once_a_row:
+        did, th = col["did"][order], col["th"][order]
+        other = new_c | np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1])])
+        repeated = np.bincount(content[other])[content] > 1
+    else:
+        repeated = np.bincount(content)[content] > 1
     shared = np.bincount(token[new_c])[token] > 1
     edge = (token == 0) | (token == token[-1])
     keep = np.flatnonzero(repeated | shared | edge)
+    # only a group that may reach over a boundary needs its token and content again
+    for name in ("t", "c"):
+        at = table.column_names.index(name)
+        table = table.set_column(at, name, pa.array(np.where(edge, col[name][order], 0)[np.argsort(order)]))
     rows = table.take(pa.array(order[keep]))
     for name, x in (("repeated", repeated), ("shared", shared), ("first", new_c), ("edge", edge)):
         rows = rows.append_column(name, pa.array(x[keep]))
     yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
 
 
-def tied(rows: DataFrame) -> DataFrame:
-    """One level: ``rows`` with ``repeated`` (another row has token and content) and ``further`` (to be refined)."""
-    sorted_rows = (rows.repartitionByRange(shuffle_width(rows.sparkSession), "t", "c", "did", "lo")
-                   .mapInArrow(_bucket, ROW + ", repeated boolean, shared boolean, first boolean, edge boolean")
+def _splitters(source: DataFrame, make_rows, buckets: int) -> list[tuple[int, int, int, int]]:
+    """Keys that cut the rows of a sample of ``source`` into equal parts; at most SAMPLE_ROWS keys are looked at."""
+    every = max(1, source.count() // SAMPLE_DOCS)
+    some = source.where(F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0)
+    keys = sorted(tuple(r) for r in some.mapInArrow(make_rows, ROW).select("t", "c", "did", "lo")
+                  .limit(SAMPLE_ROWS).collect())
+    return [keys[len(keys) * k // buckets] for k in range(1, buckets)] if keys else []
+
+
+def _bucket_of(batch: pa.RecordBatch, splitters: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """How many splitters are at or below each row's key."""
+    t = batch.column(0).to_numpy()
+    tokens = np.array([s[0] for s in splitters], np.int64)
+    out = np.searchsorted(tokens, t, side="left")
+    ties = np.flatnonzero(np.searchsorted(tokens, t, side="right") > out)
+    if len(ties):
+        keys = zip(*(batch.column(i).take(pa.array(ties)).to_pylist() for i in (0, 1, 2, 4)))
+        out[ties] = [bisect.bisect_right(splitters, k) for k in keys]
+    return out.astype(np.int32)
+
+
+def tied(source: DataFrame, make_rows, once_a_row: bool = False) -> DataFrame:
+    """One level: the rows that ``make_rows`` makes of batches of ``source`` (did, th ...), those of them that are
+    ``repeated`` (another row has token and content) or go ``further`` (to be refined).
+
+    With ``once_a_row`` the other row must come from another input row; ``lo`` must then be the same wherever an input
+    row is repeated, so that equal keys meet in one bucket.
+    """
+    buckets = shuffle_width(source.sparkSession)
+    splitters = _splitters(source, make_rows, buckets)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in make_rows(batches):
+            yield batch.append_column("bucket", pa.array(_bucket_of(batch, splitters)))
+
+    sorted_rows = (source.mapInArrow(dealt, ROW + ", bucket int").repartitionById(buckets, F.col("bucket"))
+                   .drop("bucket")
+                   .mapInArrow(lambda batches: _bucket(batches, once_a_row), ROW + ", repeated boolean, shared boolean, first boolean, edge boolean")
                    .withColumn("bucket", F.spark_partition_id()))
-    kept = cut_lineage(sorted_rows)
+    kept = written(sorted_rows, "suffixes")
     # two tokens a bucket: what a group that reaches over a boundary has on each side
     edges = (kept.where("edge").groupBy("t", "bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
              .orderBy("t", "bucket").collect())
@@ -345,28 +392,31 @@ def _fragments(keyed: DataFrame, places: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(cut, "did long, th int, home int, bytes binary")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
+                   blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """did, th, lo, hi: bytes lo .. hi of the row with that key that repeated strings cover (they may overlap)."""
     keyed = _keyed(docs)
-    by_run = tied(keyed.select("did", "th", "text").mapInArrow(_run_rows(width, anchor), ROW))
-    by_run = cut_lineage(by_run)
-    fragments = cut_lineage(_fragments(keyed, by_run.where("further"), width))
-    by_block = cut_lineage(tied(fragments.mapInArrow(_block_rows(width, anchor, block), ROW)))
-    wanted = (by_block.where("further").groupBy("did", "th", "home")
-              .agg(F.collect_set(F.struct("lo", "n")).alias("blocks")))
-    windows = (fragments.join(wanted, ["did", "th", "home"]).select("did", "th", "home", "bytes", "blocks")
-               .mapInArrow(_window_rows(width), ROW))
-    by_window = tied(windows)
-    found = None
-    for level in (by_run, by_block, by_window):
-        own = level.where("repeated").select("did", "th", "lo", (F.col("lo") + F.col("n") + width - 1).alias("hi"))
-        found = own if found is None else found.unionByName(own)
+    level = tied(keyed.select("did", "th", "text"), _run_rows(width, anchor))
+    fragments = written(_fragments(keyed, level.where("further"), width), "fragments")
+
+    def covered(rows: DataFrame) -> DataFrame:
+        return rows.where("repeated").select("did", "th", "lo", (F.col("lo") + F.col("n") + (width - 1)).alias("hi"))
+
+    found = covered(level)
+    for block in blocks:
+        wanted = (level.where("further").groupBy("did", "th", "home")
+                  .agg(F.collect_set(F.struct("lo", "n")).alias("wanted")))
+        source = written(fragments.join(wanted, ["did", "th", "home"]).select("did", "th", "home", "bytes", "wanted"),
+                         "fragments")
+        level = tied(source, _block_rows(width, anchor, block))
+        found = found.unionByName(covered(level))
     return found.groupBy("did", "th", "lo").agg(F.max("hi").alias("hi"))
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
+                    blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs as start, end) and kept (the bytes left) of every row."""
-    spans = cut_lineage(repeated_spans(docs, width, anchor, block))
+    spans = written(repeated_spans(docs, width, anchor, blocks), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
