@@ -15,7 +15,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\f\r"
 
 __all__ = ["SPACES", "SPACE_CLASS", "bounded_broadcast", "cut_lineage", "ensure_checkpoint_dir", "let",
-           "new_folder", "pick", "read_table", "shuffle_width", "words_of", "written"]
+           "new_folder", "pick", "read_table", "shuffle_width", "spread_join", "words_of", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -55,6 +55,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``table`` (materialised, each key once, ``n`` rows of it in ``rows``) on ``key``.
+
+    Keys with more rows than a partition's share, of which there are at most as many as partitions, are salted: their
+    rows go to all partitions and their entry is repeated for each salt.
+    """
+    parts = shuffle_width(rows.sparkSession)
+    share = (table.agg(F.sum(n)).first()[0] or 0) / parts
+    is_hot = F.col(n) > max(share, 1)
+    hot = table.where(is_hot).select(F.col(key).alias("__hot"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left").withColumn("__salt", F.when(
+        F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
+    return salted.join(table.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__hot", "__salt")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder of ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

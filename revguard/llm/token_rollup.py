@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm.common import cut_lineage, pick, words_of
+from revguard.llm.common import cut_lineage, pick, spread_join, words_of
 
 GROUP = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -98,8 +98,8 @@ def corpus_changes(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     rows = cut_lineage(own.select(
         "doc_id", "source", "lang", F.sha2(text, 256).alias("digest"), word_count(F.col("text")).alias("words"),
         word_count(once).alias("once"), piece_count(once).alias("pieces")))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = cut_lineage(rows.join(first, "digest").select(
+    first = cut_lineage(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    marked = cut_lineage(spread_join(rows, first, "digest", "n").select(
         "source", "lang", "words", "once", "pieces", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
     none = F.lit(None).cast("long")
 
