@@ -4,16 +4,12 @@ import shutil
 import subprocess
 import sys
 
-
-
-
-
 import corpus_pipeline as p
-from revguard.llm import decontam_tiling, quality_mcd, secret_scan, simhash
+from revguard.llm import decontam_tiling, secret_scan
 from revguard.llm import token_rollup as r
 from revguard.llm.common import new_folder
 from revguard.llm.queries import ORACLE, QUERIES
-from revguard.llm.tokens import END_ID, TextEncoder, word_tokenizer_path
+from revguard.llm.tokens import TextEncoder, word_tokenizer_path
 from tests.conftest import SF0001
 from tests.llm.helpers import no_docs, odd_docs, odd_rows, words
 from tests.llm.test_duplicates import expected_components
