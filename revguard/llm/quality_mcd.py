@@ -4,10 +4,12 @@ Each document gets a vector of transformed statistics: log mean word length, log
 symbols per word, share of lines that are copies of an earlier line and share of
 words in repeated five-word windows.  Per language and source a deterministic
 minimum-covariance-determinant estimate says where its bulk lies: start from
-coordinate-wise medians and median deviations, then repeat concentration steps
+coordinate-wise medians and quartile ranges, then repeat concentration steps
 (keep the ``KEEP`` share of documents nearest by Mahalanobis distance, take
-their mean and covariance), correct for consistency and reweight once.  A
-document goes if its squared Mahalanobis distance is over the ``TAIL`` quantile
+their mean and covariance) until a group's chosen documents stay the same, at
+most ``STEPS`` times, correct for consistency and reweight once.  ``KEEP`` is one
+half, so outliers may be nearly half of a group before they enter its estimate.
+A document goes if its squared Mahalanobis distance is over the ``TAIL`` quantile
 of chi-square with as many degrees as statistics.
 
 Every step is one aggregate per group of the vectors alone: counts, sums and
@@ -27,6 +29,7 @@ columns are ignored (``kept_rows`` returns them as they are).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from revguard.llm.common import bounded_broadcast, cut_lineage, let, pick, words_of
 
 WINDOW_WORDS = 5
-KEEP = 0.75
-STEPS = 4
+KEEP = 0.5
+STEPS = 12
 MIN_GROUP = 40
 TAIL = 1e-6
 # Least standard deviation of each statistic.
@@ -43,6 +46,8 @@ FLOORS = {"x_length": 0.15, "x_symbols": 0.05, "x_lines": 0.10, "x_repeats": 0.0
 BINS_PER_DOUBLING = 16
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MAX_BROADCAST_GROUPS = 100_000
+# Means of one and the same set of documents differ by rounding only (in floors).
+SAME = 1e-9
 XS = list(FLOORS)
 
 
@@ -153,7 +158,7 @@ def _start(vectors: DataFrame) -> DataFrame:
 
     per_x = below.groupBy("g", "x").agg(F.max("all").alias("n"), quantile(0.5).alias("mid"),
                                         (quantile(0.75) - quantile(0.25)).alias("range"))
-    columns = [F.max("n").alias("n")]
+    columns = [F.max("n").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(True).alias("moved")]
     for i, x in enumerate(XS):
         unit = FLOORS[x] / 4
         columns += [F.max(F.when(F.col("x") == x, (F.col("mid") + 0.5) * unit)).alias(f"m{i}"),
@@ -175,7 +180,7 @@ def _factored(est: DataFrame, factor: float) -> DataFrame:
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             est = est.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
     p = range(len(XS))
-    return cut_lineage(est.select("g", "n", *[f"o{i}" for i in p], *[f"m{i}" for i in p],
+    return cut_lineage(est.select("g", "n", "k", "moved", *[f"o{i}" for i in p], *[f"m{i}" for i in p],
                                   *[f"l{i}{j}" for i in p for j in range(i + 1)]))
 
 
@@ -194,7 +199,10 @@ def distance2(xs: list[Column], est) -> Column:
 
 
 def _moments(vectors: DataFrame, est: DataFrame, cut: float | None) -> DataFrame:
-    """Mean and covariance of the documents nearest to ``est``: the KEEP share in whole bins, or all within ``cut``."""
+    """Mean and covariance of the documents nearest to ``est``: the KEEP share in whole bins, or all within ``cut``.
+
+    ``moved`` says whether they are other documents than those ``est`` was taken from.
+    """
     p = range(len(XS))
     near = vectors.join(bounded_broadcast(est, MAX_BROADCAST_GROUPS), "g")
     d2 = distance2([F.col(x) for x in XS], F.col)
@@ -211,10 +219,14 @@ def _moments(vectors: DataFrame, est: DataFrame, cut: float | None) -> DataFrame
     else:
         chosen = near.where(d2 <= cut).groupBy("g").agg(*sums)
     total = chosen.groupBy("g").agg(*[F.sum(x).alias(x) for x in names])
-    out = est.select("g", "n", *[f"o{i}" for i in p]).join(total, "g")
+    out = (est.select("g", "n", F.col("k").alias("k_before"), *[f"o{i}" for i in p], *[f"m{i}" for i in p])
+           .join(total, "g"))
     mean = [F.col(f"a{i}") / F.col("k") for i in p]
+    moved = F.col("k") != F.col("k_before")
+    for i, x in enumerate(XS):
+        moved = moved | (F.abs(F.col(f"o{i}") + mean[i] - F.col(f"m{i}")) > SAME * FLOORS[x])
     return out.select(
-        "g", "n", *[f"o{i}" for i in p], *[(F.col(f"o{i}") + mean[i]).alias(f"m{i}") for i in p],
+        "g", "n", "k", moved.alias("moved"), *[f"o{i}" for i in p], *[(F.col(f"o{i}") + mean[i]).alias(f"m{i}") for i in p],
         *[(F.col(f"b{i}{j}") / F.col("k") - mean[i] * mean[j]).alias(f"s{i}{j}") for i in p for j in range(i + 1)])
 
 
@@ -225,8 +237,14 @@ def estimates(rows: DataFrame) -> DataFrame:
     """
     vectors = _vectors(rows)
     est = _factored(_start(vectors), 1.0)
+    settled = []
     for _ in range(STEPS):
         est = _factored(_moments(vectors, est, None), consistency(KEEP, len(XS)))
+        settled.append(est.where(~F.col("moved")))
+        est = est.where("moved")
+        if est.isEmpty():
+            break
+    est = cut_lineage(reduce(DataFrame.unionByName, settled, est))
     inner = 0.975
     return _factored(_moments(vectors, est, chi2_quantile(inner, len(XS))), consistency(inner, len(XS)))
 

@@ -109,6 +109,24 @@ def test_quality_odd_and_empty(spark):
     assert q.judged(no_docs(spark)).collect() == [] and q.kept_rows(no_docs(spark)).collect() == []
 
 
+@pytest.mark.parametrize("share", [.3, .4, .45])
+def test_a_source_full_of_outliers(spark, share):
+    """Symbol-stuffed texts and piped word lists are rejected in a source where they are 30 to 45 % of all."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 200
+    for source, stuffed in (("symbols", lambda w: "".join(w[:2]) + "#*$"), ("pipes", lambda w: " ".join(w) + " |")):
+        for i in range(n):
+            w = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(80)]
+            text = " ".join(stuffed(w[j: j + 2]) for j in range(0, 80, 2)) if i < share * n else " ".join(w)
+            rows.append((len(rows), text, "en", source))
+    got = {r.doc_id: r.kept for r in q.judged(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string")).collect()}
+    for at in (0, n):
+        bad = round(share * n)
+        assert not any(got[at + i] for i in range(bad))
+        assert all(got[at + i] for i in range(bad, n))
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
