@@ -151,6 +151,17 @@ def test_repeats_of_a_host_without_articles(spark):
     assert h.extracted(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("open_, close", [("<main>", "</main>"), ('<div role="main">', "</div>"), ("<div role=main>", "</div>")])
+def test_main_only_narrows(spark, open_, close):
+    notice, letter = "Alpha beta gamma delta epsilon zeta eta", "Write us your mail address for news today"
+    page = (f"<body><p>outside %s alone</p>{open_}<div>{notice}</div><p>Body %s has words that only it has</p>"
+            f"<div>{letter}</div>{close}</body>")
+    rows = [(i, f"http://h.com/{i}", page % (w, w)) for i, w in enumerate("abc")]
+    rows.append((9, "http://h.com/9", f"<main><p>{notice}</p><article><p>Own</p></article></main><article>no</article>"))
+    got = {r.page_id: r.text for r in h.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Body {w} has words that only it has" for i, w in enumerate("abc")}, 9: "Own"}
+
+
 # --- URLs ----------------------------------------------------------------------------------------
 
 def slow_parts(url):
