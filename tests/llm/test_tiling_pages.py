@@ -162,6 +162,28 @@ def test_main_only_narrows(spark, open_, close):
     assert got == {**{i: f"Body {w} has words that only it has" for i, w in enumerate("abc")}, 9: "Own"}
 
 
+BODY = "<p>The body has <b>ma</b>ny words of its own</p>"
+ASIDE = '<div class="sidebar">Side words</div><div class="ad">Buy</div><nav>Home</nav>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<form id="aspnetForm">{ASIDE}<div>{BODY}</div></form>', f'<form id="aspnetForm"><article>{BODY}</article>{ASIDE}</form>',
+    f'<div class="content-sidebar-wrap"><main><article>{BODY}</article></main>{ASIDE}</div>',
+    f'<div class="layout has-sidebar"><article>{BODY}</article>{ASIDE}</div><footer>end</footer>',
+    f'<div class="no-sidebar"><div class="sidebar">Side</div><main>{BODY}</main></div>',
+    f'<div id="page-header-fixed"><div>{BODY}</div></div>{ASIDE}',
+    f'<article class="has-sidebar">{BODY}</article>{ASIDE}',
+    f'<article>{BODY}</article><div class="related"><article class="card">More</article></div>',
+    f'<article>{BODY}</article><section id="comments"><p>{"Readers write more than the author. " * 9}</p></section>'])
+def test_wrappers_are_no_chrome(page):
+    assert h.main_text(f"<html><body>{page}</body></html>", "h", [])[0] == "The body has many words of its own"
+
+
+def test_a_teaser_article_does_not_decide():
+    page = f'<div>{BODY}{BODY}</div><article class="card"><p>Read on</p></article>'
+    assert h.main_text(page, "h", [])[0] == "The body has many words of its own " * 2 + "Read on"
+
+
 # --- URLs ----------------------------------------------------------------------------------------
 
 def slow_parts(url):
