@@ -17,7 +17,7 @@ suffixes that still tie go on, as in multikey quicksort:
 3. Blocks of one core that differ are cut into smaller ones, down to windows.
 
 Each level is one suffix sort (``tied``): rows (token, content) are
-range-partitioned at splitters from a sample of documents, with the place as the
+range-partitioned at splitters from a sample of the rows, with the place as the
 last key so that no token, however frequent, fills a bucket; each bucket sorts
 locally, key by key within ties, and compares neighbours; groups that reach
 across bucket boundaries are settled from two rows per bucket.  Rows whose
@@ -49,7 +49,7 @@ WIDTH = 200
 ANCHOR = 32
 BLOCKS = (32, 8, 1)
 CHUNK = 1 << 18  # window starts that are hashed at once
-SAMPLE_DOCS = 2000
+TASK_ROWS = 4000  # of a task in the sample
 SAMPLE_ROWS = 500_000
 ROW = "t long, c long, did long, th int, lo int, n int, home int"
 POSITION_BITS = 24
@@ -270,12 +270,43 @@ def _bucket(batches: Iterator[pa.RecordBatch], once_a_row: bool) -> Iterator[pa.
     yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
 
 
+def _sampled(make_rows):
+    """The keys of a task's rows whose hash has at least ``rate`` leading zeros (``zeros``), TASK_ROWS at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rate, seen = None, 0, 0
+        for batch in make_rows(batches):
+            did, th, lo = (batch.column(i).to_numpy().astype(np.int64).view(np.uint64) for i in (2, 3, 4))
+            # the number in the task tells repeated rows apart
+            number = np.arange(seen, seen + len(did), dtype=np.uint64)
+            seen += len(did)
+            h = _mix(_mix(_mix(_mix(did) ^ th) ^ lo) ^ number)
+            zeros = np.clip(np.floor(64 - np.log2(h.astype(np.float64) + 1)), 0, 63).astype(np.int32)
+            new = pa.table({"t": batch.column(0), "c": batch.column(1), "did": batch.column(2), "lo": batch.column(4),
+                            "zeros": pa.array(zeros)}).filter(pa.array(zeros >= rate))
+            kept = new if kept is None else pa.concat_tables([kept, new])
+            while kept.num_rows > TASK_ROWS:
+                rate += 1
+                kept = kept.filter(pa.array(kept.column("zeros").to_numpy() >= rate))
+            kept = kept.combine_chunks()
+        if kept is not None and kept.num_rows:
+            yield from kept.append_column("rate", pa.array(np.full(kept.num_rows, rate, np.int32))).to_batches()
+    return run
+
+
 def _splitters(source: DataFrame, make_rows, buckets: int) -> list[tuple[int, int, int, int]]:
-    """Keys that cut the rows of a sample of ``source`` into equal parts; at most SAMPLE_ROWS keys are looked at."""
-    every = max(1, source.count() // SAMPLE_DOCS)
-    some = source.where(F.pmod(F.xxhash64("did", "th"), F.lit(every)) == 0)
-    keys = sorted(tuple(r) for r in some.mapInArrow(make_rows, ROW).select("t", "c", "did", "lo")
-                  .limit(SAMPLE_ROWS).collect())
+    """Keys that cut a sample of the rows of ``source`` into equal parts.
+
+    Each row is in it with the same chance, so that a long text has its share.  The chance is a power of two that suits
+    the task with most rows and leaves about SAMPLE_ROWS keys at most for the driver.
+    """
+    some = written(source.mapInArrow(_sampled(make_rows), "t long, c long, did long, lo int, zeros int, rate int"), "sample")
+    found = sorted(some.groupBy("zeros").agg(F.count("*").alias("n"), F.max("rate").alias("rate")).collect())
+    if not found:
+        return []
+    rate = max(r["rate"] for r in found)
+    while sum(r["n"] for r in found if r["zeros"] >= rate) > SAMPLE_ROWS:
+        rate += 1
+    keys = sorted(tuple(r) for r in some.where(F.col("zeros") >= rate).select("t", "c", "did", "lo").collect())
     return [keys[len(keys) * k // buckets] for k in range(1, buckets)] if keys else []
 
 

@@ -142,3 +142,13 @@ def test_multikey_order():
     keys = [rng.integers(0, 4, 500), rng.integers(0, 3, 500), rng.integers(0, 50, 500)]
     order = suffix_dedup.multikey_order(keys)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys))
+
+
+def test_splitters_know_a_long_periodic_text(spark):
+    """One text of dashes has most of the rows, each of the same token: most splitters are in it."""
+    texts = ["".join(random.Random(i).choices("abcdefgh ", k=202)) for i in range(6000)]
+    rows = [(i, 1, t) for i, t in enumerate(texts)] + [(10 ** 6, 1, "-" * 150_000)]
+    source = spark.createDataFrame(rows, "did long, th int, text string")
+    found = suffix_dedup._splitters(source, suffix_dedup._run_rows(200, 32), 64)
+    hot = next(suffix_dedup.runs([b"-" * 300]))[6].view(np.int64)[0]
+    assert len(found) == 63 and sum(t == hot for t, _, _, _ in found) >= 50
