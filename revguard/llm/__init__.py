@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten Spark jobs over documents and pages.
+"""Operators for preparing training text: thirteen Spark jobs over documents, pages and vectors.
 
 Nothing outside this folder imports it; the driver entry adds its queries when
 the folder is there.

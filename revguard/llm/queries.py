@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.llm import (decontam_tiling, html_extract, oracle, packing, quality_mcd, secret_scan, simhash, suffix_dedup,
-                          token_rollup, token_store, url_filter)
+from revguard.llm import (collocations, decontam_tiling, html_extract, oracle, packing, quality_mcd, secret_scan, simhash,
+                          suffix_dedup, token_rollup, token_store, url_filter, vector_codes, version_sketch)
 from revguard.llm.common import new_folder, read_table
 from revguard.llm.tokens import word_tokenizer_path
 
@@ -98,5 +98,21 @@ def op7_token_rollup(spark, sf_dir):
     return token_rollup.totals(spark, store)
 
 
+@register
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(read_table(spark, sf_dir, "documents", "lang", "text"))
+
+
+@register
+def op12_version_sketch(spark, sf_dir):
+    return version_sketch.fingerprinted(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.coded(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 ORACLE.update({"op2_quality_mcd": oracle.QUALITY, "op6_url_filter": oracle.url_filter(URL_RULES),
-               "op7_token_rollup": oracle.ROLLUP, "op8_secret_scan": oracle.SECRETS})
+               "op7_token_rollup": oracle.ROLLUP, "op8_secret_scan": oracle.SECRETS,
+               "op11_collocations": oracle.COLLOCATIONS, "op13_vector_codes": oracle.vector_codes()})
