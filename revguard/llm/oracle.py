@@ -248,18 +248,21 @@ SECRETS = _secrets()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COLLOCATIONS = rf"""
 WITH d AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+w AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
       FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
-g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
-      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY lang, k, phrase),
+t AS (SELECT p, lang, unnest(w) AS x, unnest(range(len(w))) AS i FROM w),
+g3 AS MATERIALIZED (SELECT lang, x, lead(x) OVER ps AS y, lead(x, 2) OVER ps AS z FROM t WINDOW ps AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x AS phrase FROM g3 UNION ALL SELECT lang, 2, x || ' ' || y FROM g3 WHERE y IS NOT NULL
+      UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM g3 WHERE z IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY lang, k, phrase),
 tot AS (SELECT lang, CAST(SUM(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
-cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
-s AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r,
-             CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-      FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:j], ' ')
-               JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+cut AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest
+                     FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+few AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+hd AS MATERIALIZED (SELECT cut.*, few.f AS l FROM cut JOIN few ON few.lang = cut.lang AND few.phrase = cut.head),
+s AS (SELECT hd.lang, hd.phrase, a, j, l, few.f AS r, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * few.f) AS BIGINT) AS score
+      FROM hd JOIN few ON few.lang = hd.lang AND few.phrase = hd.rest),
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 around AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, MAX(a) AS longer
            FROM (SELECT lang, w, a, unnest(range(1, 3)) AS i FROM c WHERE k = 3) GROUP BY ALL)
@@ -274,20 +277,20 @@ QUALIFY rank <= 2000"""
 def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     def assigned(k: int) -> str:
         dist = "list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)])::BIGINT"
-        return (f"a{k} AS (SELECT r, p, any_value(x) AS x, min({{'d': {dist}, 'e': e}}) AS b FROM x JOIN b{k} USING (p) GROUP BY r, p)")
+        return (f"a{k} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min({{'d': {dist}, 'e': e}}) AS b FROM x JOIN b{k} USING (p) GROUP BY r, p)")
 
     def moved(k: int) -> str:
-        return f"""m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+        return f"""m{k} AS MATERIALIZED (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
     SELECT p, b.e AS e, i, SUM(x[i])::BIGINT AS s, COUNT(*) AS n
     FROM (SELECT p, b, x, unnest(range(1, len(x) + 1)) AS i FROM a{k - 1}) GROUP BY p, b.e, i) GROUP BY p, e),
-b{k} AS (SELECT p, e, COALESCE(m{k}.c, b{k - 1}.c) AS c FROM b{k - 1} LEFT JOIN m{k} USING (p, e))"""
+b{k} AS MATERIALIZED (SELECT p, e, COALESCE(m{k}.c, b{k - 1}.c) AS c FROM b{k - 1} LEFT JOIN m{k} USING (p, e))"""
 
     steps = ",\n".join(f"{assigned(k - 1)},\n{moved(k)}" for k in range(1, rounds + 1))
     return f"""
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, [floor({scale} * z::DOUBLE)::BIGINT for z in embedding] AS v
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, [floor({scale} * z::DOUBLE)::BIGINT for z in embedding] AS v
       FROM embeddings WHERE embedding IS NOT NULL AND len([z for z in embedding if z IS NULL OR NOT isfinite(z)]) = 0),
-x AS (SELECT r, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) t(p)),
-b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x
+x AS MATERIALIZED (SELECT r, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM v, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x
        QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}),
 {steps},
 {assigned(rounds)},
