@@ -1,11 +1,12 @@
 """Attributions X1-X5.
 
-* X1 ``tree_contributions``: per-row path contributions of a boosted-tree model
-  (Saabas' decomposition: every split adds ``value(child) - value(node)`` to its
-  feature, weighted by the tree weight).  The trees come from the model's own
-  saved node table (Spark writes it as Parquet; its size is bounded by the
-  model, not the data), are broadcast, and walked with numpy in
-  ``mapInPandas``.  Property: ``bias + sum(contributions) = raw margin``.
+* X1 ``tree_contributions``: per-row Shapley values of a boosted-tree model
+  (``treeshap``: path-dependent, from the training weight of every node).  The
+  trees come from the model's own saved node table (Spark writes it as Parquet;
+  its size is bounded by the model, not the data), are broadcast, and applied
+  with numpy in ``mapInPandas``.  ``method="path"`` gives the cheaper path form
+  (every split adds ``value(child) - value(node)`` to its feature).  Property of
+  both: ``bias + sum(contributions) = raw margin``.
 * X2 ``linear_contributions``: ``coef_i * (x_i - mean_i)`` as Column maths.
 * X3 ``global_importance``: mean |contribution| per feature, label, rank.
 * X4 ``local_explanations``: top-k features per row and the sentence.
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
-from revguard.session import ensure_checkpoint_dir
-from revguard.sources.sinks import delete
+from revguard.operators import treeshap
+from revguard.session import cut_lineage, ensure_checkpoint_dir
+from revguard.sources.sinks import delete, update_partitions
 
 # Human-readable labels of the invoice features.
 FEATURE_LABELS = {
@@ -87,7 +89,8 @@ def tree_table(model: PipelineModel) -> tuple[pd.DataFrame, np.ndarray]:
     nodes = spark.read.parquet(os.path.join(path, "data")).select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).toPandas()
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
+        F.try_element_at("nodeData.impurityStats", F.lit(1)).alias("cover")).toPandas()  # the weight of its training rows
     delete(spark, path)
     weights = np.asarray(gbt.treeWeights, dtype=float)
     return nodes, weights
@@ -136,19 +139,21 @@ def path_contributions(x: np.ndarray, arrays) -> tuple[np.ndarray, np.ndarray, n
 
 
 def tree_contributions(df: DataFrame, model: PipelineModel, cols: list[str], *,
-                       keys: list[str] = ("invoice_id",)) -> DataFrame:
+                       keys: list[str] = ("invoice_id",), method: str = "shapley") -> DataFrame:
     """``keys + c_<feature> ... + bias + margin`` for every row of ``df``."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_arrays(*tree_table(model)))
+    table = tree_table(model)
+    shapley = {"shapley": True, "path": False}[method]
+    bc = spark.sparkContext.broadcast(treeshap.trees_of(*table) if shapley else _arrays(*table))  # bounded by the model
     keys = list(keys)
     out_schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] +
                            [f"c_{c} double" for c in cols] + ["bias double", "margin double"])
 
     def run(batches):
-        arrays = bc.value
+        prepared, give = (treeshap.prepare(bc.value), treeshap.contributions) if shapley else (bc.value, path_contributions)
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
-            con, bias, margin = path_contributions(x, arrays)
+            con, bias, margin = give(x, prepared)
             out = pdf[keys].copy()
             for i, c in enumerate(cols):
                 out[f"c_{c}"] = con[:, i]
@@ -230,3 +235,11 @@ def attach(scores: DataFrame, explanations: DataFrame, *, key: str = "invoice_id
         new = F.col(f"_new_{c}")
         out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in scores.columns else new)
     return out.drop("_key", "_model_name", "_model_version", *[f"_new_{c}" for c in carried])
+
+
+def attach_rows(spark: SparkSession, path: str, explanations: DataFrame, *, key: str = "invoice_id",
+                partition_by: str, **version) -> list:
+    """X5 on a stored score table: only the partitions that hold explained scores are written again."""
+    explanations = cut_lineage(explanations)
+    return update_partitions(spark, path, explanations, key, lambda rows: attach(rows, explanations, key=key, **version),
+                             partition_by=partition_by)

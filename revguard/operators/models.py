@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,7 +80,7 @@ def staged_auc(model: PipelineModel, val: DataFrame, cols: list[str], label: str
                     cur = np.where(f >= 0, step, cur)
                 margin += pred[cur] * w[t]
                 at = np.minimum((bins / (1 + np.exp(-2 * margin))).astype(int), bins - 1)
-                np.add.at(seen[t], (at, y), 1)
+                seen[t] += np.bincount(at * 2 + y, minlength=2 * bins).reshape(bins, 2)
         r, b = np.nonzero(seen.sum(2))
         yield pd.DataFrame({"r": r, "b": b, "neg": seen[r, b, 0], "pos": seen[r, b, 1]})
 
@@ -114,7 +114,7 @@ def train_gbt(train: DataFrame, val: DataFrame, cols: list[str], *, label: str =
     validation AUC and keeps the rounds up to the best one.
 
     Rounds depend only on those before them, so the fit runs ``first_rounds``, then up to four times as many, to
-    ``max_iter``, until the patience is used up, and the chosen number of rounds is fitted with the same seed.
+    ``max_iter``, until the patience is used up, and the model is made of the first trees of that fit.
     """
     n, p, _, _ = class_weights(train, label)
     spw = (n - p) / p if p else 1.0
@@ -132,10 +132,26 @@ def train_gbt(train: DataFrame, val: DataFrame, cols: list[str], *, label: str =
         model = fit(rounds)
         best, stopped = best_round(staged_auc(model, val, cols, label), patience)
         if stopped or rounds >= max_iter:
-            return model if best == rounds else fit(best)
+            return first_trees(model, best)
         rounds = min(4 * rounds, max_iter)
 
 
+def first_trees(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The pipeline with only the first ``rounds`` trees of its boosted-tree stage."""
+    *before, gbt = model.stages
+    if rounds >= gbt.getNumTrees:
+        return model
+    jvm, whole = SparkSession.getActiveSession().sparkContext._jvm, gbt._java_obj
+    cut = jvm.java.util.Arrays.copyOfRange
+    short = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        gbt.uid, cut(whole.trees(), 0, rounds), cut(whole.treeWeights(), 0, rounds)))
+    short._resetUid(gbt.uid)
+    for name in ("features", "prediction", "probability", "rawPrediction"):
+        param = f"{name}Col"
+        getattr(short, f"set{param[0].upper()}{param[1:]}")(gbt.getOrDefault(param))
+    return PipelineModel([*before, short])
+
+
 def positive_prob(model: PipelineModel, df: DataFrame, prob_col: str, out: str,
                   threshold: float = 0.5, pred: str | None = None) -> DataFrame:
     """Append P(label = 1) (and the 0/1 prediction at ``threshold``)."""
@@ -149,6 +165,7 @@ def positive_prob(model: PipelineModel, df: DataFrame, prob_col: str, out: str,
 def feature_importance(model: PipelineModel, cols: list[str], top_n: int | None = None) -> DataFrame:
     """The tree model's importances as a small (features-sized) DataFrame, ranked."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
+    imp += [0.0] * (len(cols) - len(imp))  # features after the last one that splits
     spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, importance double")
     df = df.orderBy(F.col("importance").desc(), F.col("feature").asc())

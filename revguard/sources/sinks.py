@@ -7,6 +7,7 @@ anti-joins on the natural key instead of driver-side id sets.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +105,34 @@ def soft_delete(df: DataFrame, keys: DataFrame, key: str, *, at: _dt.datetime) -
     else:
         out = out.withColumn("deleted_at", F.when(hit, ts))
     return out.drop("_hit")
+
+
+def update_partitions(spark: SparkSession, path: str, keys: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], *,
+                      partition_by: str) -> list:
+    """Applies ``change`` to the partitions of a table that hold rows with a key in ``keys``; returns their values.
+
+    Only these partitions are read whole and written again, in one dynamic overwrite; the files of all others stay as they
+    are.  The new rows are checkpointed before the old files go, and a change that gives the same rows again (as
+    ``soft_delete`` and ``explain.attach`` do) makes a replay change nothing.  Partition values are at most as many as the
+    table's folders.
+    """
+    table = spark.read.parquet(path)
+    hit = table.select(key, partition_by).join(keys.select(key).distinct(), key, "left_semi").select(partition_by).distinct()
+    touched = [r[0] for r in hit.collect()]
+    if not touched:
+        return []
+    mine = F.col(partition_by).isin([v for v in touched if v is not None])
+    if None in touched:
+        mine = mine | F.col(partition_by).isNull()
+    new = cut_lineage(change(table.filter(mine)).select(*table.columns))
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+    spark.catalog.refreshByPath(path)
+    return touched
+
+
+def soft_delete_rows(spark: SparkSession, path: str, keys: DataFrame, key: str, *, at: _dt.datetime, partition_by: str) -> list:
+    """S11 on a stored table that has ``is_deleted`` and ``deleted_at``: only partitions with such keys are written again.
+
+    Rows that were deleted before keep their time.
+    """
+    return update_partitions(spark, path, keys, key, lambda rows: soft_delete(rows, keys, key, at=at), partition_by=partition_by)
