@@ -17,6 +17,9 @@ ALLOWED = {
     ("invoices", "status"): ["draft", "issued", "paid", "partially_paid", "overdue", "void", "written_off"],
     ("payments", "status"): ["pending", "succeeded", "failed", "refunded", "partially_refunded",
                              "disputed", "cancelled"],
+    ("payments", "method"): ["credit_card", "bank_transfer", "ach", "wire", "check", "crypto"],
+    ("refunds", "reason"): ["duplicate_charge", "service_cancellation", "billing_error", "contract_termination",
+                            "customer_request", "fraud", "other"],
     ("refunds", "status"): ["pending", "approved", "processed", "rejected", "reversed"],
 }
 
@@ -28,7 +31,11 @@ FOREIGN_KEYS = [("invoices", "customer_id", "customers", "customer_id"),
                 ("invoices", "contract_id", "contracts", "contract_id"),
                 ("payments", "invoice_id", "invoices", "invoice_id"),
                 ("refunds", "transaction_id", "payments", "transaction_id"),
-                ("subscriptions", "customer_id", "customers", "customer_id")]
+                ("subscriptions", "customer_id", "customers", "customer_id"),
+                ("contracts", "customer_id", "customers", "customer_id"),
+                ("payments", "customer_id", "customers", "customer_id"),
+                ("refunds", "invoice_id", "invoices", "invoice_id"),
+                ("refunds", "customer_id", "customers", "customer_id")]
 
 
 def enum_violations(tables: dict[str, DataFrame]) -> DataFrame:

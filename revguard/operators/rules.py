@@ -1,8 +1,8 @@
 """Reconciliation rules R1-R8: each rule is one lazy DataFrame in the alert schema.
 
 Every rule is a filter / anti-join / join / aggregate over the billing views;
-severity, description and metadata are Column expressions, so no row leaves
-the JVM.  ``run_rules`` unions them into one alert table (one action for all
+severity, description and metadata (a JSON object with typed values) are Column
+expressions, so no row leaves the JVM.  ``run_rules`` unions them into one alert table (one action for all
 seven rules); ``rule_summary`` is the per (rule, severity) roll-up.
 
 Scale notes: R1 is a shuffle anti-join on ``invoice_id`` (settled payments are
@@ -50,7 +50,7 @@ MONEY = "decimal(14,2)"
 
 def _alert(df: DataFrame, *, rule_code: str, severity, description, amount, metadata: dict,
            source_ref, invoice_id=None) -> DataFrame:
-    meta = F.create_map(*[x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))])
+    meta = F.to_json(F.struct(*[v.alias(k) for k, v in metadata.items()])) if metadata else F.lit("{}")
     return df.select(
         F.col("customer_id").cast("bigint").alias("customer_id"),
         (F.col("invoice_id") if invoice_id is None else invoice_id).cast("bigint").alias("invoice_id"),
@@ -87,16 +87,20 @@ def missing_payment(b: Billing, *, settled_status: str = "succeeded") -> DataFra
         amount=amount, metadata={}, source_ref=F.col("invoice_number"))
 
 
-def duplicate_refund(b: Billing) -> DataFrame:
-    """R2: refunds flagged as duplicates (deleted rows included, as the rule does)."""
-    r = b.refunds.filter(F.col("is_duplicate"))
+def refund_alerts(refunds: DataFrame) -> DataFrame:
+    """R2 alerts of the refunds that are flagged as duplicates."""
     return _alert(
-        r, rule_code=DUPLICATE_REFUND, severity=F.lit("high"),
+        refunds.filter(F.col("is_duplicate")), rule_code=DUPLICATE_REFUND, severity=F.lit("high"),
         description=F.format_string(TEXT_DUPLICATE_REFUND, "refund_number", X.money_text("amount")),
         amount=F.col("amount"),
         metadata={"refund_number": F.col("refund_number")}, source_ref=F.col("refund_number"))
 
 
+def duplicate_refund(b: Billing) -> DataFrame:
+    """R2: refunds flagged as duplicates (deleted rows included, as the rule does)."""
+    return refund_alerts(b.refunds)
+
+
 def abnormal_discount(b: Billing, *, threshold: float = 0.35) -> DataFrame:
     """``discount / total > threshold``; >0.60 critical, >0.45 high."""
     ratio = X.dbl("discount_amount") / X.dbl("total_amount")
@@ -127,36 +131,52 @@ def underbilling(b: Billing, *, threshold: str = "0.85") -> DataFrame:
                   source_ref=F.col("invoice_number"))
 
 
-def payment_delay(b: Billing, *, settled_status: str = "succeeded", min_days: int = 30) -> DataFrame:
-    """Settled late payment >= ``min_days`` late on a live invoice; >=90 high."""
-    p = b.payments.filter((F.col("status") == settled_status) & F.col("is_late") &
-                          (F.col("days_late") >= min_days)) \
+def late_payments(payments: DataFrame, *, settled_status: str = "succeeded", min_days: int = 30) -> DataFrame:
+    """Settled payments that came ``min_days`` late or later."""
+    return payments.filter((F.col("status") == settled_status) & F.col("is_late") & (F.col("days_late") >= min_days)) \
         .select("invoice_id", "transaction_id", "days_late", "payment_date")
-    inv = _live(b.invoices).select("invoice_id", "customer_id", "invoice_number")
-    j = p.join(inv, "invoice_id", "inner")
+
+
+def delay_alerts(late: DataFrame) -> DataFrame:
+    """R5 alerts of late payments with their invoice's customer_id and invoice_number."""
     sev = F.when(F.col("days_late") >= 90, "high").otherwise("medium")
     desc = F.format_string(TEXT_PAYMENT_DELAY, "invoice_number", F.col("days_late").cast("string"),
                            F.col("payment_date").cast("string"))
-    return _alert(j, rule_code=PAYMENT_DELAY, severity=sev, description=desc,
+    return _alert(late, rule_code=PAYMENT_DELAY, severity=sev, description=desc,
                   amount=F.lit(Decimal("0.00")),
                   metadata={"days_late": F.col("days_late"), "payment_date": F.col("payment_date")},
                   source_ref=F.col("transaction_id"))
 
 
-def failed_payment_streak(b: Billing, *, min_fails: int = 3) -> DataFrame:
-    """Customers with >= ``min_fails`` failed live payments (a count, not a run)."""
-    g = b.payments.filter((F.col("status") == "failed") & ~F.col("is_deleted")) \
+def payment_delay(b: Billing, *, settled_status: str = "succeeded", min_days: int = 30) -> DataFrame:
+    """Settled late payment >= ``min_days`` late on a live invoice; >=90 high."""
+    p = late_payments(b.payments, settled_status=settled_status, min_days=min_days)
+    inv = _live(b.invoices).select("invoice_id", "customer_id", "invoice_number")
+    return delay_alerts(p.join(inv, "invoice_id", "inner"))
+
+
+def failed_totals(payments: DataFrame) -> DataFrame:
+    """Number and sum of failed live payments per customer."""
+    return payments.filter((F.col("status") == "failed") & ~F.col("is_deleted")) \
         .groupBy("customer_id") \
-        .agg(F.count(F.lit(1)).alias("fails"), F.sum("amount").alias("at_risk")) \
-        .filter(F.col("fails") >= min_fails)
+        .agg(F.count(F.lit(1)).alias("fails"), F.sum("amount").alias("at_risk"))
+
+
+def streak_alerts(totals: DataFrame, *, min_fails: int = 3) -> DataFrame:
+    """R6 alerts of the totals per customer."""
     sev = X.banded("fails", [("critical", 10), ("high", 6)], "medium")
     desc = F.format_string(TEXT_FAILED_STREAK, F.col("fails").cast("string"), X.money_text("at_risk"))
-    return _alert(g, rule_code=FAILED_PAYMENT_STREAK, severity=sev, description=desc,
-                  amount=X.round_money("at_risk"),
+    return _alert(totals.filter(F.col("fails") >= min_fails), rule_code=FAILED_PAYMENT_STREAK, severity=sev,
+                  description=desc, amount=X.round_money("at_risk"),
                   metadata={"failed_count": F.col("fails"), "total_at_risk": X.dbl("at_risk")},
                   source_ref=F.col("customer_id"), invoice_id=F.lit(None))
 
 
+def failed_payment_streak(b: Billing, *, min_fails: int = 3) -> DataFrame:
+    """Customers with >= ``min_fails`` failed live payments (a count, not a run; runs: ``lifecycle``)."""
+    return streak_alerts(failed_totals(b.payments), min_fails=min_fails)
+
+
 def overdue_invoice(b: Billing) -> DataFrame:
     """Overdue invoice past due; >=90 days critical, >=30 high (code MISSING_RENEWAL)."""
     inv = _live(b.invoices).filter((F.col("status") == "overdue") &
@@ -203,6 +223,18 @@ def rule_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
+#: Every field that a rule's metadata may have, with its type.
+METADATA_FIELDS = {"refund_number": "string", "discount_ratio": "double", "billed": "double", "mrr": "double", "ratio": "double",
+                   "days_late": "int", "payment_date": "date", "failed_count": "bigint", "total_at_risk": "double",
+                   "days_overdue": "int", "due_date": "date"}
+
+
+def with_metadata_fields(alerts: DataFrame) -> DataFrame:
+    """alerts with their JSON metadata as typed columns; null where a rule has no such field, or the text is no JSON."""
+    read = F.from_json("metadata", ", ".join(f"{k} {t}" for k, t in METADATA_FIELDS.items()))
+    return alerts.withColumn("_m", read).select(*alerts.columns, "_m.*")
+
+
 def flat(alerts: DataFrame) -> DataFrame:
     """Alert rows without text/map columns (what the oracle compares)."""
     return alerts.select("customer_id", "invoice_id", "rule_code", "severity",

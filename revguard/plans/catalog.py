@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revguard.functions import exprs as X
-from revguard.operators import features, marts, metrics, rank, rules
-from revguard.sources.billing import billing_views
+from revguard.operators import features, lifecycle, marts, metrics, rank, rules
+from revguard.sources.billing import AS_OF, billing_views, contract_terms
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,22 @@ def _r8_summary(spark, sf_dir):
     return s.withColumn("leakage", F.col("leakage").cast("double"))
 
 
+@register("r9_alert_metadata")
+def _r9_metadata(spark, sf_dir):
+    alerts = rules.with_metadata_fields(rules.run_rules(billing_views(spark, sf_dir)))
+    return flat(alerts.select("rule_code", "source_ref", *rules.METADATA_FIELDS))
+
+
+QUERIES.update({
+    "lc1_failed_payment_runs": _b(lifecycle.failed_payment_runs),
+    "lc2_no_invoice_gaps": _b(lifecycle.no_invoice_gaps),
+    "lc3_zero_revenue_months": _b(lifecycle.zero_revenue_months),
+    "lc4_contract_mismatches": _b(lifecycle.contract_mismatches),
+    "lc5_contract_succession": lambda spark, sf_dir: flat(lifecycle.contract_succession(contract_terms(spark, sf_dir))),
+    "lc6_missing_renewals": lambda spark, sf_dir: flat(lifecycle.missing_renewals(contract_terms(spark, sf_dir), AS_OF)),
+})
+
+
 QUERIES.update({
     "a1_payments_by_invoice": _b(lambda b: marts.payments_by_invoice(b.payments)),
     "a2_refunds_by_invoice": _b(lambda b: marts.refunds_by_invoice(b.refunds)),
@@ -149,6 +165,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 # Serving queries D1-D13, E1-E7 over the stand-in score tables
 # ---------------------------------------------------------------------------
+from revguard.plans import entities  # noqa: E402
 from revguard.plans import scores as S  # noqa: E402
 from revguard.plans import serve as D  # noqa: E402
 
@@ -180,8 +197,10 @@ QUERIES.update({
     "d4_risk_distribution": _b(lambda b: D.risk_distribution(_risk(b, False), model_name=STAND_IN)),
     "d5_leakage_by_rule": _b(lambda b: D.leakage_by_rule(rules.run_rules(b))),
     "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b, False))),
-    "d7_invoice_detail": _b(lambda b: D.invoice_detail(b, _risk(b), _anom(b), rules.run_rules(b),
-                                                       model_name=STAND_IN)),
+    "d7_invoice_detail": _b(lambda b: D.invoice_detail(
+        b, _risk(b), _anom(b), rules.run_rules(b), model_name=STAND_IN).select(
+            "*", F.array_join("risk_top_features", ",").alias("risk_top"), F.col("risk_snapshot")["prob"].alias("risk_snapshot_prob"),
+            F.array_join("anomaly_top_features", ",").alias("anomaly_top"))),
     "d7_invoice_alerts": _b(lambda b: D.alert_details(rules.run_rules(b))),
     "d8_revenue_breakdown": _b(D.revenue_by_month),
     "d9_outstanding_invoices": _b(lambda b: D.outstanding_invoices(b, limit=100)),
@@ -212,10 +231,15 @@ QUERIES.update({
         ordering="-total_amount", allowed=["issue_date", "due_date", "total_amount",
                                            "outstanding_amount"], default=["-issue_date"])[0], _risk(b, False),
         order=[F.col("total_amount").desc(), F.col("invoice_id").asc()])),
+    "e2_invoices_seek_page": _b(lambda b: D.seek_page(
+        D.invoices_view(b), key="invoice_id", ordering="-total_amount", allowed=["total_amount", "issue_date"], page=3)),
     "e3_alerts_page": _b(lambda b: D.alerts_view(b, D.list_entity(
         rules.flat(rules.run_rules(b)), key="source_ref",
         filters={"rule_code": "UNDERBILLING", "severity": "high"}, ordering="-leakage_amount",
         allowed=["leakage_amount", "severity"], page=3)[0])),
+    "e3_alerts_search_page": _b(lambda b: entities.entity_page(
+        "alerts", D.alert_details(rules.run_rules(b)).withColumn("source_ref", F.col("invoice_id")),
+        filters={"severity": "high"}, search="DAYS overdue", ordering="-leakage_amount", page=2)[0].drop("source_ref")),
     "e5_risk_page": _b(lambda b: D.ranked_page(D.list_entity(
         D.scores_view(b, _risk(b, False)).drop("top_features", "feature_snapshot"), key="invoice_id",
         filters={"risk_severity": "medium", "model_version": "v1"}, search="customer#",

@@ -7,7 +7,7 @@ plain SQL, written separately from the DataFrame code it checks.
 
 from __future__ import annotations
 
-from revguard.sources.billing import AS_OF, duckdb_ctes
+from revguard.sources.billing import AS_OF, CONTRACT_TERMS_SQL, duckdb_ctes
 
 AS_OF_SQL = f"DATE '{AS_OF.isoformat()}'"
 
@@ -87,7 +87,37 @@ R8_SUMMARY = f"""
 SELECT rule_code, severity, COUNT(*) AS alert_count, CAST(SUM(leakage_amount) AS DOUBLE) AS leakage
 FROM ({ALL_ALERTS}) a GROUP BY rule_code, severity"""
 
+_META = ["refund_number VARCHAR", "discount_ratio DOUBLE", "billed DOUBLE", "mrr DOUBLE", "ratio DOUBLE", "days_late INTEGER",
+         "payment_date VARCHAR", "failed_count BIGINT", "total_at_risk DOUBLE", "days_overdue INTEGER", "due_date VARCHAR"]
+
+
+def _meta(code: str, ref: str, body: str, **fields: str) -> str:
+    """Alerts of one rule with its metadata; ``body`` is what follows the select list."""
+    cols = ", ".join(f"CAST({fields.get(c.split()[0], 'NULL')} AS {c.split()[1]}) AS {c.split()[0]}" for c in _META)
+    return f"SELECT '{code}' AS rule_code, CAST({ref} AS VARCHAR) AS source_ref, {cols} {body}"
+
+
+_RATIO = "CAST({0} AS DOUBLE) / CAST({1} AS DOUBLE)"
+METADATA = " UNION ALL ".join([
+    _meta("MISSING_PAYMENT", "source_ref", f"FROM ({_r1('succeeded')}) a"),
+    _meta("DUPLICATE_REFUND", "refund_number", "FROM refunds WHERE is_duplicate", refund_number="refund_number"),
+    _meta("ABNORMAL_DISCOUNT", "invoice_number", f"""FROM invoices WHERE NOT is_deleted AND total_amount > 0
+          AND {_RATIO.format('discount_amount', 'total_amount')} > 0.35""",
+          discount_ratio=f"ROUND({_RATIO.format('discount_amount', 'total_amount')}, 4)"),
+    _meta("UNDERBILLING", "i.invoice_number", """FROM invoices i JOIN subscriptions s ON i.subscription_id = s.subscription_id
+          WHERE NOT i.is_deleted AND i.total_amount > 0 AND s.mrr > 0 AND i.total_amount < s.mrr * CAST(0.85 AS DECIMAL(3,2))""",
+          billed="i.total_amount", mrr="s.mrr", ratio=f"ROUND({_RATIO.format('i.total_amount', 's.mrr')}, 4)"),
+    _meta("PAYMENT_DELAY", "p.transaction_id", """FROM payments p JOIN invoices i ON p.invoice_id = i.invoice_id
+          WHERE p.status = 'succeeded' AND p.is_late AND p.days_late >= 30 AND NOT i.is_deleted""",
+          days_late="p.days_late", payment_date="p.payment_date"),
+    _meta("FAILED_PAYMENT_STREAK", "customer_id", """FROM payments WHERE status = 'failed' AND NOT is_deleted
+          GROUP BY customer_id HAVING COUNT(*) >= 3""", failed_count="COUNT(*)", total_at_risk="SUM(amount)"),
+    _meta("MISSING_RENEWAL", "invoice_number", f"""FROM invoices
+          WHERE NOT is_deleted AND status = 'overdue' AND due_date < {AS_OF_SQL}""",
+          days_overdue=f"date_diff('day', due_date, {AS_OF_SQL})", due_date="due_date")])
+
 ORACLE: dict[str, str] = {
+    "r9_alert_metadata": _q(METADATA),
     "r1_missing_payment": _q(_r1("succeeded")),
     "r1_missing_payment_literal": _q(_r1("completed")),
     "r2_duplicate_refund": _q(R2),
@@ -101,6 +131,97 @@ ORACLE: dict[str, str] = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Rules over time
+# ---------------------------------------------------------------------------
+
+RUNS = """
+SELECT customer_id, CAST(MIN(payment_date) AS VARCHAR) AS run_start, CAST(MAX(payment_date) AS VARCHAR) AS run_end,
+       COUNT(*) AS fails, CAST(SUM(amount) AS DOUBLE) AS at_risk,
+       CASE WHEN COUNT(*) >= 10 THEN 'critical' WHEN COUNT(*) >= 6 THEN 'high' ELSE 'medium' END AS severity
+FROM (SELECT *, COUNT(CASE WHEN status = 'succeeded' THEN 1 END) OVER (
+          PARTITION BY customer_id ORDER BY payment_date, transaction_id ROWS UNBOUNDED PRECEDING) AS run
+      FROM payments WHERE NOT is_deleted AND status IN ('failed', 'succeeded') AND customer_id IS NOT NULL) p
+WHERE status = 'failed' GROUP BY customer_id, run HAVING COUNT(*) >= 3"""
+
+
+def _m(d: str) -> str:
+    return f"(year({d}) * 12 + month({d}) - 1)"
+
+
+def _first_day(m: str) -> str:
+    return f"CAST(make_date({m} // 12, {m} % 12 + 1, 1) AS VARCHAR)"
+
+
+ACTIVE = f"""
+, act AS (
+  SELECT customer_id, mrr, unnest(range(first, last + 1)) AS m
+  FROM (SELECT c.customer_id, s.mrr, {_m("s.start")} AS first,
+               {_m(f"LEAST(COALESCE(c.churn_date, {AS_OF_SQL}), {AS_OF_SQL})")} - 1 AS last
+        FROM customers c JOIN (SELECT customer_id, MIN(start_date) AS start, SUM(mrr) AS mrr FROM subscriptions
+                               WHERE NOT is_deleted AND status = 'active' GROUP BY customer_id) s USING (customer_id)
+        WHERE NOT c.is_deleted) t
+  WHERE first <= last)
+"""
+NO_INVOICE = ACTIVE + f"""
+SELECT customer_id, 'NO_INVOICE' AS rule_code, {_first_day("MIN(m)")} AS first_month, {_first_day("MAX(m)")} AS last_month,
+       COUNT(*) AS months, CAST(ANY_VALUE(mrr) * COUNT(*) AS DOUBLE) AS expected_revenue,
+       CASE WHEN COUNT(*) >= 12 THEN 'critical' WHEN COUNT(*) >= 6 THEN 'high' ELSE 'medium' END AS severity
+FROM (SELECT *, m - row_number() OVER (PARTITION BY customer_id ORDER BY m) AS run FROM act
+      WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE NOT i.is_deleted AND i.customer_id = act.customer_id
+                        AND {_m("i.issue_date")} = act.m)) g
+GROUP BY customer_id, run HAVING COUNT(*) >= 3"""
+
+ZERO_REVENUE = ACTIVE + f"""
+SELECT act.customer_id, 'ZERO_REVENUE' AS rule_code, {_first_day("act.m")} AS month, b.invoices,
+       CAST(b.billed AS DOUBLE) AS billed, CASE WHEN b.billed >= act.mrr THEN 'high' ELSE 'medium' END AS severity
+FROM act JOIN (SELECT i.customer_id, {_m("i.issue_date")} AS m, COUNT(*) AS invoices, SUM(i.total_amount) AS billed,
+                      SUM(COALESCE((SELECT SUM(p.amount) FROM payments p
+                                    WHERE p.invoice_id = i.invoice_id AND p.status = 'succeeded'), 0)) AS collected
+               FROM invoices i WHERE NOT i.is_deleted GROUP BY 1, 2) b
+     ON b.customer_id = act.customer_id AND b.m = act.m
+WHERE b.billed > 0 AND b.collected = 0"""
+
+MISMATCH = """
+SELECT customer_id, invoice_id, contract_id, 'CONTRACT_MISMATCH' AS rule_code, reason,
+       CAST(total_amount AS DOUBLE) AS total_amount,
+       CASE WHEN reason IN ('no_contract', 'other_customer') THEN 'high' ELSE 'medium' END AS severity
+FROM (SELECT i.*, CASE WHEN c.contract_id IS NULL OR c.is_deleted THEN 'no_contract'
+                       WHEN c.customer_id IS DISTINCT FROM i.customer_id THEN 'other_customer'
+                       WHEN i.issue_date < c.start_date THEN 'before_start'
+                       WHEN i.issue_date > c.end_date THEN 'after_end' END AS reason
+      FROM invoices i LEFT JOIN contracts c ON c.contract_id = i.contract_id
+      WHERE NOT i.is_deleted AND i.contract_id IS NOT NULL) t
+WHERE reason IS NOT NULL"""
+
+SUCCESSION = f"""
+WITH terms AS ({CONTRACT_TERMS_SQL.format(orders="orders")}),
+n AS (SELECT *, LEAD(contract_id) OVER w AS next_contract_id, LEAD(start_date) OVER w AS next_start
+      FROM terms WHERE NOT is_deleted WINDOW w AS (PARTITION BY customer_id ORDER BY start_date, contract_id)),
+s AS (SELECT contract_id, customer_id, start_date, end_date, auto_renew, next_contract_id, next_start,
+             date_diff('day', end_date, next_start) - 1 AS gap_days,
+             CASE WHEN next_start IS NULL THEN 'last' WHEN next_start <= end_date THEN 'overlap'
+                  WHEN date_diff('day', end_date, next_start) = 1 THEN 'renewed' ELSE 'gap' END AS succession FROM n)
+"""
+SUCCESSION_ROWS = SUCCESSION + """
+SELECT contract_id, customer_id, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date, auto_renew,
+       next_contract_id, CAST(next_start AS VARCHAR) AS next_start, gap_days, succession FROM s"""
+LAPSED = SUCCESSION + f"""
+SELECT customer_id, contract_id, CAST(end_date AS VARCHAR) AS end_date, CAST(next_start AS VARCHAR) AS next_start, open_days,
+       CASE WHEN open_days >= 365 THEN 'critical' WHEN open_days >= 90 THEN 'high' ELSE 'medium' END AS severity
+FROM (SELECT *, COALESCE(gap_days, date_diff('day', end_date, {AS_OF_SQL})) AS open_days FROM s) t
+WHERE NOT auto_renew AND (succession = 'last' OR gap_days > 30) AND date_diff('day', end_date, {AS_OF_SQL}) >= 30"""
+
+ORACLE.update({
+    "lc1_failed_payment_runs": _q(RUNS),
+    "lc2_no_invoice_gaps": _q(NO_INVOICE),
+    "lc3_zero_revenue_months": _q(ZERO_REVENUE),
+    "lc4_contract_mismatches": _q(MISMATCH),
+    "lc5_contract_succession": SUCCESSION_ROWS,
+    "lc6_missing_renewals": LAPSED,
+})
+
+
 # ---------------------------------------------------------------------------
 # Aggregates A1-A7 and marts M1-M6
 # ---------------------------------------------------------------------------
@@ -623,9 +744,14 @@ SELECT i.invoice_id, i.customer_id, i.invoice_number, i.status,
        c.name AS customer_name, c.segment AS customer_segment, c.status AS customer_status,
        lr.leakage_probability, lr.risk_severity, lr.rank_percentile,
        la.score AS anomaly_score, la.is_anomaly, la.if_prob_proxy,
-       COALESCE(ag.alert_count, 0) AS alert_count, ag.alert_leakage
+       COALESCE(ag.alert_count, 0) AS alert_count, ag.alert_leakage, lr.leakage_probability AS risk_snapshot_prob,
+       CASE WHEN lr.invoice_id IS NOT NULL THEN concat_ws(',', top_feature_1, top_feature_2, top_feature_3, top_feature_4,
+                                                          top_feature_5) END AS risk_top,
+       CASE WHEN la.invoice_id IS NOT NULL THEN concat_ws(',', top_feature_1, top_feature_2, top_feature_3, top_feature_4,
+                                                          top_feature_5) END AS anomaly_top
 FROM invoices i
 LEFT JOIN customers c ON c.customer_id = i.customer_id
+LEFT JOIN tf ON tf.invoice_id = i.invoice_id
 LEFT JOIN (SELECT * FROM risk WHERE model_name = 'rule_blend'
            QUALIFY ROW_NUMBER() OVER (PARTITION BY invoice_id
                                       ORDER BY scored_at DESC, model_version DESC) = 1) lr
@@ -693,6 +819,13 @@ LEFT JOIN (SELECT * FROM risk QUALIFY ROW_NUMBER() OVER (PARTITION BY customer_i
                                        ORDER BY scored_at DESC, invoice_id DESC) = 1) lr
   ON lr.customer_id = c.customer_id
 WHERE NOT c.is_deleted"""),
+    "e2_invoices_seek_page": _q("""
+SELECT i.invoice_id, i.invoice_number, i.customer_id, c.name AS customer_name, c.segment AS customer_segment, i.status,
+       CAST(i.issue_date AS VARCHAR) AS issue_date, CAST(i.due_date AS VARCHAR) AS due_date,
+       CAST(i.total_amount AS DOUBLE) AS total_amount, CAST(i.paid_amount AS DOUBLE) AS paid_amount,
+       CAST(i.outstanding_amount AS DOUBLE) AS outstanding_amount
+FROM invoices i JOIN customers c ON c.customer_id = i.customer_id
+WHERE NOT i.is_deleted ORDER BY i.total_amount DESC, i.invoice_id LIMIT 50 OFFSET 100"""),
     "e2_invoices_page": _q(D_PRE + """
 SELECT i.invoice_id, i.invoice_number, i.customer_id, c.name AS customer_name,
        c.segment AS customer_segment, i.status, CAST(i.issue_date AS VARCHAR) AS issue_date,
@@ -985,3 +1118,6 @@ LEFT JOIN payments p ON a.rule_code = 'PAYMENT_DELAY' AND p.transaction_id = a.s
 LEFT JOIN refunds r ON a.rule_code = 'DUPLICATE_REFUND' AND r.refund_number = a.source_ref
 WHERE a.invoice_id IS NOT NULL"""),
 })
+
+ORACLE["e3_alerts_search_page"] = f"""SELECT * FROM ({ORACLE["d7_invoice_alerts"]}) a
+WHERE severity = 'high' AND lower(description) LIKE '%days overdue%' ORDER BY leakage_amount DESC, invoice_id LIMIT 50 OFFSET 50"""

@@ -67,7 +67,7 @@ def revenue_by_month(b: Billing) -> DataFrame:
         F.count(F.lit(1)).alias("invoice_count"), F.sum("total_amount").alias("invoiced"),
         F.sum("paid_amount").alias("collected"), F.sum("outstanding_amount").alias("outstanding"))
     return m.withColumn("collection_rate", F.coalesce(
-        F.try_divide(X.dbl("collected") * 100, X.dbl("invoiced")), F.lit(0.0)))
+        F.try_divide(X.dbl("collected") * 100, X.dbl("invoiced")), F.lit(0.0))).orderBy("month")
 
 
 def forecast_trend(forecasts: DataFrame, *, metric: str = "revenue") -> DataFrame:
@@ -117,7 +117,7 @@ def leakage_by_rule(alerts: DataFrame) -> DataFrame:
     a = alerts if "is_resolved" in alerts.columns else alerts.withColumn("is_resolved", F.lit(False))
     return a.groupBy("rule_code", "severity").agg(
         F.count(F.lit(1)).alias("count"), F.sum("leakage_amount").alias("total_amount"),
-        F.count_if(~F.col("is_resolved")).alias("unresolved"))
+        F.count_if(~F.col("is_resolved")).alias("unresolved")).orderBy(F.desc("total_amount"), "rule_code", "severity")
 
 
 # ----------------------------------------------------------------------------- D6
@@ -138,7 +138,8 @@ def latest(df: DataFrame, key: str, ts: str = "scored_at", tie: str = "model_ver
 
 def invoice_detail(b: Billing, risk: DataFrame, anomaly: DataFrame, alerts: DataFrame, *,
                    model_name: str, invoice_ids: list[int] | None = None) -> DataFrame:
-    """D7 (flat form): invoice, customer, latest risk, latest anomaly and alert roll-up.
+    """D7 (flat form): invoice, customer, latest risk and latest anomaly with their top features, the risk's feature
+    snapshot, and alert roll-up.
 
     Works for all invoices at once or for a list of ids (a point lookup filters
     every input first, so the scan pushes the predicate down).
@@ -150,9 +151,10 @@ def invoice_detail(b: Billing, risk: DataFrame, anomaly: DataFrame, alerts: Data
         ids = [int(i) for i in invoice_ids]
         inv, r, a, al = [d.filter(F.col("invoice_id").isin(ids)) for d in (inv, r, a, al)]
     lr = latest(r.select("invoice_id", "leakage_probability", "risk_severity", "rank_percentile",
+                         F.col("top_features").alias("risk_top_features"), F.col("feature_snapshot").alias("risk_snapshot"),
                          "scored_at", "model_version"), "invoice_id")
-    la = latest(a.select("invoice_id", F.col("score").alias("anomaly_score"), "is_anomaly",
-                         "if_prob_proxy", "scored_at", "model_version"), "invoice_id")
+    la = latest(a.select("invoice_id", F.col("score").alias("anomaly_score"), "is_anomaly", "if_prob_proxy",
+                         F.col("top_features").alias("anomaly_top_features"), "scored_at", "model_version"), "invoice_id")
     ag = al.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("alert_count"),
                                       F.sum("leakage_amount").alias("alert_leakage"))
     cust = b.customers.select("customer_id", F.col("name").alias("customer_name"),
@@ -259,23 +261,67 @@ def list_entity(df: DataFrame, *, key: str, filters: dict | None = None, search:
     Returns ``(page_rows, total_count)``.  ``ordering`` is a field name with an
     optional ``-`` prefix; it must be in ``allowed``.  The key closes every order.
     """
-    d = df
-    if filters:
-        d = d.filter(X.exact_filters(filters))
-    if search and search_cols:
-        d = d.filter(X.contains_any(search_cols, search))
-    order: list[Column] = []
-    spec = [ordering] if ordering else list(default or [])
-    for o in spec:
-        name = o.lstrip("-")
-        if ordering and allowed is not None and name not in allowed:
-            raise ValueError(f"ordering by {name!r} is not allowed")
-        order.append(F.col(name).desc() if o.startswith("-") else F.col(name).asc())
-    order.append(F.col(key).asc())
+    d = _found(df, filters, search, search_cols)
+    order = [F.col(name).desc() if down else F.col(name).asc() for name, down in _ordering(key, ordering, allowed, default)]
     rows = d.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
     return rows, d.agg(F.count(F.lit(1)).alias("count"))
 
 
+def _found(df: DataFrame, filters: dict | None, search: str | None, search_cols: list[str] | None) -> DataFrame:
+    d = df.filter(X.exact_filters(filters)) if filters else df
+    return d.filter(X.contains_any(search_cols, search)) if search and search_cols else d
+
+
+def _ordering(key: str, ordering: str | None, allowed: list[str] | None, default: list[str] | None) -> list[tuple[str, bool]]:
+    """(column, whether descending) of a list's order, closed by its key."""
+    spec = [(o.lstrip("-"), o.startswith("-")) for o in ([ordering] if ordering else list(default or []))]
+    if ordering and allowed is not None and spec[0][0] not in allowed:
+        raise ValueError(f"ordering by {spec[0][0]!r} is not allowed")
+    return [s for s in spec if s[0] != key] + [(key, next((down for name, down in spec if name == key), False))]
+
+
+def list_after(df: DataFrame, after: dict | None, *, key: str, filters: dict | None = None, search: str | None = None,
+               search_cols: list[str] | None = None, ordering: str | None = None, allowed: list[str] | None = None,
+               default: list[str] | None = None, page_size: int = 50) -> DataFrame:
+    """O7 by seek: the page that follows the row ``after`` (its values of the ordering and the key; None: the first page).
+
+    Rows at or before that row are filtered out, so a task keeps ``page_size`` rows however deep the page lies.  Nulls come
+    first where the order ascends and last where it descends, as in ``list_entity``.
+    """
+    spec = _ordering(key, ordering, allowed, default)
+    d = _found(df, filters, search, search_cols)
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, down in spec:
+            col, value = F.col(name), after[name]
+            if value is None:
+                further = F.lit(False) if down else col.isNotNull()
+            else:
+                at = F.lit(value).cast(df.schema[name].dataType)
+                further = (col < at) | col.isNull() if down else col > at
+            beyond = beyond | (same & F.coalesce(further, F.lit(False)))
+            same = same & col.eqNullSafe(F.lit(value).cast(df.schema[name].dataType))
+        d = d.filter(beyond)
+    return d.orderBy(*(F.col(name).desc() if down else F.col(name).asc() for name, down in spec)).limit(page_size)
+
+
+def last_row(page: DataFrame, *, key: str, ordering: str | None = None, default: list[str] | None = None) -> dict | None:
+    """The mark of a page for ``list_after``: its last row's values (a page is bounded by its size)."""
+    rows = page.select(*(name for name, _ in _ordering(key, ordering, None, default))).collect()
+    return rows[-1].asDict() if rows else None
+
+
+def seek_page(df: DataFrame, *, page: int, key: str, **options) -> DataFrame:
+    """Page ``page`` by seeking from page to page."""
+    after = None
+    marks = {k: options.get(k) for k in ("ordering", "default")}
+    for _ in range(page - 1):
+        after = last_row(list_after(df, after, key=key, **options), key=key, **marks)
+        if after is None:
+            return df.limit(0)
+    return list_after(df, after, key=key, **options)
+
+
 def ranked_page(page: DataFrame, risk: DataFrame, *, order: list[Column]) -> DataFrame:
     """E5: add ``rank_percentile`` (W1 per model and version over all of ``risk``) to one page.
 

@@ -168,6 +168,19 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 WHERE l_returnflag = 'A' AND l_partkey % 9 = 0
 """
 
+# Dated contract terms of a customer, several in a row: the contracts view has one contract per customer.
+CONTRACT_TERMS_SQL = """
+SELECT
+  o_orderkey                                            AS contract_id,
+  o_custkey                                             AS customer_id,
+  cast(o_orderdate AS date)                             AS start_date,
+  cast(o_orderdate AS date) + cast(60 + 30 * (o_orderkey % 9) AS int) AS end_date,
+  o_orderkey % 4 = 0                                    AS auto_renew,
+  o_orderkey % 50 = 7                                   AS is_deleted
+FROM {orders}
+WHERE o_orderkey % 3 = 0
+"""
+
 VIEWS = {
     "customers": CUSTOMERS_SQL,
     "contracts": CONTRACTS_SQL,
@@ -214,6 +227,11 @@ class Billing:
     as_of: _dt.date
 
 
+def contract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dated contract terms."""
+    return spark.sql(CONTRACT_TERMS_SQL, orders=tables.read(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"]))
+
+
 def billing_views(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) -> Billing:
     raw = {t: tables.read(spark, sf_dir, t, cols) for t, cols in _RAW_COLS.items()}
     lit = as_of_literal(as_of)
