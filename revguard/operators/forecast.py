@@ -12,9 +12,9 @@ Two fitters:
 * ``fit_trend`` (T2a): least-squares line on the month index per series
   (``regr_slope`` / ``regr_intercept``), 90 % band = yhat +- 1.645 sigma of the
   training residuals.  Pure SQL aggregates, checked by the oracle.
-* ``fit_additive`` (T2b): ``applyInPandas`` per series, numpy ridge on a
-  piecewise-linear trend (hinges) times (1 + yearly Fourier season): a small
-  additive-trend / multiplicative-season model fitted in the executors.
+* ``fit_additive`` (T2b): ``applyInPandas`` per series, a piecewise-linear trend
+  with sparse slope changes (``changepoints``) times (1 + yearly Fourier season),
+  fitted in the executors; its band widens with the distance into the future.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revguard.functions import exprs as X
+from revguard.operators import changepoints
 
 # Series measures, anomaly cut-off, horizon / back-test length and
 # the rolling-origin schedule in months (~548 / 91 / 182 days).
@@ -147,7 +148,7 @@ def summary(bt: DataFrame, cv: DataFrame | None = None) -> DataFrame:
 
 def forecast_rows(bt: DataFrame, *, model_name: str = "trend", model_version: str = "v1",
                   threshold_pct: float = ANOMALY_THRESHOLD_PCT) -> DataFrame:
-    """T6 record shape: money rounded to cents as decimals, 4-column unique key."""
+    """T6 record shape: money rounded to cents as decimals, unique by model, version, metric, series and month."""
     money = lambda c: F.round(F.col(c).cast("decimal(20,4)"), 2).cast("decimal(16,2)")
     return bt.select(F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
                      "metric", "series_key", "period_month", money("yhat").alias("forecasted_value"),
@@ -161,7 +162,7 @@ _ADD_SCHEMA = ("series_key string, metric string, ds date, yhat double, yhat_low
                "yhat_upper double")
 
 
-def _additive_fit(horizon: int, backtest: int, n_changepoints: int, fourier: int, ridge: float):
+def _additive_fit(horizon: int, backtest: int, n_changepoints: int, fourier: int, ridge: float, tau: float):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t_all = pdf["t"].to_numpy(dtype=float)
@@ -169,13 +170,6 @@ def _additive_fit(horizon: int, backtest: int, n_changepoints: int, fourier: int
         n_train = max(len(pdf) - backtest, 2)
         t_tr, y_tr = t_all[:n_train], y_all[:n_train]
         t_out = np.arange(t_all[0], t_all[-1] + horizon + 1, dtype=float)
-        t0, span = t_tr[0], max(t_tr[-1] - t_tr[0], 1.0)
-        cps = t0 + span * np.linspace(0, 0.8, n_changepoints + 2)[1:-1]
-
-        def trend_x(t):
-            u = (t - t0) / span
-            hinges = [np.maximum(0.0, (t - c) / span) for c in cps]
-            return np.column_stack([np.ones_like(u), u, *hinges])
 
         def season_x(t):
             m = np.mod(t, 12.0)
@@ -190,26 +184,26 @@ def _additive_fit(horizon: int, backtest: int, n_changepoints: int, fourier: int
             return np.linalg.solve(a.T @ a + reg, a.T @ b)
 
         scale = max(np.abs(y_tr).mean(), 1.0)
-        bt = ridge_fit(trend_x(t_tr), y_tr / scale)                   # trend
-        tr_tr = trend_x(t_tr) @ bt
+        trend = changepoints.fit(t_tr, y_tr / scale, n_changepoints, tau)
+        tr_tr = trend.value(t_tr)
         xs = season_x(t_tr) * tr_tr[:, None]                           # multiplicative season
         bs = ridge_fit(np.column_stack([np.ones(len(t_tr)), xs]), y_tr / scale - tr_tr)
-        tr_out = trend_x(t_out) @ bt
+        tr_out = trend.value(t_out)
         yhat = (tr_out + np.column_stack([np.ones(len(t_out)), season_x(t_out) * tr_out[:, None]]) @ bs) * scale
         fit_tr = (tr_tr + np.column_stack([np.ones(len(t_tr)), xs]) @ bs) * scale
         sigma = float(np.std(y_tr - fit_tr, ddof=1)) if len(t_tr) > 1 else 0.0
+        half = Z90 * np.sqrt(sigma ** 2 + (scale * trend.future_sd(t_out)) ** 2)
         years, months = np.divmod(t_out.astype(int), 12)
         ds = pd.to_datetime({"year": years, "month": months + 1, "day": 1}).dt.date
         return pd.DataFrame({"series_key": pdf["series_key"].iloc[0], "metric": pdf["metric"].iloc[0],
-                             "ds": ds, "yhat": yhat, "yhat_lower": yhat - Z90 * sigma,
-                             "yhat_upper": yhat + Z90 * sigma})
+                             "ds": ds, "yhat": yhat, "yhat_lower": yhat - half, "yhat_upper": yhat + half})
     return fit
 
 
 def fit_additive(series: DataFrame, *, horizon: int = HORIZON_MONTHS, backtest: int = BACKTEST_MONTHS,
-                 n_changepoints: int = 5, fourier: int = 3, ridge: float = 1e-3) -> DataFrame:
+                 n_changepoints: int = 12, fourier: int = 3, ridge: float = 1e-3, tau: float = 0.05) -> DataFrame:
     """Per-series trend x season model fitted in ``applyInPandas`` (one group = one series)."""
-    fn = _additive_fit(horizon, backtest, n_changepoints, fourier, ridge)
+    fn = _additive_fit(horizon, backtest, n_changepoints, fourier, ridge, tau)
     return series.select("series_key", "metric", "t", "y").groupBy("series_key") \
         .applyInPandas(fn, schema=_ADD_SCHEMA)
 
