@@ -82,19 +82,22 @@ def percent_rank(df: DataFrame, score: str, *, partition_cols: list[str] | None
     names = [f"_k{i}" for i in range(len(keys))]
     ranks = cut_lineage(percent_rank_keys(df, score, partition_cols=partition_cols, out=out,
                                           num_partitions=num_partitions, count_out="_cnt"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     # A key with more rows than a partition's share: at most one per partition, so these are few enough to broadcast.
-    # Their rows are salted over all partitions and their ranks repeated for each salt.
+    # Its rows are dealt to as many salts as it fills shares, and its rank is repeated for each.
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = (ranks.agg(F.sum("_cnt")).first()[0] or 0) / parts
-    is_hot = F.col("_cnt") > max(share, 1)
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    hot = ranks.where(is_hot).select(*[F.col(k).alias(f"_h{k}") for k in names], F.lit(True).alias("_hot"))
+    sizes = ranks.agg(F.sum("_cnt").alias("n"), F.max("_cnt").alias("most")).first()
+    share = max((sizes["n"] or 0) / parts, 1)
+    if (sizes["most"] or 0) <= share:
+        return df.join(ranks, same).drop(*names, "_cnt")
+    count = F.when(F.col("_cnt") > share, F.ceil(F.col("_cnt") / share)).otherwise(1).cast("int")
+    hot = ranks.where(F.col("_cnt") > share).select(*[F.col(k).alias(f"_h{k}") for k in names], count.alias("_salts"))
     same_hot = [F.col(k).eqNullSafe(F.col(f"_h{n}")) for k, n in zip(keys, names)]
-    salted = df.join(F.broadcast(hot), same_hot, "left").withColumn("_salt", F.when(
-        F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(F.lit(0)))
-    spread = ranks.withColumn("_rsalt", F.explode(salts))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)] + [F.col("_salt") == F.col("_rsalt")]
-    return salted.join(spread, same).drop(*names, *[f"_h{n}" for n in names], "_hot", "_salt", "_rsalt", "_cnt")
+    salted = df.join(F.broadcast(hot), same_hot, "left").withColumn("_salt", F.pmod(
+        F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int"))
+    spread = ranks.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), count - 1)))
+    return salted.join(spread, same + [F.col("_salt") == F.col("_rsalt")]).drop(
+        *names, *[f"_h{n}" for n in names], "_salts", "_salt", "_rsalt", "_cnt")
 
 
 def percent_rank_keys(df: DataFrame, score: str, *, partition_cols: list[str] | None = None,
