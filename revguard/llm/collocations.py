@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from revguard.llm.common import bounded_broadcast, pick, written
 
 #: Words of a chunk, but for a longer text.
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Distinct phrases of chunks, expected, that meet in one group.
 GROUP_ENTRIES = 3_000_000
 #: Bytes of text that are split into words at a time.
@@ -44,19 +44,22 @@ RANK_SALTS = 64
 #: Bytes of a key beside its range.
 KEY_BYTES = 5
 
-PIECE_END = "[.,;:!?\x0a-\x0d]"
-GAP = "[\x20\x09]+"
+#: Letters as they count: A-Z in lower case, what ends a piece as a line feed, a tab as a space; UTF-8 keeps these bytes to them.
+SPACE, END = 0x20, 0x0A
+BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 CHUNK_TYPE = "chunk long, lang string, n long, vocabulary array<string>, codes binary"
 
 
-def _tokens(texts: pa.Array) -> pa.Array:
-    """All words of some texts in order, with a line feed where a piece ends."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    spaced = pc.replace_substring_regex(low, PIECE_END, " \n ")
-    ended = pc.binary_join_element_wise(spaced, pa.scalar("\n", pa.large_string()), pa.scalar(" ", pa.large_string()))
-    words = pc.split_pattern_regex(ended, GAP).flatten()
-    return words.filter(pc.not_equal(words, ""))
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts in order, and the number of the piece that each is in."""
+    raw = np.frombuffer(b"\n".join(pc.fill_null(texts.cast(pa.binary()), b"").to_pylist()).translate(BYTES), np.uint8)
+    inside = (raw != SPACE) & (raw != END)
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(raw[inside]))
+    return words, np.searchsorted(np.flatnonzero(raw == END), first)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -70,15 +73,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def _chunk(chunk: int, lang: str, tokens: list[pa.Array]) -> dict:
-    coded = pa.chunked_array(tokens, pa.large_string()).combine_chunks().dictionary_encode()
-    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int32)
-    end = pc.index(words, "\n").as_py()  # every text ends with a break
-    to = np.arange(len(words), dtype=np.int32) - (np.arange(len(words)) > end)
-    to[end] = -1
-    codes = to[codes]
-    return {"chunk": chunk, "lang": lang, "n": int((codes >= 0).sum()),
-            "vocabulary": words.filter(pc.not_equal(words, "\n")).to_pylist(), "codes": codes.astype("<i4").tobytes()}
+def _chunk(chunk: int, lang: str, tokens: list[tuple[pa.Array, np.ndarray]]) -> dict:
+    coded = pa.concat_arrays([words for words, _ in tokens]).dictionary_encode()
+    codes = coded.indices.to_numpy().astype("<i4")
+    piece = np.concatenate([p + i * (1 << 40) for i, (_, p) in enumerate(tokens)])
+    ends = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+    return {"chunk": chunk, "lang": lang, "n": len(codes), "vocabulary": coded.dictionary.cast(pa.string()),
+            "codes": np.insert(codes, ends, -1).tobytes()}
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
@@ -88,25 +89,31 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, done = TaskContext.get().partitionId() << 32, 0
-        held: dict[str, list[pa.Array]] = {}
+        held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
         size: dict[str, int] = {}
 
         def close(lang: str) -> pa.RecordBatch:
             nonlocal done
             done += 1
             size.pop(lang)
-            return pa.RecordBatch.from_pylist([_chunk(first + done - 1, lang, held.pop(lang))], schema=schema)
+            c = _chunk(first + done - 1, lang, held.pop(lang))
+            words = pa.ListArray.from_arrays(pa.array([0, len(c["vocabulary"])], pa.int32()), c["vocabulary"])
+            return pa.RecordBatch.from_arrays([pa.array([c["chunk"]], pa.int64()), pa.array([lang], pa.string()),
+                                               pa.array([c["n"]], pa.int64()), words, pa.array([c["codes"]], pa.binary())],
+                                              schema=schema)
 
         for batch in batches:
             langs, texts = batch.column(0), batch.column(1)
             for lang in pc.unique(langs).to_pylist():
                 own = texts.filter(pc.equal(langs, lang))
                 for a, b in _slices(own):
-                    words = _tokens(own.take(pa.array(range(a, b), pa.int64())))  # a copy: ascii_lower misreads slices
-                    if size.get(lang, 0) and size[lang] + len(words) > CHUNK_WORDS:
+                    words = _tokens(own.slice(a, b - a))
+                    n = len(words[0])
+                    if size.get(lang) and size[lang] + n > CHUNK_WORDS:
                         yield close(lang)
-                    held.setdefault(lang, []).append(words)
-                    size[lang] = size.get(lang, 0) + len(words)
+                    if n:
+                        held.setdefault(lang, []).append(words)
+                        size[lang] = size.get(lang, 0) + n
             while sum(size.values()) > 2 * CHUNK_WORDS:  # many languages in one task
                 yield close(max(size, key=size.get))
         for lang in list(held):
@@ -126,26 +133,28 @@ def phrases_of(codes: np.ndarray, max_words: int) -> list[tuple[np.ndarray, np.n
     """For each length up to ``max_words``: the distinct phrases of a chunk (a row of word numbers each) and their counts."""
     out = []
     whole, ids = codes >= 0, codes.astype(np.int64)
-    width = np.int64(codes.max() + 1 if len(codes) else 1)
-    at = np.flatnonzero(whole)
-    names, n = np.unique(ids[at], return_counts=True)
-    out.append((names[:, None], n))
-    rank = np.full(len(codes), -1, np.int64)  # of the phrase that starts at a place, among those of its length
-    rank[at] = np.searchsorted(names, ids[at])
+    width = int(codes.max()) + 1 if len(codes) else 1  # a chunk's vocabulary: every number occurs
+    out.append((np.arange(width)[:, None] if whole.any() else np.zeros((0, 1), np.int64),
+                np.bincount(ids[whole], minlength=width if whole.any() else 0)))
+    rank = ids  # of the phrase that starts at a place, among those of its length; -1 for none
     for k in range(2, max_words + 1):
-        stop = len(codes) - k + 1
-        at = np.flatnonzero((rank[:max(stop, 0)] >= 0) & whole[k - 1:]) if stop > 0 else np.zeros(0, np.int64)
+        stop = max(len(codes) - k + 1, 0)
+        at = np.flatnonzero((rank[:stop] >= 0) & whole[k - 1:]) if stop else np.zeros(0, np.int64)
         key = rank[at] * width + ids[at + k - 1]
-        found, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        out.append((np.stack([ids[at[first] + j] for j in range(k)], axis=1) if len(found) else np.zeros((0, k), np.int64), n))
+        order = np.argsort(key)
+        found = key[order]
+        new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(found)))
+        first = at[order[new]]
+        out.append((np.stack([ids[first + j] for j in range(k)], axis=1), n))
         rank = np.full(len(codes), -1, np.int64)
-        rank[at] = inverse
+        rank[at[order]] = np.repeat(np.arange(len(n)), n)
     return out
 
 
-def _keyed(vocabulary: list[str], codes: np.ndarray, max_words: int, ranges: int) -> tuple:
+def _keyed(vocabulary: pa.Array, codes: np.ndarray, max_words: int, ranges: int) -> tuple:
     """Phrases of a chunk with their range, key and count, and the order by range and key."""
-    hashed = pd.util.hash_array(np.array(vocabulary, dtype=object)) if vocabulary else np.zeros(0, np.uint64)
+    hashed = pd.util.hash_array(vocabulary.to_numpy(zero_copy_only=False)) if len(vocabulary) else np.zeros(0, np.uint64)
     levels = phrases_of(codes, max_words)
     keys, counts = [], []
     for words, n in levels:
@@ -157,7 +166,18 @@ def _keyed(vocabulary: list[str], codes: np.ndarray, max_words: int, ranges: int
     key, count = np.concatenate(keys), np.concatenate(counts)
     part = (key >> np.uint64(8 * KEY_BYTES)) % np.uint64(ranges)
     key = key & np.uint64((1 << 8 * KEY_BYTES) - 1)
-    return levels, part.astype(np.int64), key, count, np.lexsort((key, part))
+    # places of equal keys are in no order, but in the same one each time
+    return levels, part.astype(np.int64), key, count, np.argsort(part << np.uint64(8 * KEY_BYTES) | key, kind="stable")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list]:
+    """One chunk at a time: plain values, its vocabulary as an array and its codes."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+        for i in range(batch.num_rows):
+            row = [c[i] for c in columns]
+            yield [x.values if n == "vocabulary" else np.frombuffer(x.as_buffer(), "<i4") if n == "codes" else x.as_py()
+                   for n, x in zip(names, row)]
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -177,20 +197,20 @@ def _count_kind(min_count: int) -> str:
 def _send(max_words: int, min_count: int):
     """Chunks to blocks of keys and counts; counts beyond ``min_count`` decide nothing and are cut to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, lang, ranges, shard, need, words, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                _, part, key, count, order = _keyed(words, np.frombuffer(blob, "<i4"), max_words, ranges)
-                part, key = part[order], key[order]
-                count = np.minimum(count[order], min_count).astype(_count_kind(min_count))
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                ends = np.append(cut[1:], len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(cut), pa.string()), pa.array(part[cut].astype(np.int32)),
-                     pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), shard, np.int32)),
-                     pa.array([need] * len(cut), pa.list_(pa.int64())),
-                     pa.array([_pack_keys(key[a:b]) for a, b in zip(cut, ends)], pa.binary()),
-                     pa.array([count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
-                    names=["lang", "part", "chunk", "shard", "need", "keys", "counts"])
+        for chunk, lang, ranges, shard, need, words, codes in _rows(
+                batches, ["chunk", "lang", "ranges", "shard", "need", "vocabulary", "codes"]):
+            _, part, key, count, order = _keyed(words, codes, max_words, ranges)
+            part, key = part[order], key[order]
+            count = np.minimum(count[order], min_count).astype(_count_kind(min_count))
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(cut[1:], len(part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(cut), pa.string()), pa.array(part[cut].astype(np.int32)),
+                 pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), shard, np.int32)),
+                 pa.array([need] * len(cut), pa.list_(pa.int64())),
+                 pa.array([_pack_keys(key[a:b]) for a, b in zip(cut, ends)], pa.binary()),
+                 pa.array([count[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
+                names=["lang", "part", "chunk", "shard", "need", "keys", "counts"])
     return run
 
 
@@ -224,25 +244,25 @@ def _mine(min_count: int):
 def _spell(max_words: int):
     """Chunks with the bits of all their ranges to their candidates as text, with exact counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, ranges, words, blob, back in zip(*(c.to_pylist() for c in batch.columns)):
-                levels, part, _, _, order = _keyed(words, np.frombuffer(blob, "<i4"), max_words, ranges)
-                size = np.bincount(part, minlength=ranges)
-                bits = {b["part"]: b["bits"] for b in back}
-                wanted = np.zeros(len(part), bool)
+        for lang, ranges, words, codes, back in _rows(batches, ["lang", "ranges", "vocabulary", "codes", "back"]):
+            levels, part, _, _, order = _keyed(words, codes, max_words, ranges)
+            size = np.bincount(part, minlength=ranges)
+            bits = {b["part"]: b["bits"] for b in back}
+            wanted = np.zeros(len(part), bool)
+            if len(part):
                 wanted[order] = np.concatenate([
                     np.unpackbits(np.frombuffer(bits[p], np.uint8), count=int(size[p])).astype(bool)
-                    for p in np.flatnonzero(size).tolist()]) if len(part) else wanted
-                names, at = pa.array(words, pa.string()), 0
-                for rows, n in levels:
-                    mine = wanted[at: at + len(n)]
-                    at += len(n)
-                    if mine.any():
-                        cols = [names.take(pa.array(c)) for c in rows[mine].T]
-                        text = cols[0] if len(cols) == 1 else pc.binary_join_element_wise(*cols, " ")
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(text), pa.string()), pa.array(np.full(len(text), rows.shape[1], np.int32)),
-                             text, pa.array(n[mine].astype(np.int64))], names=["lang", "words", "phrase", "n"])
+                    for p in np.flatnonzero(size).tolist()])
+            at = 0
+            for rows, n in levels:
+                mine = wanted[at: at + len(n)]
+                at += len(n)
+                if mine.any():
+                    cols = [words.take(pa.array(c)) for c in rows[mine].T]
+                    text = cols[0] if len(cols) == 1 else pc.binary_join_element_wise(*cols, " ")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(text), pa.string()), pa.array(np.full(len(text), rows.shape[1], np.int32)),
+                         text, pa.array(n[mine].astype(np.int64))], names=["lang", "words", "phrase", "n"])
     return run
 
 
