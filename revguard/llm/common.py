@@ -59,16 +59,17 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFram
     """``rows`` joined to ``table`` (materialised, each key once, ``n`` rows of it in ``rows``) on ``key``.
 
     Keys with more rows than a partition's share, of which there are at most as many as partitions, are salted: their
-    rows go to all partitions and their entry is repeated for each salt.
+    rows are dealt to as many salts as they fill shares, and their entry is repeated for each, so all repeated entries
+    together are at most twice as many as partitions.
     """
     parts = shuffle_width(rows.sparkSession)
-    share = (table.agg(F.sum(n)).first()[0] or 0) / parts
-    is_hot = F.col(n) > max(share, 1)
-    hot = table.where(is_hot).select(F.col(key).alias("__hot"))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    salted = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left").withColumn("__salt", F.when(
-        F.col("__hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
-    return salted.join(table.withColumn("__salt", F.explode(salts)), [key, "__salt"]).drop("__hot", "__salt")
+    share = max((table.agg(F.sum(n)).first()[0] or 0) / parts, 1)
+    count = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("int")
+    hot = table.where(F.col(n) > share).select(F.col(key).alias("__hot"), count.alias("__salts"))
+    salted = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left").withColumn("__salt", F.pmod(
+        F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int"))
+    spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), count - 1)))
+    return salted.join(spread, [key, "__salt"]).drop("__hot", "__salts", "__salt")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -15,7 +15,8 @@ is grouped by document and item, so one item that very many documents quote is
 spread like any other.
 
 Defined cases: a null or empty text has no words; items under ``MIN_MATCH``
-words have no seeds and match nothing; a null doc_id stays null; rows that are
+words have no seeds and match nothing; items without item_id, and several of one
+item_id, are tiled by their texts; a null doc_id stays null; rows that are
 alike in doc_id and text give one result; an empty documents or benchmark table
 gives an empty result; other columns are ignored (``clean_rows`` returns them).
 """
@@ -39,7 +40,7 @@ BROADCAST_SEEDS = 2_000_000
 CHUNK_CHARS = 1 << 21
 WORD = re.compile(r"[^\W_]+")
 MULTIPLIER = 0xD1342543DE82EF95
-SEED_COLUMNS = "did long, null_id boolean, th int, at int, seed long, gram string"
+SEED_COLUMNS = "did long, null_id boolean, th long, at int, seed long, gram string"
 
 
 # --- words and seeds -----------------------------------------------------------------------------
@@ -76,21 +77,23 @@ def seeds(texts: list[str | None], k: int = MIN_MATCH) -> Iterator[tuple]:
 
 
 def item_seeds(benchmark: DataFrame, k: int = MIN_MATCH) -> DataFrame:
-    """seed, gram, item_id, item_words, item_at of every run of ``k`` words of every item."""
+    """seed, gram, item_id, item_key, item_words, item_at of every run of ``k`` words of every item.
+
+    ``item_key`` is a digest of the item's text, so that items without item_id, or with the same, are told apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every_id = batch.column(0).to_pylist()
-            for items, text, at, seed, first in seeds(batch.column(1).to_pylist(), k):
-                ids = every_id[first:]
+            every_id, every_key = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for items, text, at, seed, first in seeds(batch.column(2).to_pylist(), k):
+                ids, keys = every_id[first:], every_key[first:]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seed.view(np.int64)),
                      pa.array([" ".join(items[t][a: a + k]) for t, a in zip(text, at)], pa.string()),
-                     pa.array([ids[t] for t in text], pa.int64()),
+                     pa.array([ids[t] for t in text], pa.int64()), pa.array([keys[t] for t in text], pa.int64()),
                      pa.array([len(items[t]) for t in text], pa.int32()), pa.array(at.astype(np.int32))],
-                    names=["seed", "gram", "item_id", "item_words", "item_at"])
-    source = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), "text").where(
-        "item_id is not null")
-    return source.mapInArrow(run, "seed long, gram string, item_id long, item_words int, item_at int")
+                    names=["seed", "gram", "item_id", "item_key", "item_words", "item_at"])
+    source = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    return source.mapInArrow(run, "seed long, gram string, item_id long, item_key long, item_words int, item_at int")
 
 
 def _document_seeds(wanted: np.ndarray | None, k: int):
@@ -121,7 +124,7 @@ def _document_seeds(wanted: np.ndarray | None, k: int):
 def _keyed(docs: DataFrame) -> DataFrame:
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return own.select(F.coalesce("doc_id", F.lit(0)).alias("did"), F.col("doc_id").isNull().alias("null_id"),
-                      F.hash("text").alias("th"), "text")
+                      F.xxhash64("text").alias("th"), "text")
 
 
 def shared_seeds(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH,
@@ -179,16 +182,16 @@ def tiled(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, broadcast_s
         found = tiles(pairs[0], pairs[1], k)
         covered = sum(n for _, _, n in found)
         words_ = table.column("item_words")[0].as_py()
-        key = [table.column(x)[0].as_py() for x in ("did", "null_id", "th", "item_id")]
+        key = [table.column(x)[0].as_py() for x in ("did", "null_id", "th", "item_id")]  # and item_key
         return pa.table({
-            "doc_id": pa.array([None if key[1] else key[0]], pa.int64()), "th": pa.array([key[2]], pa.int32()),
+            "doc_id": pa.array([None if key[1] else key[0]], pa.int64()), "th": pa.array([key[2]], pa.int64()),
             "item_id": pa.array([key[3]], pa.int64()), "item_words": pa.array([words_], pa.int64()),
             "covered_words": pa.array([covered], pa.int64()), "n_tiles": pa.array([len(found)], pa.int64()),
             "longest_tile": pa.array([max(n for _, _, n in found)], pa.int64()),
             "coverage": pa.array([covered / words_], pa.float64())})
 
-    return (shared_seeds(docs, benchmark, k, broadcast_seeds).groupBy("did", "null_id", "th", "item_id")
-            .applyInArrow(run, "doc_id long, th int, item_id long, item_words long, covered_words long, "
+    return (shared_seeds(docs, benchmark, k, broadcast_seeds).groupBy("did", "null_id", "th", "item_id", "item_key")
+            .applyInArrow(run, "doc_id long, th long, item_id long, item_words long, covered_words long, "
                                "n_tiles long, longest_tile long, coverage double"))
 
 
@@ -203,5 +206,5 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_
     bad = cut_lineage(contaminated(docs, benchmark, min_coverage).select(
         F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")).distinct()).hint("shuffle_hash")
     same = docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (
-        F.hash(F.coalesce(docs["text"], F.lit(""))) == F.col("__bad_th"))
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__bad_th"))
     return docs.join(bad, same, "left_anti")

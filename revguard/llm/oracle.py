@@ -221,11 +221,15 @@ seen AS (SELECT random, pair, COUNT(*) AS c FROM (
     SELECT random, substr(s, i, 2) AS pair FROM (SELECT random, s, unnest(range(1, length(s))) AS i FROM strings))
   WHERE regexp_full_match(pair, '[{letters}]{{2}}') GROUP BY ALL),
 al AS (SELECT unnest(string_split('{S.ALPHABET}', '')) AS l),
+made AS (SELECT pair, SUM({float(S.GENERATED_PAIRS)!r} / (k * k)) AS c FROM (
+    SELECT x || unnest(m) AS pair, len(m) AS k FROM (SELECT m, unnest(m) AS x FROM (
+        SELECT string_split(unnest({S.GENERATED!r}), '') AS m))) GROUP BY pair),
 weight AS (SELECT a.l || b.l AS pair,
-    ln((COALESCE(p.c, 0) + {S.SMOOTHING}) / (SUM(COALESCE(p.c, 0)) OVER (PARTITION BY a.l) + {S.SMOOTHING * n})
+    ln((COALESCE(p.c, 0) + COALESCE(g.c, 0) + {S.SMOOTHING})
+       / (SUM(COALESCE(p.c, 0) + COALESCE(g.c, 0)) OVER (PARTITION BY a.l) + {S.SMOOTHING * n})
      / ((COALESCE(q.c, 0) + {S.SMOOTHING}) / (SUM(COALESCE(q.c, 0)) OVER (PARTITION BY a.l) + {S.SMOOTHING * n}))) AS v
   FROM al a CROSS JOIN al b LEFT JOIN seen p ON p.random AND p.pair = a.l || b.l
-  LEFT JOIN seen q ON NOT q.random AND q.pair = a.l || b.l),
+  LEFT JOIN seen q ON NOT q.random AND q.pair = a.l || b.l LEFT JOIN made g ON g.pair = a.l || b.l),
 cand AS ({_matches("markov", 3, S.CANDIDATE)}),
 scored AS (SELECT r, start, SUM(v) AS llr FROM (
     SELECT r, start, substr(lower(m), i, 2) AS pair FROM (SELECT r, start, m, unnest(range(1, length(m))) AS i FROM cand))

@@ -9,13 +9,16 @@ a base span.
 
 The models are trained on a bounded, labelled sample: the documents with the
 ``SAMPLE_DOCS`` least hashes of doc_id.  What the base rules find there is
-random, the words of what is left are identifiers.  Letters are folded to lower
-case, so the models hold one number per pair of ``ALPHABET`` letters.  Scanning
+random, the words of what is left are identifiers.  To these random strings come
+generated ones of the usual makes (``GENERATED``), as the pair counts to expect
+of strings whose letters are drawn evenly, so a sample with few secrets, or with
+none, still gives a model of randomness.  Letters are folded to lower case, so
+the models hold one number per pair of ``ALPHABET`` letters.  Scanning
 covers every whole text.  Spans come from the lengths of matches and of what
 lies between them, so nothing leaves the JVM.
 
 Defined cases: a null text is empty and has no spans; a sample without secrets
-or without words leaves that model uniform; rows without doc_id are scanned but
+leaves the generated strings, one without words makes that model uniform; rows without doc_id are scanned but
 not trained on; repeated rows are scanned each; an empty table gives an empty
 result; other columns are ignored (``redacted`` returns them as they are, with
 text and, if there, n_chars replaced).
@@ -42,6 +45,11 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 SAMPLE_DOCS = 2000
 SMOOTHING = 0.5
+DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Letters of generated strings, one make each; a letter with two cases is in its make twice.
+GENERATED = [DIGITS, DIGITS + "abcdef", DIGITS + LETTERS + LETTERS, DIGITS + LETTERS + LETTERS + "+/", DIGITS + LETTERS + LETTERS + "-_"]
+#: Pairs of generated letters of each make.
+GENERATED_PAIRS = 5000
 MIN_LLR = math.log(1000)
 SPANS = "array<struct<start:int,rank:int,end:int>>"
 
@@ -103,6 +111,16 @@ def labelled_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFram
     return text.select(F.explode(both).alias("s")).select("s.string", "s.is_random")
 
 
+def generated_pairs() -> dict[str, float]:
+    """Expected counts of letter pairs in the generated strings."""
+    out: dict[str, float] = {}
+    for make in GENERATED:
+        for a in make:
+            for b in make:
+                out[a + b] = out.get(a + b, 0.) + GENERATED_PAIRS / len(make) ** 2
+    return out
+
+
 def train(sample: DataFrame) -> dict[str, float]:
     """Letter pair -> log-likelihood ratio, from labelled strings; at most one entry per pair of the alphabet."""
     folded = F.lower("string")
@@ -111,6 +129,8 @@ def train(sample: DataFrame) -> dict[str, float]:
     counts = (sample.select("is_random", F.explode(pairs).alias("pair")).groupBy("is_random", "pair").count()
               .where(F.col("pair").rlike(r"^[a-z0-9+/_=.-]{2}$")).collect())
     seen = {(r["is_random"], r["pair"]): r["count"] for r in counts}
+    for pair, n in generated_pairs().items():
+        seen[True, pair] = seen.get((True, pair), 0) + n
     out = {}
     for a in ALPHABET:
         totals = {k: sum(seen.get((k, a + b), 0) for b in ALPHABET) + SMOOTHING * len(ALPHABET) for k in (True, False)}

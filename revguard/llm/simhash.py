@@ -76,15 +76,20 @@ def fingerprints_of(texts: list[str | None], shingle_words: int = SHINGLE_WORDS)
 
 
 def with_fingerprint(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """doc_id, th (a digest of the text), fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints_of(batch.column(1).to_pylist(), shingle_words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = fingerprints_of(batch.column(2).to_pylist(), shingle_words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "th", "fp"])
 
-    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), _digest(F.col("text")).alias("th"), "text")
+    return source.mapInArrow(run, "doc_id long, th long, fp long")
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
 def _segments(fp: Column, segments: int) -> list[tuple[int, Column]]:
@@ -167,25 +172,29 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
 
 def clustered(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE,
               segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id reachable over links."""
+    """doc_id, th (a digest of the text), fp, root (the component's smallest fingerprint), component_id (the smallest doc_id
+    reachable over links) of every row."""
     rows = cut_lineage(with_fingerprint(docs, shingle_words))
     fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp"), max_distance, segments, dense).select("u", "v"))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = cut_lineage(named)
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(ids, "root"), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs`` with one row of each component: the one of its smallest doc_id, once if the row is repeated.
 
-    Rows without doc_id stay.
+    Of several texts that share that doc_id, the one with the smallest digest stays; texts of one doc_id in different
+    components are judged each.  Rows without doc_id stay.
     """
     found = cut_lineage(clustered(docs, shingle_words, max_distance))
-    ids = found.where("doc_id = component_id").groupBy("doc_id").count()
-    ids = ids.select(F.col("doc_id").alias("__kept_id"), F.col("count").alias("__kept_rows")).hint("shuffle_hash")
-    kept = docs.join(ids, docs["doc_id"] == F.col("__kept_id"), "left")
+    texts = found.where("doc_id = component_id").groupBy("doc_id", "root", "th").agg(F.count("*").alias("n"))
+    ids = texts.groupBy("doc_id", "root").agg(F.min(F.struct("th", "n")).alias("t")).select(
+        F.col("doc_id").alias("__kept_id"), F.col("t.th").alias("__kept_text"), F.col("t.n").alias("__kept_rows"))
+    same = (docs["doc_id"] == F.col("__kept_id")) & (_digest(docs["text"]) == F.col("__kept_text"))
+    kept = docs.join(ids.hint("shuffle_hash"), same, "left")
     once = kept.where("__kept_rows = 1 or doc_id is null").select(*docs.columns)
-    again = kept.where("__kept_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = kept.where("__kept_rows > 1").dropDuplicates(["doc_id", "__kept_text"]).select(*docs.columns)
     return once.unionByName(again)

@@ -382,22 +382,24 @@ def tied(source: DataFrame, make_rows, once_a_row: bool = False) -> DataFrame:
 # --- the operator --------------------------------------------------------------------------------
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a row's key (did, th), which repeated rows share."""
+    """doc_id, text and a row's key (did, th): 96 bits of two digests of both, which repeated rows share.
+
+    Among 10^12 different rows, two share a key with a probability below 10^-5.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text.alias("text"))
-    return source.select("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)).alias("did"),
-                         F.hash("text", F.col("doc_id").isNull()).alias("th"), "text")
+    no_id = F.col("doc_id").isNull()
+    return source.select("doc_id", F.xxhash64("text", "doc_id", no_id).alias("did"), F.hash("text", no_id).alias("th"), "text")
 
 
 def _compressed(keyed: DataFrame) -> DataFrame:
-    """The texts, compressed for the shuffle: did, th, null_id, z."""
+    """The texts, compressed for the shuffle: did, th, doc_id, z."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             z = pa.array([squeeze(x.encode()) for x in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["did", "th", "null_id", "z"])
-    source = keyed.select("did", "th", F.col("doc_id").isNull().alias("null_id"), "text")
-    return source.mapInArrow(run, "did long, th int, null_id boolean, z binary")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], names=["did", "th", "doc_id", "z"])
+    return keyed.select("did", "th", "doc_id", "text").mapInArrow(run, "did long, th int, doc_id long, z binary")
 
 
 def _by_doc(rows: DataFrame, value: Column) -> DataFrame:
@@ -453,7 +455,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids, size, gone, kept = [], [], [], []
-            for did, null_id, z, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, z, found in zip(*(c.to_pylist() for c in batch.columns)):
                 text = expand(z)
                 merged: list[list[int]] = []
                 for lo, hi in sorted((p["lo"], p["hi"]) for p in found or ()):
@@ -466,7 +468,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                     parts.append(text[at:lo])
                     at = hi
                 parts.append(text[at:])
-                ids.append(None if null_id else did)
+                ids.append(doc_id)
                 size.append(len(text))
                 gone.append([{"start": a, "end": b} for a, b in merged])
                 kept.append(b"".join(parts))
@@ -476,5 +478,5 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR,
                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = _compressed(_keyed(docs)).join(_by_doc(spans, F.struct("lo", "hi")), ["did", "th"], "left")
-    return joined.select("did", "null_id", "z", "places").mapInArrow(
+    return joined.select("doc_id", "z", "places").mapInArrow(
         remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

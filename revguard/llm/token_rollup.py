@@ -11,8 +11,8 @@ the batches up to a number into a base that later reads begin from.
 
 Defined cases: a null text has no tokens; null source and language are groups of
 their own; a change that is null before and after counts nothing; repeated rows
-count each; groups whose documents are all gone vanish; an empty batch commits
-nothing and an empty store gives an empty result; other columns are ignored.
+count each; groups whose documents are all gone vanish; an empty batch replaces
+an earlier one of its number and an empty store gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +49,17 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 def commit(changes: DataFrame, store: str, batch_id: int) -> None:
-    """Makes ``changes`` batch ``batch_id`` of the store, in place of any earlier commit of that batch."""
-    (deltas(changes).withColumn("batch_id", F.lit(batch_id).cast("long")).coalesce(1)
+    """Makes ``changes`` batch ``batch_id`` of the store, in place of any earlier commit of that batch.
+
+    A batch without changes is written as one row of zeros, so that it replaces what was there.  A number that a base has
+    already folded in is an error: its rows would never be read.
+    """
+    spark = changes.sparkSession
+    folded = _read(spark, f"{store}/base").agg(F.max("batch_id")).first()[0]
+    if folded is not None and batch_id <= folded:
+        raise ValueError(f"batch {batch_id} comes late: all batches up to {folded} are folded into the base")
+    nothing = spark.createDataFrame([(None, None, None, 0, 0)], SUMS)
+    (deltas(changes).unionByName(nothing).withColumn("batch_id", F.lit(batch_id).cast("long")).coalesce(1)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
      .parquet(f"{store}/deltas"))
 

@@ -212,4 +212,5 @@ def test_secrets_odd_and_empty(spark):
     assert rows[10].text.count("[SECRET]") == 2 and rows[10].n_chars == len(rows[10].text)
     assert all(tuple(rows[i]) == before[i] for i in (0, 2, 3, 4, 6, 7, 8))
     assert s.redacted(no_docs(spark)).collect() == []
-    assert s.train(s.labelled_sample(no_docs(spark)))["ab"] == 0
+    untaught = s.train(s.labelled_sample(no_docs(spark)))  # generated strings against evenly spread pairs
+    assert untaught["12"] > untaught["ab"] > untaught["=="]
