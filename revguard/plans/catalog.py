@@ -7,6 +7,7 @@ columns that the oracle cannot hash); money is cast to double last.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +84,8 @@ QUERIES.update({
     "lc2_no_invoice_gaps": _b(lifecycle.no_invoice_gaps),
     "lc3_zero_revenue_months": _b(lifecycle.zero_revenue_months),
     "lc4_contract_mismatches": _b(lifecycle.contract_mismatches),
+    "lc4_contract_term_mismatches": lambda spark, sf_dir: flat(lifecycle.contract_mismatches(dataclasses.replace(
+        billing_views(spark, sf_dir), contracts=contract_terms(spark, sf_dir)))),
     "lc5_contract_succession": lambda spark, sf_dir: flat(lifecycle.contract_succession(contract_terms(spark, sf_dir))),
     "lc6_missing_renewals": lambda spark, sf_dir: flat(lifecycle.missing_renewals(contract_terms(spark, sf_dir), AS_OF)),
 })
@@ -239,7 +242,7 @@ QUERIES.update({
         allowed=["leakage_amount", "severity"], page=3)[0])),
     "e3_alerts_search_page": _b(lambda b: entities.entity_page(
         "alerts", D.alert_details(rules.run_rules(b)).withColumn("source_ref", F.col("invoice_id")),
-        filters={"severity": "high"}, search="DAYS overdue", ordering="-leakage_amount", page=2)[0].drop("source_ref")),
+        filters={"severity": "critical"}, search="DAYS overdue", ordering="-leakage_amount", page=2)[0].drop("source_ref")),
     "e5_risk_page": _b(lambda b: D.ranked_page(D.list_entity(
         D.scores_view(b, _risk(b, False)).drop("top_features", "feature_snapshot"), key="invoice_id",
         filters={"risk_severity": "medium", "model_version": "v1"}, search="customer#",

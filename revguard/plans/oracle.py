@@ -217,6 +217,8 @@ ORACLE.update({
     "lc2_no_invoice_gaps": _q(NO_INVOICE),
     "lc3_zero_revenue_months": _q(ZERO_REVENUE),
     "lc4_contract_mismatches": _q(MISMATCH),
+    "lc4_contract_term_mismatches": _q(f", terms AS ({CONTRACT_TERMS_SQL.format(orders='orders')})" + MISMATCH.replace(
+        "contracts c", "terms c")),
     "lc5_contract_succession": SUCCESSION_ROWS,
     "lc6_missing_renewals": LAPSED,
 })
@@ -1120,4 +1122,4 @@ WHERE a.invoice_id IS NOT NULL"""),
 })
 
 ORACLE["e3_alerts_search_page"] = f"""SELECT * FROM ({ORACLE["d7_invoice_alerts"]}) a
-WHERE severity = 'high' AND lower(description) LIKE '%days overdue%' ORDER BY leakage_amount DESC, invoice_id LIMIT 50 OFFSET 50"""
+WHERE severity = 'critical' AND lower(description) LIKE '%days overdue%' ORDER BY leakage_amount DESC, invoice_id LIMIT 50 OFFSET 50"""
