@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revguard.llm.common import let, pick, shuffle_width, written
+from revguard.llm.common import bounded_broadcast, let, pick, shuffle_width, written
 
 #: Code points of a paragraph at most.
 MAX_PIECE = 256
@@ -34,8 +34,12 @@ LEAST_BITS = 4
 #: Tables that are peeled in turn in one attempt; what is left then counts as a failure.
 TURNS = 9
 TABLES = 3
+#: Ranges of documents per shuffle partition: several, so that tasks come out alike.
+RANGES_PER_TASK = 4
 #: Rows that are no cells: recovered digests, and the sizes of a pair; kinds of rows in all.
 FOUND, SIZES, KINDS = 3, 4, 8
+#: Numbers of failed pairs that may be broadcast; more are joined by shuffle.
+BROADCAST_FAILED = 1_000_000
 #: Digests keep so many bits, so that a digest and a kind of row fit into one number.
 DIGEST_BITS = 60
 
@@ -145,7 +149,7 @@ def differences(pairs: DataFrame, with_digests: bool = True) -> DataFrame:
         failed = out.where("n_stuck > 0").select("pair")
         if failed.isEmpty():
             return done
-        left, attempt = pairs.join(failed, "pair", "left_semi"), attempt + 1
+        left, attempt = pairs.join(bounded_broadcast(failed, BROADCAST_FAILED), "pair", "left_semi"), attempt + 1
 
 
 def likeness(n_left: Column, n_right: Column, only_left: Column, only_right: Column) -> Column:
@@ -160,18 +164,38 @@ def _edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - k), F.substring(after, F.lit(1), k))
 
 
+def _range_of(rows: DataFrame) -> Column:
+    """Number of the range that a row's (doc_id, h) lies in, by binary search among the ranges' first keys."""
+    n = RANGES_PER_TASK * shuffle_width(rows.sparkSession)
+    key = F.struct("doc_id", "h")
+    ranged = rows.select("doc_id", "h").repartitionByRange(n, F.asc_nulls_first("doc_id"), F.col("h"))
+    firsts = ranged.select(F.spark_partition_id().alias("part"), key.alias("k")).groupBy("part").agg(F.min("k").alias("k"))
+    kind = rows.schema["doc_id"].dataType
+    starts = [F.struct(F.lit(r["k"][0]).cast(kind).alias("doc_id"), F.lit(r["k"][1]).cast("long").alias("h"))
+              for r in firsts.orderBy("part").collect()][1:]  # at most one per range
+    if not starts:
+        return F.lit(0)
+
+    def search(k: Column) -> Column:
+        """The number of starts up to k: halves the step until it is one."""
+        steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(starts).bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= len(starts)) & (F.get(F.array(*starts), at + step - 1) <= k), at + step).otherwise(at))
+    return let(key, search)
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_chars, edited_sha256, and the digests own, edited and next of every document, written.
 
-    Documents are range-partitioned by doc_id and text; a document's next one is the next row of its range, and the last
-    row of a range, one per partition, is joined to the first row of the next range that has rows.
+    Documents are dealt out by ranges of doc_id and text hash; a document's next one is the next row of its range, and the
+    last row of a range is joined to the first row of the next range that has rows.  Texts move once.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     by = [F.asc_nulls_first("doc_id"), F.col("h"), F.col("text")]
-    ranged = rows.repartitionByRange(shuffle_width(spark), F.asc_nulls_first("doc_id"), F.col("h"))
+    dealt = rows.withColumn("part", _range_of(rows)).repartition(shuffle_width(spark), "part")
     w = Window.partitionBy("part").orderBy(*by)
-    own = ranged.withColumn("part", F.spark_partition_id()).withColumn("own", digests(F.col("text")))
+    own = dealt.withColumn("own", digests(F.col("text")))
     led = own.select("part", "doc_id", "text", "own", F.row_number().over(w).alias("place"),
                      F.lead("text").over(w).alias("after"), F.lead("own").over(w).alias("next"))
     is_first, is_last = F.col("place") == 1, F.col("after").isNull()
@@ -185,7 +209,7 @@ def versions(docs: DataFrame) -> DataFrame:
     table = written(with_edit(led).select(
         "part", row, "doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited_sha256", "own", "edited", "next",
         is_first.alias("is_first"), is_last.alias("is_last"), F.when(is_first | is_last, F.col("text")).alias("edge")), "versions")
-    parts = sorted(r["part"] for r in table.where("is_first").select("part").collect())  # at most one row per partition
+    parts = sorted(r["part"] for r in table.where("is_first").select("part").collect())  # at most one row per range
     if not parts:
         return table.select(*columns)
     following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
@@ -205,6 +229,6 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         *(F.col(c) for c in ("n_left", "n_right", "n_only_left", "n_only_right"))).alias("near"))
     both = near.groupBy(F.expr("pair div 2").alias("row")).agg(*(
         F.max(F.when(F.col("pair") % 2 == k, F.col("near"))).alias(c) for k, c in enumerate(("near_edited", "near_next"))))
-    return table.join(both, "row").select(
+    return table.join(both.hint("shuffle_hash"), "row").select(
         "doc_id", "n_chars", "edited_sha256", sketch_text("own").alias("fingerprint"),
         sketch_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
