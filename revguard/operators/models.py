@@ -141,10 +141,13 @@ def first_trees(model: PipelineModel, rounds: int) -> PipelineModel:
     *before, gbt = model.stages
     if rounds >= gbt.getNumTrees:
         return model
-    jvm, whole = SparkSession.getActiveSession().sparkContext._jvm, gbt._java_obj
-    cut = jvm.java.util.Arrays.copyOfRange
-    short = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        gbt.uid, cut(whole.trees(), 0, rounds), cut(whole.treeWeights(), 0, rounds)))
+    sc, whole = SparkSession.getActiveSession().sparkContext, gbt._java_obj
+    jvm, all_trees = sc._jvm, whole.trees()
+    trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = all_trees[i], float(gbt.treeWeights[i])
+    short = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(gbt.uid, trees, weights))
     short._resetUid(gbt.uid)
     for name in ("features", "prediction", "probability", "rawPrediction"):
         param = f"{name}Col"
