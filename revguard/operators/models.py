@@ -5,9 +5,8 @@
   weights sum to ``n``, so ``regParam = 1 / n`` gives the same optimum as
   ``C * sum_w(loss) + 1/2 |b|^2``.  Features are standardised first (L1).
 * Gradient-boosted trees with the positive class weighted by neg/pos, row and
-  feature subsampling, and early stopping on the validation AUC.  Spark's GBT
-  has no exact twin of the gamma / L1 / L2 penalties, so metrics are comparable,
-  not equal.
+  feature subsampling, gamma / L1 / L2 penalties and early stopping on the
+  validation AUC (``boosting``), as a ``pyspark.ml`` model.
 
 Class counts are one aggregate (one action) before fitting; the fits are
 distributed (``treeAggregate`` per iteration).
@@ -15,16 +14,14 @@ distributed (``treeAggregate`` per iteration).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revguard.operators import metrics
+from revguard.operators import boosting, metrics
 from revguard.session import cut_lineage
 
 
@@ -55,104 +52,16 @@ def train_logistic(train: DataFrame, cols: list[str], *, label: str = "label", c
     return pipe.fit(data)
 
 
-def staged_auc(model: PipelineModel, val: DataFrame, cols: list[str], label: str, bins: int = 4096) -> list[float]:
-    """Validation ROC-AUC after each boosting round, in round order.
-
-    Each task adds the trees up round by round for its rows and counts labels per
-    round and score bin (bounded by rounds x bins, not by rows); the counts are
-    summed, and the area per round comes from them.  Ties within a bin count half.
-    """
-    from revguard.operators import explain
-    arrays = explain._arrays(*explain.tree_table(model))
-    bc = val.sparkSession.sparkContext.broadcast(arrays)  # bounded by the model
-
-    def count(batches):
-        feat, thr, left, right, pred, roots, w = bc.value
-        seen = np.zeros((len(roots), bins, 2), np.int64)
-        for pdf in batches:
-            x, y = pdf[cols].to_numpy(dtype=float), pdf[label].to_numpy(dtype=int)
-            rows, margin = np.arange(len(x)), np.zeros(len(x))
-            for t, root in enumerate(roots):
-                cur = np.full(len(x), root)
-                while (feat[cur] >= 0).any():
-                    f = feat[cur]
-                    step = np.where(x[rows, np.where(f >= 0, f, 0)] <= thr[cur], left[cur], right[cur])
-                    cur = np.where(f >= 0, step, cur)
-                margin += pred[cur] * w[t]
-                at = np.minimum((bins / (1 + np.exp(-2 * margin))).astype(int), bins - 1)
-                seen[t] += np.bincount(at * 2 + y, minlength=2 * bins).reshape(bins, 2)
-        r, b = np.nonzero(seen.sum(2))
-        yield pd.DataFrame({"r": r, "b": b, "neg": seen[r, b, 0], "pos": seen[r, b, 1]})
-
-    counts = val.select(*cols, F.col(label).cast("int").alias(label)).mapInPandas(
-        count, "r long, b long, neg long, pos long").groupBy("r", "b").agg(F.sum("neg").alias("neg"),
-                                                                         F.sum("pos").alias("pos"))
-    per_round = Window.partitionBy("r")
-    above = F.sum("pos").over(per_round) - F.sum("pos").over(per_round.orderBy("b"))
-    areas = counts.withColumn("hit", F.col("neg") * (above + F.col("pos") * 0.5)).groupBy("r").agg(
-        F.try_divide(F.sum("hit"), F.sum("neg") * F.sum("pos")).alias("auc"))
-    found = {row["r"]: row["auc"] for row in areas.collect()}  # one row per round
-    return [found.get(r) or 0.5 for r in range(len(arrays[5]))]
-
-
-def best_round(aucs: list[float], patience: int) -> tuple[int, bool]:
-    """(rounds up to the best AUC, whether ``patience`` rounds without a better one were seen)."""
-    best = 0
-    for r, auc in enumerate(aucs):
-        if auc > aucs[best]:
-            best = r
-        elif r - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def train_gbt(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "label",
-              max_iter: int = 600, step: float = 0.05, depth: int = 6, subsample: float = 0.8,
-              col_sample: str = "0.8", min_instances: int = 5, patience: int = 40, first_rounds: int = 150,
-              max_bins: int = 64, seed: int = 42) -> PipelineModel:
-    """Boosted trees with neg/pos weighting; training stops after ``patience`` rounds without a better
-    validation AUC and keeps the rounds up to the best one.
-
-    Rounds depend only on those before them, so the fit runs ``first_rounds``, then up to four times as many, to
-    ``max_iter``, until the patience is used up, and the model is made of the first trees of that fit.
-    """
+def train_gbt(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "label", id_col: str = "invoice_id",
+              max_iter: int = 600, patience: int = 40, subsample: float = 0.8, col_sample: float = 0.8, max_bins: int = 64,
+              seed: int = 42, penalties: boosting.Penalties = boosting.Penalties()) -> PipelineModel:
+    """Second-order boosted trees with neg/pos weighting; training stops after ``patience`` rounds without a better
+    validation AUC and keeps the rounds up to the best one.  No round is trained twice."""
     n, p, _, _ = class_weights(train, label)
-    spw = (n - p) / p if p else 1.0
-    data = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(spw)).otherwise(F.lit(1.0)))
-
-    def fit(rounds: int) -> PipelineModel:
-        gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="_w", maxIter=rounds, stepSize=step,
-                            maxDepth=depth, subsamplingRate=subsample, featureSubsetStrategy=col_sample,
-                            minInstancesPerNode=min_instances, seed=seed, maxBins=max_bins)
-        gbt.setProbabilityCol("gbt_probability").setRawPredictionCol("gbt_raw").setPredictionCol("gbt_prediction")
-        return Pipeline(stages=[assembler(cols), gbt]).fit(data)
-
-    rounds = min(first_rounds, max_iter)
-    while True:
-        model = fit(rounds)
-        best, stopped = best_round(staged_auc(model, val, cols, label), patience)
-        if stopped or rounds >= max_iter:
-            return first_trees(model, best)
-        rounds = min(4 * rounds, max_iter)
-
-
-def first_trees(model: PipelineModel, rounds: int) -> PipelineModel:
-    """The pipeline with only the first ``rounds`` trees of its boosted-tree stage."""
-    *before, gbt = model.stages
-    if rounds >= gbt.getNumTrees:
-        return model
-    sc, whole = SparkSession.getActiveSession().sparkContext, gbt._java_obj
-    jvm, all_trees = sc._jvm, whole.trees()
-    trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = sc._gateway.new_array(jvm.double, rounds)
-    for i in range(rounds):
-        trees[i], weights[i] = all_trees[i], float(gbt.treeWeights[i])
-    short = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(gbt.uid, trees, weights))
-    short._resetUid(gbt.uid)
-    for name in ("features", "prediction", "probability", "rawPrediction"):
-        param = f"{name}Col"
-        getattr(short, f"set{param[0].upper()}{param[1:]}")(gbt.getOrDefault(param))
-    return PipelineModel([*before, short])
+    trees, edges, _ = boosting.fit(train, val, cols, label=label, id_col=id_col, rounds=max_iter, patience=patience,
+                                   pos_weight=(n - p) / p if p else 1.0, subsample=subsample, col_sample=col_sample,
+                                   max_bins=max_bins, seed=seed, penalties=penalties)
+    return boosting.as_model(trees, edges, cols, penalties)
 
 
 def positive_prob(model: PipelineModel, df: DataFrame, prob_col: str, out: str,

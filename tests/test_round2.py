@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revguard import session
 from revguard.functions import exprs as X
-from revguard.operators import models, rank
+from revguard.operators import boosting, models, rank
 
 
 def test_percent_rank_with_one_score_on_half_the_rows(spark):
@@ -52,9 +52,9 @@ def test_null_keys_spread_over_partitions(spark):
 
 
 def test_patience():
-    assert models.best_round([.5, .6, .7, .7, .69, .7], 3) == (3, True)
-    assert models.best_round([.5, .6, .7, .7, .69, .71], 3) == (6, False)
-    assert models.best_round([.5, .6, .55, .56], 40) == (2, False)
+    assert boosting.best_round([.5, .6, .7, .7, .69, .7], 3) == (3, True)
+    assert boosting.best_round([.5, .6, .7, .7, .69, .71], 3) == (6, False)
+    assert boosting.best_round([.5, .6, .55, .56], 40) == (2, False)
 
 
 def test_folds_are_stratified(spark):
