@@ -92,11 +92,12 @@ def link_targets(html: Column, url: Column) -> Column:
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest (action, host, path) that fits, as a struct (size, action, rule); null if none does."""
     if not rules:
-        return F.lit(None).cast("struct<size:int,action:string,rule:string>")
+        return F.lit(None).cast("struct<size:int,allows:boolean,action:string,rule:string>")
 
     def one(action: str, rule_host: str, rule_path: str) -> Column:
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        return F.when(fits, F.struct(F.lit(len(rule_host + rule_path)).alias("size"), F.lit(action).alias("action"),
+        return F.when(fits, F.struct(F.lit(len(rule_host + rule_path)).alias("size"),
+                                     F.lit(action == "allow").alias("allows"), F.lit(action).alias("action"),
                                      F.lit(rule_host + rule_path).alias("rule")))
 
     found = [one(*r) for r in rules]
@@ -104,7 +105,7 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def with_rule(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """``urls`` with host, path, rule and action of the longest rule that fits."""
+    """``urls`` with host, path, rule and action of the longest rule that fits; among equally long ones allow wins."""
     placed = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if rules.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES:
         listed = [(r["action"], r["host"], r["path"]) for r in rules.select("action", "host", "path").collect()]
@@ -120,7 +121,8 @@ def with_rule(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
            .where(F.col("path").startswith(F.col("r_path"))))
     name = F.concat("r_host", "r_path")
     best = met.groupBy("host", "path").agg(F.max(F.struct(
-        F.length(name).alias("size"), F.col("r_action").alias("action"), name.alias("rule"))).alias("best"))
+        F.length(name).alias("size"), (F.col("r_action") == "allow").alias("allows"), F.col("r_action").alias("action"),
+        name.alias("rule"))).alias("best"))
     return (placed.join(best, ["host", "path"], "left")
             .withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best"))
 

@@ -197,9 +197,9 @@ def slow_parts(url):
 
 def slow_rule(url, rules):
     host, path = slow_parts(url)
-    fits = [(len(x + y), a, x + y) for a, x, y in rules
+    fits = [(len(x + y), a == "allow", a, x + y) for a, x, y in rules
             if (host == x or host.endswith("." + x)) and path.startswith(y)]
-    return max(fits)[1:] if fits else (None, None)
+    return max(fits)[2:] if fits else (None, None)
 
 
 URLS = ["HTTP://WWW.Example.COM/en/x?q#f", "https://example.com/en/", "https://example.com/en", "http://a.net/es/1",
@@ -217,6 +217,16 @@ def test_rules(spark, monkeypatch, inline):
         assert (r.host, r.path) == slow_parts(r.url) and (r.action, r.rule) == slow_rule(r.url, URL_RULES)
 
 
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_equal_rules_allow(spark, monkeypatch, inline):
+    monkeypatch.setattr(u, "MAX_INLINE_RULES", inline)
+    rules = [("block", "a.org", "/x/"), ("allow", "a.org", "/x/"), ("block", "a.org", "/x/long"), ("allow", "org", "/")]
+    frame = spark.createDataFrame([("http://a.org/x/1",), ("http://a.org/x/long/2",), ("http://b.org/",)], "url string")
+    got = {r.url: (r.action, r.rule) for r in u.with_rule(frame, spark.createDataFrame(rules, u.RULE_TYPE)).collect()}
+    assert got == {"http://a.org/x/1": ("allow", "a.org/x/"), "http://a.org/x/long/2": ("block", "a.org/x/long"),
+                   "http://b.org/": ("allow", "org/")}
+
+
 def test_block_decisions_reach_aliases(spark):
     canon = '<html><head><link href="%s" rel="canonical"></head></html>'
     pages = [(1, "http://bad.org/x", ""), (2, "http://mirror.org/y", canon % "http://bad.org/x"),
