@@ -11,8 +11,9 @@ They extend the seven reconciliation rules (``rules``) by the case types that ne
 
 Scale: an order within customers is taken from one global order (range partitions, ``rank.prefix_sums`` and
 ``rank.row_index``), so a customer with a third of all payments or contracts is spread over many tasks; the customer x month
-spine is generated per customer with ``sequence`` and anti-joined by equality, never crossed; windows run over the months
-of one customer only, which the calendar bounds.
+spine is generated per customer with ``sequence`` and joined by equality, never crossed and never broadcast (a planner takes
+its size for that of the customers it was made from); windows run over the months of one customer only, which the calendar
+bounds.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def no_invoice_gaps(b: Billing, *, min_months: int = MIN_GAP) -> DataFrame:
 def zero_revenue_months(b: Billing) -> DataFrame:
     """ZERO_REVENUE: active months with live invoices over a positive amount of which nothing was collected."""
     m = _billed_months(b).filter((F.col("billed") > 0) & (F.coalesce("collected", F.lit(0)) == 0))
-    j = active_months(b).join(m, ["customer_id", "m"])
+    j = active_months(b).join(m.hint("merge"), ["customer_id", "m"])
     return j.select("customer_id", F.lit("ZERO_REVENUE").alias("rule_code"), _month_start(F.col("m")).alias("month"),
                     "invoices", "billed", F.when(F.col("billed") >= F.col("mrr"), "high").otherwise("medium").alias("severity"))
 

@@ -60,6 +60,15 @@ def test_spine_is_no_cross_join(spark):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_spine_is_no_broadcast(spark):
+    """The months of all active customers are many times the rows that a planner expects of them."""
+    from revguard.plans.catalog import QUERIES
+    df = QUERIES["lc3_zero_revenue_months"](spark, SF0001)
+    assert df.count() > 0
+    on_month = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and ", m#" in line]
+    assert on_month and not any("Broadcast" in line for line in on_month)
+
+
 def test_contract_mismatch_reasons(make_billing):
     c = dict(start_date=dt.date(2001, 1, 1), end_date=dt.date(2001, 12, 31))
     on = lambda i, d, **kw: dict(invoice_id=i, issue_date=d, **kw)
