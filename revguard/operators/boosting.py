@@ -2,13 +2,15 @@
 
 Every feature is cut at quantiles of the training rows, and a row is kept as one byte per feature.  A tree grows level
 by level: each task adds up the gradients and Hessians of its rows per (node, feature, bin), one aggregate sums these
-cells, and the driver takes the best cut per node from them.  What a level sends to the driver is bounded by
+cells, and the driver takes the best cut per node from them.  Of two nodes with the same parent only the lighter one is
+added up, the other is the parent's cells less these.  What a level sends to the driver is bounded by
 nodes x features x bins, whatever the number of rows.  The sums are of fixed-point integers, so neither the order of the
 tasks nor a task that runs again changes a tree.
 
-A round needs only the margins of those before it, so no round is trained twice.  Tasks add up the trees since the margins
-were last written (every ``fold_every`` rounds, a reliable checkpoint); the first level of each round also counts the
-validation rows by label and score bin, which gives the AUC of the rounds so far without another pass.
+A round needs only the margins of those before it, so no round is trained twice.  The first level of a round adds the tree
+before it to the margins and keeps these with the round's gradients (cached; written every ``fold_every`` rounds, a reliable
+checkpoint), so no level goes through an older tree; it also counts the validation rows by label and score bin, which gives
+the AUC of the rounds so far without another pass.
 
 Rows without a label are left out; a missing or NaN value is above every cut.  If the validation rows do not hold both
 labels, all rounds are trained and kept.
@@ -104,13 +106,14 @@ def prune(tree: Tree, gamma: float) -> None:
 def leaves(x: np.ndarray, arrays) -> np.ndarray:
     """The leaf that each row of bins falls into."""
     feature, cut, left, right = arrays[:4]
+    inner, own = feature >= 0, np.arange(len(feature))
+    # A leaf is its own child on both sides.  The bins are taken column by column, as ``row_blocks`` lays them out.
+    child = np.column_stack([np.where(inner, left, own), np.where(inner, right, own)]).ravel()
+    start, cut, bins = np.where(inner, feature, 0) * len(x), cut.astype(x.dtype), x.ravel(order="F")
     rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
-    while True:
-        f = feature[at]
-        inner = f >= 0
-        if not inner.any():
-            return at
-        at = np.where(inner, np.where(x[rows, f] <= cut[at], left[at], right[at]), at)
+    while inner.take(at).any():
+        at = child.take(2 * at + (bins.take(start.take(at) + rows) > cut.take(at)))
+    return at
 
 
 def sampled(u: np.ndarray, turn: int, seed: int, share: float) -> np.ndarray:
@@ -153,7 +156,7 @@ def edges_of(train: DataFrame, cols: list[str], max_bins: int) -> list[np.ndarra
 def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np.ndarray], label: str, id_col: str) -> RDD:
     """Blocks (u, x, y, held, margin) of labelled rows: key hashes, a byte per feature, labels, validation rows, margins.
 
-    A block is one Arrow batch, so a partition of any length is read block by block.
+    A block is one Arrow batch, so a partition of any length is read block by block.  The bytes of a feature lie together.
     """
     both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)))
     wide = both.where(F.col(label).isNotNull()).select(
@@ -171,7 +174,7 @@ def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np
 
     def opened(row):
         y = np.frombuffer(row.y, np.int8)
-        return (np.frombuffer(row.u, np.int64), np.frombuffer(row.x, np.uint8).reshape(len(y), -1), y,
+        return (np.frombuffer(row.u, np.int64), np.asfortranarray(np.frombuffer(row.x, np.uint8).reshape(len(y), -1)), y,
                 np.frombuffer(row.held, bool), np.zeros(len(y)))
 
     blocks = cut_lineage(wide.mapInArrow(run, "u binary, x binary, y binary, held binary"))
@@ -186,64 +189,82 @@ def moved(x: np.ndarray, margin: np.ndarray, trees: list) -> np.ndarray:
     return margin
 
 
-def level_cells(blocks: RDD, trees: list, tree, slots: np.ndarray, used: np.ndarray, bins: int, *, pos_weight: float,
-                turn: int, seed: int, subsample: float, count_held: bool):
+def with_gradients(blocks: RDD, trees: list, *, pos_weight: float, turn: int, seed: int, subsample: float) -> RDD:
+    """The blocks with ``trees`` added to their margins, and a round's gradients and Hessians in steps of 2^-24.
+
+    Both are 0 for rows that the round does not look at; the Hessian of others is at least one step.
+    """
+    def run(block):
+        u, x, y, held, margin = block[:5]
+        margin = moved(x, margin, trees)
+        score = 1 / (1 + np.exp(-margin))
+        seen = ~held & sampled(u, turn, seed, subsample)
+        w = np.where(y == 1, pos_weight, 1.) * seen
+        g = np.rint(w * (score - y) * FIXED)
+        h = np.rint(np.maximum(w * score * (1 - score), seen / FIXED) * FIXED)
+        return u, x, y, held, margin, g, h
+
+    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def level_cells(blocks: RDD, tree, slots: np.ndarray, used: np.ndarray, widths: np.ndarray, *, count_held: bool):
     """Summed gradients and Hessians (slots x used features x bins) of one level, and label counts per score bin.
 
-    Each task adds up its blocks.
+    Each task adds up its blocks; a feature has as many cells per slot as it has bins (``widths``).
     """
     n_slots, n_used = int(slots.max()) + 1, len(used)
-    size = n_slots * n_used * bins
+    ends = n_slots * np.cumsum(widths[used])
+    size = int(ends[-1])
 
     def run(part):
-        g_sum, h_sum = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        seen = np.zeros(2 * AUC_BINS, np.int64)
-        for u, x, y, held, margin in part:
-            score = 1 / (1 + np.exp(-moved(x, margin, trees)))
+        cells, seen = np.zeros((2, size), np.int64), np.zeros(2 * AUC_BINS if count_held else 0, np.int64)
+        for _, x, y, held, margin, g, h in part:
             if count_held and held.any():
-                at = np.minimum((score[held] * AUC_BINS).astype(int), AUC_BINS - 1)
+                at = np.minimum((1 / (1 + np.exp(-margin[held])) * AUC_BINS).astype(int), AUC_BINS - 1)
                 seen += np.bincount(at * 2 + y[held], minlength=2 * AUC_BINS)
-            slot = slots[leaves(x, tree)]
-            k = np.flatnonzero(~held & (slot >= 0) & sampled(u, turn, seed, subsample))
-            w = np.where(y[k] == 1, pos_weight, 1.)
-            g = np.rint(w * (score[k] - y[k]) * FIXED)
-            h = np.rint(np.maximum(w * score[k] * (1 - score[k]), 1 / FIXED) * FIXED)
-            at = slot[k] * (n_used * bins)
-            for j, f in enumerate(used):
-                cell = at + (x[k, f] + np.int64(j * bins))
-                g_sum += np.bincount(cell, g, size).astype(np.int64)
-                h_sum += np.bincount(cell, h, size).astype(np.int64)
-        yield g_sum, h_sum, seen
+            slot = slots.take(leaves(x, tree))
+            k = np.flatnonzero((slot >= 0) & (h > 0))
+            slot, g, h = slot[k], g[k], h[k]
+            for f, end in zip(used, ends):
+                n = n_slots * widths[f]
+                cell = slot * widths[f] + x[:, f].take(k)
+                cells[0, end - n: end] += np.bincount(cell, g, n).astype(np.int64)
+                cells[1, end - n: end] += np.bincount(cell, h, n).astype(np.int64)
+        yield cells, seen
 
     # Up to 64 tasks' cells (under 1 MB each) go to the driver as they are; more are summed in the executors first.
     depth = 1 if blocks.getNumPartitions() <= 64 else 2
-    g, h, seen = blocks.mapPartitions(run).treeReduce(lambda a, b: tuple(m + n for m, n in zip(a, b)), depth)
-    shape = (n_slots, n_used, bins)
-    return g.reshape(shape) / FIXED, h.reshape(shape) / FIXED, seen.reshape(AUC_BINS, 2)
+    cells, seen = blocks.mapPartitions(run).treeReduce(lambda a, b: tuple(m + n for m, n in zip(a, b)), depth)
+    out = np.zeros((2, n_slots, n_used, widths.max()), np.int64)
+    for j, (f, end) in enumerate(zip(used, ends)):
+        out[:, :, j, : widths[f]] = cells[:, end - n_slots * widths[f]: end].reshape(2, n_slots, -1)
+    return out, seen.reshape(-1, 2)
 
 
-def grow(first, next_level, used: np.ndarray, p: Penalties) -> Tree:
-    """A tree from the root's cells; ``next_level(tree, slots)`` gives those of the nodes that may split on."""
+def grow(root: np.ndarray, next_level, used: np.ndarray, p: Penalties) -> Tree:
+    """A tree from the root's cells; ``next_level(tree, slots)`` gives those of the nodes it is asked for."""
     tree = Tree()
-    grad, hess = first
-    tree.add(grad[0, 0].sum(), hess[0, 0].sum())
-    open_ = [0]
+    cells = {tree.add(*(root[:, 0, 0] / FIXED).sum(1)): root[:, 0]}  # by node that may split on
+    pairs = []  # split nodes with the children that may split on, the lighter one first
     for depth in range(p.depth):
         if depth:
             slots = np.full(len(tree.feature), -1, np.int64)
-            slots[open_] = np.arange(len(open_))
-            grad, hess = next_level(tree, slots)
-        grown = []
-        for slot, node in enumerate(open_):
-            found = best_split(grad[slot], hess[slot], p)
+            slots[[own[0] for _, own in pairs]] = np.arange(len(pairs))
+            got, parents = next_level(tree, slots), cells
+            cells = {own[0]: got[:, i] for i, (_, own) in enumerate(pairs)}
+            cells |= {own[1]: parents[node] - got[:, i] for i, (node, own) in enumerate(pairs) if len(own) > 1}
+        pairs = []
+        for node in sorted(cells):
+            found = best_split(*(cells[node] / FIXED), p)
             if found:
                 tree.gain[node], f, tree.cut[node], gl, hl = found
                 tree.feature[node] = int(used[f])
                 tree.left[node] = tree.add(gl, hl)
                 tree.right[node] = tree.add(tree.grad[node] - gl, tree.hess[node] - hl)
-                grown += [i for i in (tree.left[node], tree.right[node]) if tree.hess[i] >= 2 * p.min_child_weight]
-        open_ = grown
-        if not open_:
+                own = [i for i in (tree.left[node], tree.right[node]) if tree.hess[i] >= 2 * p.min_child_weight]
+                if own:
+                    pairs.append((node, sorted(own, key=lambda i: tree.hess[i])))
+        if not pairs:
             break
     prune(tree, p.gamma)
     return tree
@@ -257,32 +278,32 @@ def fit(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "labe
         raise ValueError("max_bins must be from 2 to 255: a bin is one byte")
     p = penalties
     edges = edges_of(train, cols, max_bins)
-    bins, n_used = max(map(len, edges)) + 1, max(1, int(col_sample * len(cols)))
+    widths, n_used = np.array([len(e) + 1 for e in edges]), max(1, int(col_sample * len(cols)))
     blocks = row_blocks(train, val, cols, edges, label, id_col)
-    trees, done, aucs = [], 0, []  # ``done`` trees are in the margins already
+    trees, aucs = [], []
     root = Tree()
     root.add(0., 0.)
     root = root.arrays(p)
     try:
         while True:
-            turn = len(trees)
-            if turn - done >= fold_every:
-                blocks, old, done = folded(blocks, [t.arrays(p) for t in trees[done:]]), blocks, turn
+            turn, newest = len(trees), [t.arrays(p) for t in trees[-1:]]
+            if turn and turn % fold_every == 0:
+                blocks, old, newest = folded(blocks, newest), blocks, []
                 old.unpersist()
-            since = [t.arrays(p) for t in trees[done:]]
+            blocks, old = with_gradients(blocks, newest, pos_weight=pos_weight, turn=turn, seed=seed, subsample=subsample), blocks
             used = np.sort(np.random.default_rng([seed, turn]).permutation(len(cols))[:n_used])
 
             def cells(tree, slots, count_held=False):
-                return level_cells(blocks, since, tree, slots, used, bins, pos_weight=pos_weight, turn=turn, seed=seed,
-                                   subsample=subsample, count_held=count_held)
+                return level_cells(blocks, tree, slots, used, widths, count_held=count_held)
 
-            grad, hess, seen = cells(root, np.zeros(1, np.int64), turn > 0)
+            first, seen = cells(root, np.zeros(1, np.int64), turn > 0)
+            old.unpersist()
             if turn:
                 aucs.append(area(seen[:, 1], seen[:, 0]))
                 keep, stopped = (turn, False) if aucs[-1] is None else best_round(aucs, patience)
                 if stopped or turn >= rounds:
                     return trees[:keep], edges, aucs
-            trees.append(grow((grad, hess), lambda tree, slots: cells(tree.arrays(p), slots)[:2], used, p))
+            trees.append(grow(first, lambda tree, slots: cells(tree.arrays(p), slots)[0], used, p))
     finally:
         blocks.unpersist()
 

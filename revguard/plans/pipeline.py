@@ -55,7 +55,8 @@ def engineered(b: Billing) -> DataFrame:
 
 def score_all(df: DataFrame, iso: forest.IsolationForestModel, lr, gbt) -> DataFrame:
     """Isolation forest, logistic regression, boosted trees, blend and IF proxy."""
-    s = forest.score(df, iso, out="if_score", flag="if_is_anomaly")
+    # The proxy's minimum and maximum are a pass of their own over these scores: the trees are walked once.
+    s = cut_lineage(forest.score(df, iso, out="if_score", flag="if_is_anomaly"))
     s = models.positive_prob(lr, s, "lr_probability", "lr_leakage_prob")
     s = models.positive_prob(gbt, s, "gbt_probability", "gbt_leakage_prob", pred="gbt_leakage_pred")
     s = s.withColumn("ensemble_prob", X.blend("gbt_leakage_prob", "lr_leakage_prob", GBT_WEIGHT, LR_WEIGHT)) \

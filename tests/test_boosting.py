@@ -124,3 +124,15 @@ def test_patience_and_one_label(spark):
     assert len(trees) == 3 and aucs == [None] * 3
     with pytest.raises(ValueError):
         B.fit(df, df, COLS, max_bins=300)
+
+
+def test_a_level_goes_through_no_older_tree_and_asks_for_one_of_two_siblings(spark, monkeypatch):
+    df = spark.createDataFrame(rows())
+    added, asked = [], []
+    with_gradients, level_cells = B.with_gradients, B.level_cells
+    monkeypatch.setattr(B, "with_gradients", lambda blocks, trees, **kw: added.append(len(trees)) or with_gradients(blocks, trees, **kw))
+    monkeypatch.setattr(B, "level_cells", lambda blocks, tree, slots, *a, **kw: asked.append((len(slots), int(slots.max()) + 1))
+                        or level_cells(blocks, tree, slots, *a, **kw))
+    B.fit(df, df, COLS, rounds=5, fold_every=3)
+    assert added == [0, 1, 1, 0, 1, 1]  # at the third the margins were written
+    assert all(slots <= (nodes + 1) // 4 for nodes, slots in asked if nodes > 1)

@@ -90,3 +90,20 @@ def test_attach_new_wins(spark):
                                "invoice_id long, top_contributions map<string,double>, explanation string")
     got = {r["invoice_id"]: r["explanation"] for r in explain.attach(scores, ex).collect()}
     assert got == {1: "new", 2: "old"}
+
+
+def test_path_lengths_in_parts_equal_a_walk_row_by_row():
+    r = np.random.default_rng(5)
+    pdf = __import__("pandas").DataFrame(r.normal(size=(64, 3)), columns=list("abc"))
+    pdf.insert(0, "id", range(64))
+    nodes = __import__("pandas").concat([forest._grow(list("abc"), 64, t)(pdf.assign(tree_id=t)) for t in range(5)])
+    arrays, x = forest._forest_arrays(nodes), r.normal(size=(2 * forest.WALK_ROWS + 3, 3))
+    x[::5, 1] = np.nan
+    feat, thr, left, right, leaf_h, roots, _ = arrays
+
+    def walk(row, at):
+        while feat[at] >= 0:
+            at = left[at] if row[feat[at]] <= thr[at] else right[at]
+        return leaf_h[at]
+
+    assert np.array_equal(forest.path_lengths(x, arrays), [np.mean([walk(row, i) for i in roots]) for row in x])
