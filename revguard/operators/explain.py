@@ -144,13 +144,14 @@ def tree_contributions(df: DataFrame, model: PipelineModel, cols: list[str], *,
     spark = df.sparkSession
     table = tree_table(model)
     shapley = {"shapley": True, "path": False}[method]
-    bc = spark.sparkContext.broadcast(treeshap.trees_of(*table) if shapley else _arrays(*table))  # bounded by the model
+    # prepared once, not in every task; bounded by the model
+    bc = spark.sparkContext.broadcast(treeshap.prepare(treeshap.trees_of(*table)) if shapley else _arrays(*table))
     keys = list(keys)
     out_schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] +
                            [f"c_{c} double" for c in cols] + ["bias double", "margin double"])
 
     def run(batches):
-        prepared, give = (treeshap.prepare(bc.value), treeshap.contributions) if shapley else (bc.value, path_contributions)
+        prepared, give = bc.value, treeshap.contributions if shapley else path_contributions
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
             con, bias, margin = give(x, prepared)

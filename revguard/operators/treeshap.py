@@ -8,11 +8,13 @@ at a leaf with m features is
     value * (o_i - z_i) * sum over k of k! (m-1-k)! / m! * coefficient of t^k in prod over j != i of (z_j + o_j t)
 
 which takes time polynomial in the depth.  ``o`` has at most 2^m patterns, so the values of every leaf are tabled once per
-pattern for all leaves with equally many features at a time; a batch of rows then needs one comparison per node and one
-look-up per leaf and feature.  Contributions plus bias (the cover-weighted mean of all leaves) equal the margin exactly but
+pattern for all leaves with equally many features at a time.  The leaves below one node are put into one table over the nodes
+above and below it, as long as these are at most ``MAX_BITS``; a batch of rows then needs one comparison per node and one
+look-up per table and feature.  Contributions plus bias (the cover-weighted mean of all leaves) equal the margin exactly but
 for rounding.
 """
 
+
 from __future__ import annotations
 
 from collections import defaultdict
@@ -22,6 +24,8 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 
+MAX_BITS = 8  # a table has up to 2^8 rows
+
 
 class Trees(NamedTuple):
     """Node arrays of an ensemble; leaves have feature -1."""
@@ -35,15 +39,16 @@ class Trees(NamedTuple):
     weights: np.ndarray
 
 
-class Leaf(NamedTuple):
-    features: list[int]              # on the path, each once
-    steps: list[tuple[int, int, bool]]  # (position in ``features``, node, whether the left branch is taken)
-    table: np.ndarray                # patterns x features: contributions
+class Part(NamedTuple):
+    """Leaves of one tree that are looked up together."""
+    tests: list[list[tuple[int, bool]]]  # bit by bit: the nodes and branches of which a row must take all
+    features: list[int]              # on their paths, each once
+    table: np.ndarray                # (features + 1) x patterns: contributions, then the value of the leaf that is reached
 
 
 class Prepared(NamedTuple):
     trees: Trees
-    leaves: list[list[Leaf]]  # by tree
+    parts: list[list[Part]]  # by tree
     bias: float
 
 
@@ -82,9 +87,31 @@ def _tables(z: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _part(trees: Trees, nodes: list[int], own: list, tables: list) -> Part:
+    """The leaves ``own`` (paths) in one table over ``nodes``; a leaf under too many nodes keeps its own table."""
+    features = sorted({f for path in own for f in path[1]})
+    if len(nodes) > MAX_BITS:
+        _, features, steps, _, value = own[0]
+        tests = [[(node, left) for at, node, left in steps if at == j] for j in range(len(features))]
+        reached = np.zeros(1 << len(features))
+        reached[-1] = value
+        return Part(tests, features, np.vstack([tables[0].T, reached]))
+    bit = {node: b for b, node in enumerate(nodes)}
+    patterns = np.arange(1 << len(nodes))
+    out = np.zeros((len(features) + 1, len(patterns)))
+    for (_, fs, steps, _, value), table in zip(own, tables):
+        passed = np.full(len(patterns), (1 << len(fs)) - 1)
+        for at, node, left in steps:
+            passed &= ~(((patterns >> bit[node] & 1) != left).astype(int) << at)
+        for j, f in enumerate(fs):
+            out[features.index(f)] += table[passed, j]
+        out[-1] += np.where(passed == (1 << len(fs)) - 1, value, 0.)
+    return Part([[(node, True)] for node in nodes], features, out)
+
+
 def prepare(trees: Trees) -> Prepared:
     """Paths, tables and bias of an ensemble; its size is the model's."""
-    paths = []  # (tree, features, steps, z, value)
+    paths = {}  # by leaf: (tree, features, steps, z, value)
     bias = 0.
     for t, root in enumerate(trees.roots.tolist()):
         todo = [(root, [], [], [], 1.)]
@@ -93,8 +120,7 @@ def prepare(trees: Trees) -> Prepared:
             if trees.feature[node] < 0:
                 value = float(trees.value[node] * trees.weights[t])
                 bias += value * reach
-                if features:
-                    paths.append((t, features, steps, z, value))
+                paths[node] = (t, features, steps, z, value)
                 continue
             f = int(trees.feature[node])
             children = int(trees.left[node]), int(trees.right[node])
@@ -107,46 +133,49 @@ def prepare(trees: Trees) -> Prepared:
                 todo.append((child, features if at < len(features) else [*features, f],
                              [*steps, (at, node, is_left)], zs, reach * share))
     by_size = defaultdict(list)
-    for p, path in enumerate(paths):
-        by_size[len(path[1])].append(p)
-    leaves: list[list[Leaf]] = [[] for _ in trees.roots]
+    for leaf, path in paths.items():
+        by_size[len(path[1])].append(leaf)
+    tables = {}
     for own in by_size.values():
-        table = _tables(np.array([paths[p][3] for p in own]), np.array([paths[p][4] for p in own]))
-        for p, rows in zip(own, table):
-            leaves[paths[p][0]].append(Leaf(paths[p][1], paths[p][2], np.ascontiguousarray(rows.T)))
-    return Prepared(trees, leaves, bias)
+        tables |= zip(own, _tables(np.array([paths[i][3] for i in own]), np.array([paths[i][4] for i in own])))
+    parts: list[list[Part]] = []
+    for root in trees.roots.tolist():
+        parts.append([])
+        todo = [(root, [])]
+        while todo:
+            node, above = todo.pop()
+            inner, own, below = [], [], [node]
+            while below:
+                i = below.pop()
+                (own if trees.feature[i] < 0 else inner).append(i)
+                if trees.feature[i] >= 0:
+                    below += [int(trees.right[i]), int(trees.left[i])]
+            if inner and len(above) + len(inner) > MAX_BITS:
+                todo += [(int(child[node]), [*above, node]) for child in (trees.right, trees.left)]
+            else:
+                parts[-1].append(_part(trees, above + inner, [paths[i] for i in own], [tables[i] for i in own]))
+    return Prepared(trees, parts, bias)
 
 
 def contributions(x: np.ndarray, model: Prepared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contributions rows x features, bias, margin) of a batch; a missing value goes right, as when scored."""
     trees, n = model.trees, len(x)
-    out = np.zeros((x.shape[1], n))
+    out, margin = np.zeros((x.shape[1], n)), np.zeros(n)
     columns = np.ascontiguousarray(x.T)
     ends = np.append(trees.roots[1:], len(trees.feature))
-    for leaves, a, b in zip(model.leaves, trees.roots.tolist(), ends.tolist()):
+    for parts, a, b in zip(model.parts, trees.roots.tolist(), ends.tolist()):
         goes_left = {i: columns[trees.feature[i]] <= trees.threshold[i] for i in range(a, b) if trees.feature[i] >= 0}
-        for leaf in leaves:
-            passed: list[np.ndarray | None] = [None] * len(leaf.features)
-            for at, node, is_left in leaf.steps:
-                ok = goes_left[node] if is_left else ~goes_left[node]
-                passed[at] = ok if passed[at] is None else passed[at] & ok
-            pattern = np.zeros(n, np.intp)
-            for j, ok in enumerate(passed):
-                pattern += ok.astype(np.intp) << j
-            for f, row in zip(leaf.features, leaf.table):
-                out[f] += row[pattern]
-    bias = np.full(n, model.bias)
-    return out.T, bias, margins(x, trees)
-
-
-def margins(x: np.ndarray, trees: Trees) -> np.ndarray:
-    """Weighted sum of the leaves that the rows reach."""
-    rows, total = np.arange(len(x)), np.zeros(len(x))
-    for t, root in enumerate(trees.roots):
-        at = np.full(len(x), root)
-        while (inner := trees.feature[at] >= 0).any():
-            f = np.where(inner, trees.feature[at], 0)
-            step = np.where(x[rows, f] <= trees.threshold[at], trees.left[at], trees.right[at])
-            at = np.where(inner, step, at)
-        total += trees.value[at] * trees.weights[t]
-    return total
+        for part in parts:
+            pattern = np.zeros(n, np.uint8 if len(part.tests) <= 8 else np.intp)
+            for j, test in enumerate(part.tests):
+                ok = np.ones(n, bool) if len(test) > 1 else None
+                for node, left in test:
+                    step = goes_left[node] if left else ~goes_left[node]
+                    ok = step if ok is None else ok & step
+                pattern |= ok.astype(pattern.dtype) << pattern.dtype.type(j)
+            pattern = pattern.astype(np.intp)
+            for f, row in zip(part.features, part.table):
+                out[f] += row.take(pattern)
+            margin += part.table[-1].take(pattern)
+    return out.T, np.full(n, model.bias), margin
+

@@ -88,3 +88,24 @@ def test_single_leaf_missing_value_and_no_rows():
     assert margin[0] == 3. and phi[0, 0] + bias[0] == pytest.approx(3.)  # a missing value goes right
     phi, _, margin = treeshap.contributions(np.zeros((0, 1)), treeshap.prepare(trees))
     assert phi.shape == (0, 1) and margin.shape == (0,)
+
+
+def test_leaves_of_a_tree_share_tables():
+    rng = np.random.default_rng(8)
+    nodes = pd.DataFrame([r for t in range(3) for r in random_tree(rng, t, 6, 9)] + random_tree(rng, 3, 10, 2), columns=NODE)
+    model = treeshap.prepare(treeshap.trees_of(nodes, np.ones(4)))
+    leaves = nodes[nodes["leftChild"] < 0].groupby("treeID").size()
+    assert all(2 * len(parts) <= n for parts, n in zip(model.parts[:3], leaves))
+    assert max(part.table.shape[1] for parts in model.parts for part in parts) <= 1 << treeshap.MAX_BITS
+
+
+def test_tables_are_made_once_not_in_every_task(spark, monkeypatch):
+    from revguard.operators import explain
+    from tests.test_boosting import COLS, rows as some
+    from revguard.operators import boosting as B
+    df = spark.createDataFrame(some(300))
+    trees, edges, _ = B.fit(df, df, COLS, rounds=2)
+    made, prepare = [], treeshap.prepare
+    monkeypatch.setattr(treeshap, "prepare", lambda t: made.append(1) or prepare(t))
+    explain.tree_contributions(df, B.as_model(trees, edges, COLS, B.Penalties()), COLS)
+    assert made == [1]
