@@ -183,6 +183,12 @@ def _anom(b, proxy=True):
     return S.stand_in_anomaly_scores(invoice_features(b), b.as_of, proxy=proxy)
 
 
+def _scores(b):
+    """Both stand-in score tables, ranks and proxy included, over features that are written once."""
+    feat = S.stand_in_features(invoice_features(b))
+    return S.stand_in_risk_scores(feat, b.as_of), S.stand_in_anomaly_scores(feat, b.as_of)
+
+
 def _page(rows_and_count, part):
     return rows_and_count[0] if part == "rows" else rows_and_count[1]
 
@@ -201,7 +207,7 @@ QUERIES.update({
     "d5_leakage_by_rule": _b(lambda b: D.leakage_by_rule(rules.run_rules(b))),
     "d6_anomaly_timeline": _b(lambda b: D.anomaly_timeline(_anom(b, False))),
     "d7_invoice_detail": _b(lambda b: D.invoice_detail(
-        b, _risk(b), _anom(b), rules.run_rules(b), model_name=STAND_IN).select(
+        b, *_scores(b), rules.run_rules(b), model_name=STAND_IN).select(
             "*", F.array_join("risk_top_features", ",").alias("risk_top"), F.col("risk_snapshot")["prob"].alias("risk_snapshot_prob"),
             F.array_join("anomaly_top_features", ",").alias("anomaly_top"))),
     "d7_invoice_alerts": _b(lambda b: D.alert_details(rules.run_rules(b))),

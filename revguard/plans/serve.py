@@ -136,6 +136,11 @@ def latest(df: DataFrame, key: str, ts: str = "scored_at", tie: str = "model_ver
     return g.select(key, "_r.*")
 
 
+def _given(df: DataFrame, name: str) -> Column:
+    """A column that a caller's score table may lack: null then."""
+    return F.col(name) if name in df.columns else F.lit(None)
+
+
 def invoice_detail(b: Billing, risk: DataFrame, anomaly: DataFrame, alerts: DataFrame, *,
                    model_name: str, invoice_ids: list[int] | None = None) -> DataFrame:
     """D7 (flat form): invoice, customer, latest risk and latest anomaly with their top features, the risk's feature
@@ -151,10 +156,10 @@ def invoice_detail(b: Billing, risk: DataFrame, anomaly: DataFrame, alerts: Data
         ids = [int(i) for i in invoice_ids]
         inv, r, a, al = [d.filter(F.col("invoice_id").isin(ids)) for d in (inv, r, a, al)]
     lr = latest(r.select("invoice_id", "leakage_probability", "risk_severity", "rank_percentile",
-                         F.col("top_features").alias("risk_top_features"), F.col("feature_snapshot").alias("risk_snapshot"),
+                         _given(r, "top_features").alias("risk_top_features"), _given(r, "feature_snapshot").alias("risk_snapshot"),
                          "scored_at", "model_version"), "invoice_id")
     la = latest(a.select("invoice_id", F.col("score").alias("anomaly_score"), "is_anomaly", "if_prob_proxy",
-                         F.col("top_features").alias("anomaly_top_features"), "scored_at", "model_version"), "invoice_id")
+                         _given(a, "top_features").alias("anomaly_top_features"), "scored_at", "model_version"), "invoice_id")
     ag = al.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("alert_count"),
                                       F.sum("leakage_amount").alias("alert_leakage"))
     cust = b.customers.select("customer_id", F.col("name").alias("customer_name"),

@@ -79,3 +79,18 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * (1 << 40), executors=1000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_conf(1 << 20, executors=2)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_invoice_detail_reads_features_that_are_written_once(spark):
+    """Ranks, rows and anomalies are a pass each: none joins the billing tables or sorts the candidates again."""
+    from revguard.plans import catalog, scores
+    from revguard.sources.billing import billing_views
+    from tests.conftest import SF0001
+    plan = catalog.QUERIES["d7_invoice_detail"](spark, SF0001)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan
+    b = billing_views(spark, SF0001)
+    feat = catalog.invoice_features(b)
+    once = scores.stand_in_features(feat)
+    for make in (lambda f: scores.stand_in_risk_scores(f, b.as_of).withColumn("feature_snapshot", scores.F.col("feature_snapshot")["prob"]),
+                 lambda f: scores.stand_in_anomaly_scores(f, b.as_of)):
+        assert make(once).exceptAll(make(feat)).count() == 0 == make(feat).exceptAll(make(once)).count()
