@@ -125,7 +125,8 @@ def nearest(rows: np.ndarray, entries: np.ndarray, chosen: np.ndarray) -> tuple[
 def _layout(base: DataFrame, dims: int, parts: int) -> tuple[list[np.ndarray], int]:
     """Bin edges of each component and the bits of a coordinate, read from a bounded number of rows."""
     rows = base.orderBy(F.xxhash64("row"), "row").limit(LAYOUT_ROWS).select("embedding").collect()
-    bits = max(1, CURVE_BITS // (dims // parts))
+    # the sample tells no more bins apart than it has rows, and short parts would make 2 ** 28 of them
+    bits = max(1, min(CURVE_BITS // (dims // parts), LAYOUT_ROWS.bit_length() - 1))
     sample = np.array([r[0] for r in rows], np.float64)
     steps = np.arange(1, 1 << bits) / (1 << bits)
     return [np.quantile(sample[:, i], steps) for i in range(dims)], bits
