@@ -12,27 +12,41 @@ before it to the margins and keeps these with the round's gradients (cached; wri
 checkpoint), so no level goes through an older tree; it also counts the validation rows by label and score bin, which gives
 the AUC of the rounds so far without another pass.
 
+A job per level costs more than its sums while the rows are few.  Where they fit the tasks that run at a time (at most
+``resident_rows`` each), the training is one job per ``job_rounds`` rounds instead: its tasks start together (a barrier stage),
+keep their rows, add up their cells through files in the checkpoint folder, and all take the same cuts from the same sums.
+Rows, sums and trees are as with a job per level, which remains for more rows, for a checkpoint folder that the tasks cannot
+open as files, and under dynamic allocation.
+
 Rows without a label are left out; a missing or NaN value is above every cut.  If the validation rows do not hold both
 labels, all rounds are trained and kept.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import time
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revguard.session import cut_lineage
+from revguard.session import cut_lineage, ensure_checkpoint_dir
 
 FIXED = float(1 << 24)  # gradients and Hessians are summed in steps of 2^-24
 AUC_BINS = 4096
+RESIDENT_ROWS = 1 << 21  # rows that a task keeps when it trains many rounds: some 200 MB
+RESIDENT_TASKS = 64  # each of these reads the cells of all others
+BLOCK_ROWS = 1 << 16  # that such a task takes at a time
+WAIT_S = 900  # for another task's cells; Spark itself ends the tasks of a barrier stage of which one has failed
 
 
 @dataclass(frozen=True)
@@ -103,16 +117,23 @@ def prune(tree: Tree, gamma: float) -> None:
             tree.feature[i], tree.left[i], tree.right[i], tree.gain[i] = -1, -1, -1, 0.
 
 
-def leaves(x: np.ndarray, arrays) -> np.ndarray:
-    """The leaf that each row of bins falls into."""
+def step_down(x: np.ndarray, arrays):
+    """Which nodes have children, and a function from each row's node to the child that its bins lead to."""
     feature, cut, left, right = arrays[:4]
     inner, own = feature >= 0, np.arange(len(feature))
     # A leaf is its own child on both sides.  The bins are taken column by column, as ``row_blocks`` lays them out.
     child = np.column_stack([np.where(inner, left, own), np.where(inner, right, own)]).ravel()
     start, cut, bins = np.where(inner, feature, 0) * len(x), cut.astype(x.dtype), x.ravel(order="F")
-    rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+    rows = np.arange(len(x))
+    return inner, lambda at: child.take(2 * at + (bins.take(start.take(at) + rows) > cut.take(at)))
+
+
+def leaves(x: np.ndarray, arrays) -> np.ndarray:
+    """The leaf that each row of bins falls into."""
+    inner, down = step_down(x, arrays)
+    at = np.zeros(len(x), np.int64)
     while inner.take(at).any():
-        at = child.take(2 * at + (bins.take(start.take(at) + rows) > cut.take(at)))
+        at = down(at)
     return at
 
 
@@ -153,15 +174,22 @@ def edges_of(train: DataFrame, cols: list[str], max_bins: int) -> list[np.ndarra
     return [np.unique(np.array(row[j] or [0.], float)) for j in range(len(cols))]
 
 
-def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np.ndarray], label: str, id_col: str) -> RDD:
+def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np.ndarray], label: str, id_col: str,
+               resident_rows: int = 0) -> tuple[RDD, int]:
     """Blocks (u, x, y, held, margin) of labelled rows: key hashes, a byte per feature, labels, validation rows, margins.
 
     A block is one Arrow batch, so a partition of any length is read block by block.  The bytes of a feature lie together.
+    Also the number of tasks that can keep all rows at once, dealt out evenly then; 0 if none can.
     """
     both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)))
     wide = both.where(F.col(label).isNotNull()).select(
         F.xxhash64(id_col).alias("u"), F.col(label).cast("int").alias("y"), F.col("_held").alias("held"),
         *[F.col(f"`{c}`").cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
+    tasks = tasks_at_once(train.sparkSession) if resident_rows else 0
+    if tasks and wide.count() <= tasks * resident_rows:
+        wide = wide.repartition(tasks)
+    else:
+        tasks = 0
 
     def run(batches):
         for b in batches:
@@ -178,7 +206,19 @@ def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np
                 np.frombuffer(row.held, bool), np.zeros(len(y)))
 
     blocks = cut_lineage(wide.mapInArrow(run, "u binary, x binary, y binary, held binary"))
-    return blocks.coalesce(train.sparkSession.sparkContext.defaultParallelism).rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    if tasks and blocks.rdd.getNumPartitions() == tasks:
+        return blocks.rdd.map(opened), tasks
+    return blocks.coalesce(train.sparkSession.sparkContext.defaultParallelism).rdd.map(opened), 0
+
+
+def tasks_at_once(spark: SparkSession) -> int:
+    """How many tasks of a barrier stage start together here; 0 where that cannot be told."""
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0  # barrier stages do not run under it
+    context = sc._jsc.sc()
+    slots = context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+    return min(slots, sc.defaultParallelism, RESIDENT_TASKS)
 
 
 def moved(x: np.ndarray, margin: np.ndarray, trees: list) -> np.ndarray:
@@ -194,17 +234,51 @@ def with_gradients(blocks: RDD, trees: list, *, pos_weight: float, turn: int, se
 
     Both are 0 for rows that the round does not look at; the Hessian of others is at least one step.
     """
-    def run(block):
-        u, x, y, held, margin = block[:5]
-        margin = moved(x, margin, trees)
-        score = 1 / (1 + np.exp(-margin))
-        seen = ~held & sampled(u, turn, seed, subsample)
-        w = np.where(y == 1, pos_weight, 1.) * seen
-        g = np.rint(w * (score - y) * FIXED)
-        h = np.rint(np.maximum(w * score * (1 - score), seen / FIXED) * FIXED)
-        return u, x, y, held, margin, g, h
+    return blocks.map(lambda block: graded(block, trees, pos_weight=pos_weight, turn=turn, seed=seed, subsample=subsample)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def graded(block, trees: list, *, pos_weight: float, turn: int, seed: int, subsample: float):
+    """One block of ``with_gradients``."""
+    u, x, y, held, margin = block[:5]
+    margin = moved(x, margin, trees)
+    score = 1 / (1 + np.exp(-margin))
+    seen = ~held & sampled(u, turn, seed, subsample)
+    w = np.where(y == 1, pos_weight, 1.) * seen
+    g = np.rint(w * (score - y) * FIXED)
+    h = np.rint(np.maximum(w * score * (1 - score), seen / FIXED) * FIXED)
+    return u, x, y, held, margin, g, h
+
 
-    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
+def held_counts(y: np.ndarray, held: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Validation rows by score bin and label."""
+    at = np.minimum((1 / (1 + np.exp(-margin[held])) * AUC_BINS).astype(int), AUC_BINS - 1)
+    return np.bincount(at * 2 + y[held], minlength=2 * AUC_BINS)
+
+
+def cell_ends(n_slots: int, used: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Where the cells of each used feature end."""
+    return n_slots * np.cumsum(widths[used])
+
+
+def add_cells(cells: np.ndarray, x: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray,
+              widths: np.ndarray, n_slots: int) -> None:
+    """Adds the gradients and Hessians of rows that have a slot to ``cells`` (2 x all cells)."""
+    k = np.flatnonzero((slot >= 0) & (h > 0))
+    slot, g, h = slot[k], g[k], h[k]
+    for f, end in zip(used, cell_ends(n_slots, used, widths)):
+        n = n_slots * widths[f]
+        cell = slot * widths[f] + x[:, f].take(k)
+        cells[0, end - n: end] += np.bincount(cell, g, n).astype(np.int64)
+        cells[1, end - n: end] += np.bincount(cell, h, n).astype(np.int64)
+
+
+def by_slot(cells: np.ndarray, n_slots: int, used: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Cells as 2 x slots x used features x bins."""
+    out = np.zeros((2, n_slots, len(used), widths.max()), np.int64)
+    for j, (f, end) in enumerate(zip(used, cell_ends(n_slots, used, widths))):
+        out[:, :, j, : widths[f]] = cells[:, end - n_slots * widths[f]: end].reshape(2, n_slots, -1)
+    return out
 
 
 def level_cells(blocks: RDD, tree, slots: np.ndarray, used: np.ndarray, widths: np.ndarray, *, count_held: bool):
@@ -212,33 +286,21 @@ def level_cells(blocks: RDD, tree, slots: np.ndarray, used: np.ndarray, widths:
 
     Each task adds up its blocks; a feature has as many cells per slot as it has bins (``widths``).
     """
-    n_slots, n_used = int(slots.max()) + 1, len(used)
-    ends = n_slots * np.cumsum(widths[used])
-    size = int(ends[-1])
+    n_slots = int(slots.max()) + 1
+    size = int(cell_ends(n_slots, used, widths)[-1])
 
     def run(part):
         cells, seen = np.zeros((2, size), np.int64), np.zeros(2 * AUC_BINS if count_held else 0, np.int64)
         for _, x, y, held, margin, g, h in part:
             if count_held and held.any():
-                at = np.minimum((1 / (1 + np.exp(-margin[held])) * AUC_BINS).astype(int), AUC_BINS - 1)
-                seen += np.bincount(at * 2 + y[held], minlength=2 * AUC_BINS)
-            slot = slots.take(leaves(x, tree))
-            k = np.flatnonzero((slot >= 0) & (h > 0))
-            slot, g, h = slot[k], g[k], h[k]
-            for f, end in zip(used, ends):
-                n = n_slots * widths[f]
-                cell = slot * widths[f] + x[:, f].take(k)
-                cells[0, end - n: end] += np.bincount(cell, g, n).astype(np.int64)
-                cells[1, end - n: end] += np.bincount(cell, h, n).astype(np.int64)
+                seen += held_counts(y, held, margin)
+            add_cells(cells, x, slots.take(leaves(x, tree)), g, h, used, widths, n_slots)
         yield cells, seen
 
     # Up to 64 tasks' cells (under 1 MB each) go to the driver as they are; more are summed in the executors first.
     depth = 1 if blocks.getNumPartitions() <= 64 else 2
     cells, seen = blocks.mapPartitions(run).treeReduce(lambda a, b: tuple(m + n for m, n in zip(a, b)), depth)
-    out = np.zeros((2, n_slots, n_used, widths.max()), np.int64)
-    for j, (f, end) in enumerate(zip(used, ends)):
-        out[:, :, j, : widths[f]] = cells[:, end - n_slots * widths[f]: end].reshape(2, n_slots, -1)
-    return out, seen.reshape(-1, 2)
+    return by_slot(cells, n_slots, used, widths), seen.reshape(-1, 2)
 
 
 def grow(root: np.ndarray, next_level, used: np.ndarray, p: Penalties) -> Tree:
@@ -272,18 +334,26 @@ def grow(root: np.ndarray, next_level, used: np.ndarray, p: Penalties) -> Tree:
 
 def fit(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "label", id_col: str = "invoice_id",
         rounds: int = 600, patience: int = 40, pos_weight: float = 1.0, subsample: float = 0.8, col_sample: float = 0.8,
-        max_bins: int = 64, seed: int = 42, penalties: Penalties = Penalties(), fold_every: int = 16):
-    """(trees up to the best validation AUC, cuts per feature, AUC after each round that was trained)."""
+        max_bins: int = 64, seed: int = 42, penalties: Penalties = Penalties(), fold_every: int = 16, resident_rows: int = 0,
+        job_rounds: int = 200):
+    """(trees up to the best validation AUC, cuts per feature, AUC after each round that was trained).
+
+    ``resident_rows``: how many rows a task may keep, to train ``job_rounds`` rounds in a job; 0 for a job per level.
+    """
     if not 2 <= max_bins <= 255:
         raise ValueError("max_bins must be from 2 to 255: a bin is one byte")
     p = penalties
     edges = edges_of(train, cols, max_bins)
     widths, n_used = np.array([len(e) + 1 for e in edges]), max(1, int(col_sample * len(cols)))
-    blocks = row_blocks(train, val, cols, edges, label, id_col)
+    blocks, tasks = row_blocks(train, val, cols, edges, label, id_col, resident_rows)
+    if tasks:
+        found = fit_resident(train.sparkSession, blocks, widths, p, rounds=rounds, patience=patience, pos_weight=pos_weight,
+                             subsample=subsample, n_used=n_used, seed=seed, job_rounds=job_rounds)
+        if found:
+            return found[0], edges, found[1]
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
     trees, aucs = [], []
-    root = Tree()
-    root.add(0., 0.)
-    root = root.arrays(p)
+    root = root_only(p)
     try:
         while True:
             turn, newest = len(trees), [t.arrays(p) for t in trees[-1:]]
@@ -291,7 +361,7 @@ def fit(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "labe
                 blocks, old, newest = folded(blocks, newest), blocks, []
                 old.unpersist()
             blocks, old = with_gradients(blocks, newest, pos_weight=pos_weight, turn=turn, seed=seed, subsample=subsample), blocks
-            used = np.sort(np.random.default_rng([seed, turn]).permutation(len(cols))[:n_used])
+            used = features_of(turn, len(cols), n_used, seed)
 
             def cells(tree, slots, count_held=False):
                 return level_cells(blocks, tree, slots, used, widths, count_held=count_held)
@@ -308,6 +378,155 @@ def fit(train: DataFrame, val: DataFrame, cols: list[str], *, label: str = "labe
         blocks.unpersist()
 
 
+def root_only(p: Penalties):
+    """The arrays of a tree that is one leaf."""
+    tree = Tree()
+    tree.add(0., 0.)
+    return tree.arrays(p)
+
+
+def features_of(turn: int, n: int, n_used: int, seed: int) -> np.ndarray:
+    """The features that a round looks at."""
+    return np.sort(np.random.default_rng([seed, turn]).permutation(n)[:n_used])
+
+
+class Exchange:
+    """Sums integer arrays over the tasks of a barrier stage, through files in a folder that all of them see.
+
+    A file is renamed when it is written, so it appears whole.  A task that has read all files of a turn has seen every task
+    write, and so end the turn before: its own file of that turn can go.
+    """
+    def __init__(self, folder: str, rank: int, tasks: int):
+        self.folder, self.rank, self.tasks, self.turn = folder, rank, tasks, 0
+        os.makedirs(folder, exist_ok=True)
+
+    def name(self, turn: int, rank: int) -> str:
+        return os.path.join(self.folder, f"{turn}-{rank}")
+
+    def read(self, name: str) -> np.ndarray:
+        until = time.monotonic() + WAIT_S
+        while True:
+            try:
+                with open(name, "rb") as f:
+                    return np.frombuffer(f.read(), np.int64)
+            except FileNotFoundError:
+                if time.monotonic() > until:
+                    raise TimeoutError(f"no cells of another task within {WAIT_S} s: {name}") from None
+                time.sleep(5e-4)
+
+    def total(self, own: np.ndarray) -> np.ndarray:
+        mine = self.name(self.turn, self.rank)
+        own.tofile(f"{mine}.part")
+        os.replace(f"{mine}.part", mine)
+        out = own.copy()
+        for rank in range(self.tasks):
+            if rank != self.rank:
+                out += self.read(self.name(self.turn, rank))
+        if self.turn:
+            os.remove(self.name(self.turn - 1, self.rank))
+        self.turn += 1
+        return out
+
+
+def fit_resident(spark: SparkSession, blocks: RDD, widths: np.ndarray, p: Penalties, *, rounds: int, job_rounds: int, **options):
+    """(trees, AUCs) as ``fit`` gives them, by a barrier stage per ``job_rounds`` rounds; None if its tasks see no common folder.
+
+    A stage of which a task fails runs again as a whole, from the trees of the stages before it.
+    """
+    top = local_folder(spark)
+    if top is None:
+        return None
+    folder = os.path.join(top, f"boosting-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    try:
+        trees, aucs, done = [], [], False
+        while not done:
+            def run(part, trees=trees, aucs=aucs):
+                task = BarrierTaskContext.get()
+                names = task.allGather(uuid.uuid4().hex if os.path.isdir(folder) else "")
+                if all(names):  # an attempt has a folder of its own, named by its first task
+                    rank = task.partitionId()
+                    found = rounds_here(list(part), Exchange(os.path.join(folder, names[0]), rank, len(names)).total, widths, p,
+                                        trees, aucs, rounds=rounds, until=len(trees) + job_rounds, **options)
+                    if rank == 0:
+                        yield found
+
+            found = blocks.barrier().mapPartitions(run).collect()
+            if not found:
+                return None
+            trees, aucs, done = found[0]
+        return trees, aucs
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def local_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder as a path that ``open`` takes; None if it is on no file system of the hosts."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return path.getPath() if path.getScheme() == "file" else None
+
+
+def merged(blocks: list) -> list:
+    """The blocks put together to fewer of about ``BLOCK_ROWS`` rows."""
+    out, some = [], []
+    for block in blocks:
+        some.append(block)
+        if sum(len(b[0]) for b in some) >= BLOCK_ROWS or block is blocks[-1]:
+            u, x, *rest = zip(*some)
+            out.append((np.concatenate(u), np.concatenate([b.T for b in x], axis=1).T, *map(np.concatenate, rest)))
+            some = []
+    return out
+
+
+def rounds_here(blocks: list, total, widths: np.ndarray, p: Penalties, trees: list[Tree], aucs: list, *, rounds: int, until: int,
+                patience: int, pos_weight: float, subsample: float, n_used: int, seed: int):
+    """(trees, AUCs, whether training is over) after rounds up to number ``until`` over blocks that this task keeps.
+
+    ``total`` sums an array over all tasks, so each of them grows the same trees.
+    """
+    blocks = merged(blocks)
+    trees, aucs, newest = list(trees), list(aucs), [t.arrays(p) for t in trees]
+    while len(trees) < until:
+        turn = len(trees)
+        used = features_of(turn, len(widths), n_used, seed)
+        rows = []  # of those that the round looks at: bins, gradients, Hessians; their nodes
+        at = []
+        seen = np.zeros(2 * AUC_BINS, np.int64)
+        for i, block in enumerate(blocks):
+            _, x, y, held, margin, g, h = graded(block, newest, pos_weight=pos_weight, turn=turn, seed=seed, subsample=subsample)
+            blocks[i] = *block[:4], margin
+            if turn and held.any():
+                seen += held_counts(y, held, margin)
+            k = np.flatnonzero(h > 0)
+            rows.append((x.T.take(k, axis=1).T, g[k], h[k]))
+            at.append(np.zeros(len(k), np.int64))
+
+        def cells(slots, more=()):
+            n_slots = int(slots.max()) + 1
+            own = np.zeros((2, int(cell_ends(n_slots, used, widths)[-1])), np.int64)
+            for (x, g, h), nodes in zip(rows, at):
+                add_cells(own, x, slots.take(nodes), g, h, used, widths, n_slots)
+            sums = total(np.concatenate([own.ravel(), *more]))
+            return by_slot(sums[: own.size].reshape(2, -1), n_slots, used, widths), sums[own.size:]
+
+        def next_level(tree, slots):
+            arrays = tree.arrays(p)
+            at[:] = [step_down(x, arrays)[1](nodes) for (x, _, _), nodes in zip(rows, at)]
+            return cells(slots)[0]
+
+        first, seen = cells(np.zeros(1, np.int64), [seen])
+        if turn:
+            seen = seen.reshape(-1, 2)
+            aucs.append(area(seen[:, 1], seen[:, 0]))
+            keep, stopped = (turn, False) if aucs[-1] is None else best_round(aucs, patience)
+            if stopped or turn >= rounds:
+                return trees[:keep], aucs, True
+        trees.append(grow(first, next_level, used, p))
+        newest = [trees[-1].arrays(p)]
+    return trees, aucs, False
+
+
 def folded(blocks: RDD, trees: list) -> RDD:
     """The blocks with ``trees`` added to their margins, written once (a reliable checkpoint)."""
     after = blocks.map(lambda b: (*b[:4], moved(b[1], b[4], trees))).persist(StorageLevel.MEMORY_AND_DISK)

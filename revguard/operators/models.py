@@ -60,7 +60,7 @@ def train_gbt(train: DataFrame, val: DataFrame, cols: list[str], *, label: str =
     n, p, _, _ = class_weights(train, label)
     trees, edges, _ = boosting.fit(train, val, cols, label=label, id_col=id_col, rounds=max_iter, patience=patience,
                                    pos_weight=(n - p) / p if p else 1.0, subsample=subsample, col_sample=col_sample,
-                                   max_bins=max_bins, seed=seed, penalties=penalties)
+                                   max_bins=max_bins, seed=seed, penalties=penalties, resident_rows=boosting.RESIDENT_ROWS)
     return boosting.as_model(trees, edges, cols, penalties)
 
 

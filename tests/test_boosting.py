@@ -1,4 +1,7 @@
 """Second-order boosting: split gains and whole runs against plain numpy, spread of rows, patience, scoring and saving."""
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,3 +139,39 @@ def test_a_level_goes_through_no_older_tree_and_asks_for_one_of_two_siblings(spa
     B.fit(df, df, COLS, rounds=5, fold_every=3)
     assert added == [0, 1, 1, 0, 1, 1]  # at the third the margins were written
     assert all(slots <= (nodes + 1) // 4 for nodes, slots in asked if nodes > 1)
+
+
+def test_rounds_in_one_job_give_the_trees_of_a_job_per_level(spark, monkeypatch):
+    df = spark.createDataFrame(rows()).withColumn("b", F.when(F.col("invoice_id") % 9 > 0, F.col("b")))
+    val = spark.createDataFrame(rows(seed=4)).union(spark.createDataFrame(rows(5)).withColumn("label", F.lit(None).cast("long")))
+    by_level = B.fit(df, val, COLS, rounds=5, max_bins=20)
+    asked = []
+    level_cells = B.level_cells
+    monkeypatch.setattr(B, "level_cells", lambda *a, **kw: asked.append(1) or level_cells(*a, **kw))
+    for job_rounds in (2, 100):  # the second job starts from the trees of the first
+        got = B.fit(df.repartition(3), val, COLS, rounds=5, max_bins=20, resident_rows=2000, job_rounds=job_rounds)
+        assert got[0] == by_level[0] and got[2] == by_level[2] and not asked
+    assert not [f for f in os.listdir(B.local_folder(spark)) if f.startswith("boosting-")]
+    few = B.fit(df, val, COLS, rounds=2, max_bins=20, resident_rows=100)  # more rows than the tasks may keep
+    assert asked and few[2] == by_level[2][:2]
+    asked.clear()
+    monkeypatch.setattr(B, "local_folder", lambda spark: None)
+    assert B.fit(df, val, COLS, rounds=2, max_bins=20, resident_rows=2000)[2] == by_level[2][:2] and asked
+
+
+def test_jobs_of_a_training_do_not_grow_with_its_rounds(spark):
+    df, sc, jobs = spark.createDataFrame(rows()), spark.sparkContext, []
+    for rounds in (2, 6):
+        sc.setJobGroup(f"rounds-{rounds}", "")
+        models.train_gbt(df, df, COLS, max_iter=rounds)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_sums_over_tasks(tmp_path):
+    tasks = [B.Exchange(str(tmp_path), i, 3) for i in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        sums = list(pool.map(lambda t: [t.total(np.array([t.rank, turn])).tolist() for turn in range(20)], tasks))
+    assert sums == [[[3, 3 * turn] for turn in range(20)]] * 3
+    assert sorted(os.listdir(tmp_path)) == ["19-0", "19-1", "19-2"]
