@@ -41,7 +41,9 @@ def train_logistic(train: DataFrame, cols: list[str], *, label: str = "label", c
                    max_iter: int = 1000) -> PipelineModel:
     """L1 + L4: scaler -> balanced, L2-regularised logistic regression."""
     n, _, w_neg, w_pos = class_weights(train, label)
-    data = train.withColumn("_w", F.when(F.col(label) == 1, w_pos).otherwise(w_neg))
+    # Every iteration is a job over these rows: a task per core.
+    data = train.withColumn("_w", F.when(F.col(label) == 1, w_pos).otherwise(w_neg)) \
+        .coalesce(train.sparkSession.sparkContext.defaultParallelism)
     lr = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="_w",
                             regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
                             maxIter=max_iter, tol=1e-6, probabilityCol="lr_probability",

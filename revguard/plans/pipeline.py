@@ -15,8 +15,10 @@ explain, all as Spark jobs:
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,8 +106,11 @@ def score_pipeline(b: Billing, *, n_trees: int = 200, psi: int = 256, gbt_iters:
     train = data.filter(F.col("split") == "train")
     val = data.filter(F.col("split") == "val")
 
-    iso = forest.fit(train, cols, n_trees=n_trees, max_samples=psi)
-    lr = models.train_logistic(train, cols)
+    # Iterations of the logistic regression are small jobs; the forest grows beside them.
+    with ThreadPoolExecutor(1) as pool:
+        fitted = pool.submit(inheritable_thread_target(train.sparkSession)(models.train_logistic), train, cols)
+        iso = forest.fit(train, cols, n_trees=n_trees, max_samples=psi)
+        lr = fitted.result()
     gbt = models.train_gbt(train, val, cols, max_iter=gbt_iters)
 
     # Scores feed the evaluation, both score tables and the attributions: materialise once.

@@ -1,4 +1,6 @@
 """Isolation forest and boosted-tree attribution properties on the sf0.001 features."""
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,25 @@ def test_path_lengths_in_parts_equal_a_walk_row_by_row():
         return leaf_h[at]
 
     assert np.array_equal(forest.path_lengths(x, arrays), [np.mean([walk(row, i) for i in roots]) for row in x])
+
+
+def test_forest_and_logistic_regression_are_fitted_side_by_side(spark, monkeypatch):
+    begun, got = threading.Event(), []
+    monkeypatch.setattr(pipeline, "engineered", lambda b: spark.createDataFrame([(1, "train"), (2, "val")], "invoice_id int, split string"))
+    monkeypatch.setattr(models, "train_logistic", lambda train, cols: begun.set())
+    monkeypatch.setattr(forest, "fit", lambda *a, **kw: got.append(begun.wait(20)))
+
+    def stop(*a, **kw):
+        raise KeyError("after both")
+
+    monkeypatch.setattr(models, "train_gbt", stop)
+    with pytest.raises(KeyError):
+        pipeline.score_pipeline(None)
+    assert got == [True]
+
+
+def test_iterations_run_a_task_per_core(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()))
+    models.train_logistic(spark.range(40).selectExpr("id as a", "id % 2 as label").repartition(40), ["a"])
+    assert parts == [spark.sparkContext.defaultParallelism]
