@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revguard.session import cut_lineage, ensure_checkpoint_dir
+from revguard.sources.sinks import delete
 
 FIXED = float(1 << 24)  # gradients and Hessians are summed in steps of 2^-24
 AUC_BINS = 4096
@@ -167,11 +168,12 @@ def best_round(aucs: list, patience: int) -> tuple[int, bool]:
 
 
 def edges_of(train: DataFrame, cols: list[str], max_bins: int) -> list[np.ndarray]:
-    """Distinct quantiles of each feature, the least value among them: one aggregate."""
+    """Distinct quantiles of each feature, the least value among them: one aggregate, features apart."""
     at = [i / max_bins for i in range(max_bins)]
-    value = [F.col(f"`{c}`").cast("double") for c in cols]
-    row = train.agg(*[F.percentile_approx(F.when(~F.isnan(v), v), at, 10_000).alias(f"c{j}") for j, v in enumerate(value)]).first()
-    return [np.unique(np.array(row[j] or [0.], float)) for j in range(len(cols))]
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    found = dict(train.select(F.posexplode(values).alias("feature", "value")).where("not isnan(value)")
+                 .groupBy("feature").agg(F.percentile_approx("value", at, 10_000)).collect())
+    return [np.unique(np.array(found.get(j) or [0.], float)) for j in range(len(cols))]
 
 
 def row_blocks(train: DataFrame, val: DataFrame, cols: list[str], edges: list[np.ndarray], label: str, id_col: str,
@@ -540,31 +542,55 @@ def as_model(trees: list[Tree], edges: list[np.ndarray], cols: list[str], p: Pen
 
     That model's probability is the logistic function of twice its margin, so node values are halved.  A node carries its
     summed Hessian as cover; its gain is divided by that, so importances are summed gains.
+
+    A model of as many single leaves is saved, its table of nodes is replaced and it is read back: nodes made one by one in the
+    JVM cost several calls each.
     """
-    sc = SparkSession.getActiveSession().sparkContext
+    spark = SparkSession.getActiveSession()
+    sc = spark.sparkContext
     ml, new_array, double = sc._jvm.org.apache.spark.ml, sc._gateway.new_array, sc._jvm.double
-    calculator = sc._jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator
-    leaf_node, inner_node, continuous_split = ml.tree.LeafNode, ml.tree.InternalNode, ml.tree.ContinuousSplit
     tree_model = ml.regression.DecisionTreeRegressionModel
-
-    def node(tree: Tree, value: np.ndarray, i: int):
-        stats = new_array(double, 3)
-        stats[0] = float(tree.hess[i])
-        stats[1], stats[2] = float(value[i] * tree.hess[i]), float(value[i] ** 2 * tree.hess[i])
-        cover = calculator(stats, int(tree.hess[i]))
-        if tree.feature[i] < 0:
-            return leaf_node(float(value[i]), 0., cover)
-        split = continuous_split(tree.feature[i], float(edges[tree.feature[i]][tree.cut[i]]))
-        return inner_node(float(value[i]), 0., float(tree.gain[i] / tree.hess[i]), node(tree, value, tree.left[i]),
-                          node(tree, value, tree.right[i]), split, cover)
-
+    leaf = ml.tree.LeafNode(0., 0., sc._jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(new_array(double, 3), 0))
     built = new_array(tree_model, len(trees))
     weights = new_array(double, len(trees))
-    for t, tree in enumerate(trees):
-        value = leaf_value(np.array(tree.grad), np.array(tree.hess), p) / 2
-        built[t], weights[t] = tree_model(f"boosted-tree-{t}", node(tree, value, 0), len(cols)), 1.
+    for t in range(len(trees)):
+        built[t], weights[t] = tree_model(f"boosted-tree-{t}", leaf, len(cols)), 1.
     gbt = GBTClassificationModel(ml.classification.GBTClassificationModel("boosted-trees", built, weights, len(cols), 2))
     gbt._resetUid("boosted-trees")
     gbt.setFeaturesCol("features").setPredictionCol("gbt_prediction")
     gbt.setProbabilityCol("gbt_probability").setRawPredictionCol("gbt_raw")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"gbt-{uuid.uuid4().hex}")
+    try:
+        gbt.write().save(path)
+        table = spark.read.parquet(os.path.join(path, "data")).schema
+        rows = [named(table, {"treeID": t, "nodeData": node}) for t, tree in enumerate(trees) for node in saved_nodes(tree, edges, p)]
+        spark.createDataFrame(rows, table, verifySchema=False).write.mode("overwrite").parquet(os.path.join(path, "data"))
+        gbt = GBTClassificationModel.load(path)
+    finally:
+        delete(spark, path)
     return PipelineModel([VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"), gbt])
+
+
+def saved_nodes(tree: Tree, edges: list[np.ndarray], p: Penalties) -> list[dict]:
+    """The nodes that can be reached, parents before children, as ``pyspark.ml`` saves them."""
+    value = leaf_value(np.array(tree.grad), np.array(tree.hess), p) / 2
+    order, todo = [], [0]
+    while todo:
+        i = todo.pop()
+        order.append(i)
+        if tree.feature[i] >= 0:
+            todo += [tree.right[i], tree.left[i]]
+    at = {i: k for k, i in enumerate(order)} | {-1: -1}
+    out = []
+    for i in order:
+        f, hess, v = tree.feature[i], float(tree.hess[i]), float(value[i])
+        split = {"featureIndex": f, "leftCategoriesOrThreshold": [float(edges[f][tree.cut[i]])] if f >= 0 else [], "numCategories": -1}
+        out.append({"id": at[i], "prediction": v, "impurity": 0., "impurityStats": [hess, float(v * hess), float(v ** 2 * hess)],
+                    "rawCount": int(hess), "gain": float(tree.gain[i] / hess) if f >= 0 else -1., "leftChild": at[tree.left[i]],
+                    "rightChild": at[tree.right[i]], "split": split})
+    return out
+
+
+def named(schema, row: dict) -> tuple:
+    """The row's values in the order of the schema's fields."""
+    return tuple(named(f.dataType, row[f.name]) if isinstance(row[f.name], dict) else row[f.name] for f in schema.fields)

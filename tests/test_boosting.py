@@ -175,3 +175,26 @@ def test_sums_over_tasks(tmp_path):
         sums = list(pool.map(lambda t: [t.total(np.array([t.rank, turn])).tolist() for turn in range(20)], tasks))
     assert sums == [[[3, 3 * turn] for turn in range(20)]] * 3
     assert sorted(os.listdir(tmp_path)) == ["19-0", "19-1", "19-2"]
+
+
+def test_nodes_are_saved_parents_first_without_those_pruned():
+    t = B.Tree()
+    for i in range(5):
+        t.add(float(i), 10. + i)
+    t.feature[0], t.cut[0], t.left[0], t.right[0], t.gain[0] = 1, 0, 1, 2, 11.
+    t.feature[1], t.left[1], t.right[1], t.gain[1] = 0, 3, 4, .5
+    edges = [np.array([7., 8.]), np.array([3., 4.])]
+    nodes = B.saved_nodes(t, edges, B.Penalties())
+    assert [(n["id"], n["leftChild"], n["rightChild"]) for n in nodes] == [(0, 1, 4), (1, 2, 3), (2, -1, -1), (3, -1, -1), (4, -1, -1)]
+    assert [n["split"]["leftCategoriesOrThreshold"] for n in nodes] == [[3.], [7.], [], [], []]
+    B.prune(t, 1.)
+    nodes = B.saved_nodes(t, edges, B.Penalties())
+    assert [n["rawCount"] for n in nodes] == [10, 11, 12] and nodes[0]["gain"] == pytest.approx(1.1)
+
+
+def test_cuts_pass_over_missing_values(spark):
+    df = spark.createDataFrame([(float(i), None, float("nan"), i) for i in range(10)] + [(None, None, 5., 1)],
+                               "a double, b double, `d.x` double, e int")
+    edges = B.edges_of(df, ["a", "b", "d.x", "e"], 4)
+    assert edges[0][0] == edges[3][0] == 0. and len(edges[0]) == len(edges[3]) == 4
+    assert edges[1].tolist() == [0.] and edges[2].tolist() == [5.]
